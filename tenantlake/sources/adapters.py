@@ -8,17 +8,22 @@ the few marked pairs. Every base row becomes a row; nothing is sampled or cut of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DUCK, SPARK = 1, 0
 
-BASES = {
-    "nation": ("nation", None),
-    "customer": ("customer", None),
-    "documents": ("documents", None),
-    "labels": ("labels", None),
-    "orders": ("orders", ("customer", "o_custkey", "c_custkey")),
-    "events": ("events", ("customer", "user_id", "c_custkey")),
-    "events_only": ("events", None),
+_CUSTOMER_OF_ORDER = ("customer", "c_custkey = o_custkey")
+BASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
+    "nation": ("nation", []),
+    "customer": ("customer", []),
+    "documents": ("documents", []),
+    "labels": ("labels", []),
+    "events_only": ("events", []),
+    "orders": ("orders", [_CUSTOMER_OF_ORDER]),
+    "events": ("events", [("customer", "c_custkey = user_id")]),
+    # three events address the invite of one order
+    "events_invites": ("events", [("orders", "o_orderkey = event_id - event_id % 3"),
+                                  _CUSTOMER_OF_ORDER]),
 }
 
 
@@ -75,9 +80,10 @@ _PASSWORD = ("CASE event_id % 7 WHEN 0 THEN 'short1' WHEN 1 THEN 'Xguest8_BOSS1'
              "ELSE concat('Str0ng-pass', event_id) END")
 _REQUEST = [("request_id", "event_id"), ("request_ts", "ts"),
             ("actor", "concat('ops', event_id % 3, '@nation', c_nationkey, '.test')")]
-# Most events address a real invite; the rest a token nobody issued.
+_NEAR_INVITE = ("o_orderdate + (event_id % 9) * INTERVAL '1' DAY "
+                "+ (event_id % 86400) * INTERVAL '1' SECOND")
 _EVENT_TOKEN = ("CASE WHEN event_id % 31 = 0 THEN concat('missing-', event_id) ELSE "
-                "substr({sha}concat('invite-', event_id % 4000){/sha}, 1, 43) END")
+                + _ORDER_TOKEN + " END")
 
 TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
     "company": ("nation", [
@@ -234,15 +240,17 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
                  "END"),
         ("token", _pair("substr({sha}concat('fresh-', event_id){/sha}, 1, 43)")),
     ]),
-    "invite_token_requests": ("events", [
-        *_REQUEST,
-        ("company_id", "concat('C', lpad(CAST(event_id % 25 + 1 AS VARCHAR(9)), 4, '0'))"),
+    "invite_token_requests": ("events_invites", [
+        ("request_id", "event_id"),
+        ("request_ts", _NEAR_INVITE),
+        ("actor", "concat('ops', event_id % 3, '@nation', c_nationkey, '.test')"),
+        ("company_id", f"CASE WHEN event_id % 7 = 0 THEN 'C9999' ELSE {_COMPANY_OF_CUSTOMER}"
+                       " END"),
         ("token", _pair(_EVENT_TOKEN)),
     ]),
-    "invite_accepts": ("events", [
+    "invite_accepts": ("events_invites", [
         ("request_id", "event_id"),
-        # Moved into the years of the invites, so that some are still open.
-        ("request_ts", "ts - (9592 - event_id % 2400) * INTERVAL '1' DAY"),
+        ("request_ts", _NEAR_INVITE),
         ("actor", "CAST(NULL AS VARCHAR(50))"),
         ("token", _pair(_EVENT_TOKEN)),
         ("name", "CASE WHEN event_id % 5 = 0 THEN ' ' ELSE concat(' Guest ', event_id) END"),
@@ -267,11 +275,10 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
 def sql_text(name: str, side: int = DUCK) -> str:
     """`SELECT ... FROM ...` that derives one table."""
     base, columns = TABLES[name]
-    table, joined = BASES[base]
+    table, joins = BASES[base]
     picked = ", ".join(f"{e if isinstance(e, str) else e[side]} AS {c}" for c, e in columns)
-    source = table if joined is None else (
-        f"{table} JOIN {joined[0]} ON {joined[1]} = {joined[2]}")
-    return f"SELECT {picked} FROM {source}"
+    joined = "".join(f" JOIN {other} ON {on}" for other, on in joins)
+    return f"SELECT {picked} FROM {table}{joined}"
 
 
 class Adapters:
@@ -286,10 +293,9 @@ class Adapters:
 
     def __getitem__(self, name: str) -> DataFrame:
         base, columns = TABLES[name]
-        table, joined = BASES[base]
+        table, joins = BASES[base]
         df = self.given(table)
-        if joined is not None:
-            other = self.given(joined[0])
-            df = df.join(other, df[joined[1]] == other[joined[2]])
+        for other, on in joins:
+            df = df.join(self.given(other), F.expr(on))
         return df.selectExpr(*[
             f"{e if isinstance(e, str) else e[SPARK]} AS {c}" for c, e in columns])
