@@ -1 +1,114 @@
-"""Queries over state changes."""
+"""Registered queries over batches of state changes and login attempts."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tenantlake.operators import accounts, companies, invites, keyed, logs, members
+from tenantlake.plans.catalog import query
+
+PURGE_BEFORE = datetime(1998, 1, 1, 8)
+
+
+def register_outcome(prefix: str, run, tables: dict[str, str]) -> None:
+    """One query for the verdicts, one for the log rows, one per changed table."""
+    query(f"{prefix}_verdicts")(lambda t: run(t).verdicts)
+    query(f"{prefix}_log_rows")(lambda t: run(t).log_rows)
+    for table, suffix in tables.items():
+        query(f"{prefix}_{suffix}")(lambda t, table=table: run(t).tables[table])
+
+
+register_outcome(
+    "m1_company_signup",
+    lambda t: companies.sign_up_companies(t["company"], t["app_user"], t["company_signups"]),
+    {"company": "companies", "app_user": "users"})
+register_outcome(
+    "m2_account_signup",
+    lambda t: accounts.sign_up_accounts(t["app_user"], t["account_signups"]),
+    {"app_user": "users"})
+register_outcome(
+    "m3_account_status",
+    lambda t: accounts.set_account_status(t["app_user"], t["user_session"],
+                                          t["account_status_requests"]),
+    {"app_user": "users", "user_session": "sessions"})
+register_outcome(
+    "m4_account_role",
+    lambda t: accounts.set_account_roles(t["app_user"], t["account_role_requests"]),
+    {"app_user": "users"})
+register_outcome(
+    "m5_company_status",
+    lambda t: companies.set_company_status(t["company"], t["app_user"], t["user_session"],
+                                           t["company_status_requests"]),
+    {"company": "companies", "user_session": "sessions"})
+register_outcome(
+    "m6_m9_member_changes",
+    lambda t: members.change_members(t["app_user"], t["user_session"], t["member_requests"]),
+    {"app_user": "users", "user_session": "sessions"})
+register_outcome(
+    "m10_send_invites",
+    lambda t: invites.send_invites(t["invite"], t["company"], t["app_user"],
+                                   t["invite_requests"]),
+    {"invite": "invites"})
+register_outcome(
+    "m11_revoke_invites",
+    lambda t: invites.revoke_invites(t["invite"], t["invite_token_requests"]),
+    {"invite": "invites"})
+register_outcome(
+    "m12_extend_invites",
+    lambda t: invites.extend_invites(t["invite"], t["invite_token_requests"]),
+    {"invite": "invites"})
+register_outcome(
+    "m13_accept_invites",
+    lambda t: invites.accept_invites(t["invite"], t["company"], t["app_user"],
+                                     t["invite_accepts"]),
+    {"invite": "invites", "app_user": "users"})
+register_outcome(
+    "m14_logout", lambda t: accounts.log_out(t["user_session"], t["logouts"]),
+    {"user_session": "sessions"})
+register_outcome(
+    "m15_password_change",
+    lambda t: accounts.change_passwords(t["app_user"], t["user_session"],
+                                        t["password_changes"]),
+    {"app_user": "users", "user_session": "sessions"})
+
+
+@query("m16_purge_sessions")
+def _(t):
+    return accounts.purge_sessions(t["user_session"], PURGE_BEFORE)
+
+
+@query("m16_purged_count")
+def _(t):
+    return accounts.purged_count(t["user_session"], PURGE_BEFORE)
+
+
+def _staged_people(t):
+    """Accounts before any operator exists."""
+    return t["app_user"].filter(~F.col("is_super"))
+
+
+register_outcome(
+    "m17_first_operator",
+    lambda t: accounts.first_operator(_staged_people(t), t["first_operator_requests"]),
+    {"app_user": "users"})
+
+
+@query("m17_first_admin_too_late")
+def _(t):
+    return accounts.first_admin(t["app_user"], t["account_signups"]).verdicts
+
+
+@query("m18_next_company_numbers")
+def _(t):
+    asked = t["company_signups"].select("request_id", "request_ts")
+    numbered = keyed.number_rows(asked, ["request_ts", "request_id"], "n",
+                                 keyed.largest_number(t["company"], "company_id", prefix=1))
+    return numbered.select("request_id", keyed.company_number("n").alias("company_id"))
+
+
+@query("c3_append_log")
+def _(t):
+    rows = accounts.set_account_roles(t["app_user"], t["account_role_requests"]).log_rows
+    return logs.append_log(t["user_login_log"], rows)

@@ -21,8 +21,8 @@ BASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "events_only": ("events", []),
     "orders": ("orders", [_CUSTOMER_OF_ORDER]),
     "events": ("events", [("customer", "c_custkey = user_id")]),
-    # three events address the invite of one order
-    "events_invites": ("events", [("orders", "o_orderkey = event_id - event_id % 3"),
+    # five events address the invite of one order
+    "events_invites": ("events", [("orders", "o_orderkey = event_id - event_id % 5"),
                                   _CUSTOMER_OF_ORDER]),
 }
 
@@ -253,7 +253,27 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
         ("request_ts", _NEAR_INVITE),
         ("actor", "CAST(NULL AS VARCHAR(50))"),
         ("token", _pair(_EVENT_TOKEN)),
-        ("name", "CASE WHEN event_id % 5 = 0 THEN ' ' ELSE concat(' Guest ', event_id) END"),
+        ("name", "CASE WHEN event_id % 6 = 0 THEN ' ' ELSE concat(' Guest ', event_id) END"),
+        ("password", _PASSWORD),
+        ("password_hash", "concat('staged-', event_id)"),
+    ]),
+    "member_requests": ("events", [
+        *_REQUEST,
+        ("company_id", _COMPANY_OF_CUSTOMER),
+        ("email", "CASE WHEN event_id % 43 = 0 THEN 'broken' WHEN event_id % 44 = 0 THEN "
+                  "concat('stranger@nation', c_nationkey, '.test') ELSE "
+                  f"{_CUSTOMER_MAIL} END"),
+        ("op", "split_part('role,remove,active', ',', CAST(event_id % 3 + 1 AS INT))"),
+        ("role", "CASE WHEN event_id % 3 = 0 THEN split_part('admin,reviewer,member,owner', "
+                 "',', CAST(event_id % 4 + 1 AS INT)) END"),
+        ("active", "CASE WHEN event_id % 3 = 2 THEN event_id % 2 = 0 END"),
+    ]),
+    "first_operator_requests": ("events", [
+        ("request_id", "event_id"),
+        ("request_ts", "ts"),
+        ("email", "CASE WHEN event_id % 4 = 0 THEN 'operator' ELSE concat('Operator', "
+                  "event_id, '@service.test') END"),
+        ("name", "concat('Operator ', event_id)"),
         ("password", _PASSWORD),
         ("password_hash", "concat('staged-', event_id)"),
     ]),
