@@ -314,7 +314,7 @@ def _nothing(kind: str):
     return F.lit(None).cast(kind)
 
 
-def _steps(attempts: DataFrame, controls: DataFrame | None) -> DataFrame:
+def login_steps(attempts: DataFrame, controls: DataFrame | None) -> DataFrame:
     tried = attempts.select(
         strip("user_id").alias("user_id"), F.lit(ATTEMPT).alias("kind"),
         F.col("attempt_id").alias("id"), "at",
@@ -392,7 +392,7 @@ def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None
     if there are any, they take the sliced way.
     """
     accounts = account_states(users, company)
-    steps = _steps(attempts, controls)
+    steps = login_steps(attempts, controls)
     hot = steps.groupBy("user_id").count().filter(F.col("count") > hot_rows).select("user_id")
     if hot.isEmpty():
         return _plain_fold(steps, accounts)

@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tenantlake.operators import accounts, companies, invites, keyed, logs, members
+from tenantlake.operators import (
+    accounts, companies, invites, keyed, lockout, logs, members)
 from tenantlake.plans.catalog import query
 
 PURGE_BEFORE = datetime(1998, 1, 1, 8)
@@ -112,3 +113,50 @@ def _(t):
 def _(t):
     rows = accounts.set_account_roles(t["app_user"], t["account_role_requests"]).log_rows
     return logs.append_log(t["user_login_log"], rows)
+
+
+# --- L: login attempts -----------------------------------------------------------------
+def _folded(t, gated: bool = False, **how):
+    return lockout.fold_logins(t["app_user"], t["attempts"],
+                               t["company"] if gated else None, **how)
+
+
+@query("l1_l4_login_verdicts")
+def _(t):
+    return lockout.login_verdicts(_folded(t))
+
+
+@query("l1_sliced_hot_accounts")
+def _(t):
+    # A low threshold, so that most accounts take the way meant for the few hot ones.
+    return lockout.login_verdicts(_folded(t, hot_rows=20, slices=16))
+
+
+@query("l1_login_log_rows")
+def _(t):
+    return lockout.login_log_rows(_folded(t))
+
+
+@query("l2_login_sessions")
+def _(t):
+    return lockout.login_sessions(_folded(t))
+
+
+@query("l2_login_accounts")
+def _(t):
+    return lockout.login_accounts(t["app_user"], _folded(t))
+
+
+@query("l3_company_gate_verdicts")
+def _(t):
+    return lockout.login_verdicts(_folded(t, gated=True))
+
+
+@query("l3_company_gate_sessions")
+def _(t):
+    return lockout.login_sessions(_folded(t, gated=True))
+
+
+@query("l3_company_gate_log_rows")
+def _(t):
+    return lockout.login_log_rows(_folded(t, gated=True))

@@ -20,8 +20,10 @@ def with_tables(*names: str, extra: str = "") -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
-def oracle(name: str, tables: str, body: str, extra: str = "") -> None:
-    ORACLES[name] = with_tables(*tables.split(), extra=extra) + body
+def oracle(name: str, tables: str, body: str, extra: str = "",
+           recursive: bool = False) -> None:
+    text = with_tables(*tables.split(), extra=extra) + body
+    ORACLES[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
 
 
 def iso(c: str) -> str:

@@ -265,3 +265,60 @@ oracle("m18_next_company_numbers", "company company_signups",
        "'0')) ELSE concat('C', n) END AS company_id FROM (SELECT request_id, (SELECT count(*) "
        "FROM company) + row_number() OVER (ORDER BY request_ts, request_id) AS n FROM "
        "company_signups)")
+
+# --- L: the lockout rules as a recursion over the attempts of each account ---------------
+_LOCK = (
+    "tries AS (SELECT a.attempt_id, a.user_id, a.\"at\" AS t, a.password_ok AS ok, u.status, "
+    "coalesce(c.status = 'SUSPENDED', false) AS closed, row_number() OVER (PARTITION BY "
+    "a.user_id ORDER BY a.\"at\", a.attempt_id) AS rn FROM attempts a LEFT JOIN app_user u ON "
+    "u.user_id = a.user_id LEFT JOIN company c ON c.company_id = u.company_id), steps AS ("
+    "SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS INT) AS failed, CAST(NULL AS "
+    "TIMESTAMP) AS locked, CAST(NULL AS BIGINT) AS attempt_id, CAST(NULL AS TIMESTAMP) AS t, "
+    "CAST(NULL AS VARCHAR) AS what, false AS closed FROM (SELECT DISTINCT user_id FROM tries) "
+    "UNION ALL SELECT user_id, rn, CASE what WHEN 'wrong' THEN failed + 1 WHEN 'ok' THEN 0 "
+    "ELSE failed END, CASE WHEN what = 'wrong' AND failed + 1 >= 5 THEN t + INTERVAL '10' "
+    "MINUTE WHEN what = 'ok' THEN NULL ELSE locked END, attempt_id, t, what, closed FROM ("
+    "SELECT s.user_id, s.rn, f.failed, f.locked, s.attempt_id, s.t, s.closed, CASE WHEN "
+    "s.status IS NULL THEN 'stranger' WHEN f.locked > s.t THEN 'locked' WHEN NOT s.ok THEN "
+    "'wrong' WHEN s.status = 'PENDING' THEN 'pending' WHEN s.status <> 'ACTIVE' THEN "
+    "'disabled' ELSE 'ok' END AS what FROM steps f JOIN tries s ON s.user_id = f.user_id AND "
+    "s.rn = f.rn + 1)), folded AS (SELECT attempt_id, user_id, t AS \"at\", CASE WHEN what = "
+    "'ok' THEN 'LOGIN_OK' WHEN what = 'wrong' AND failed >= 5 THEN 'LOCKED' ELSE 'LOGIN_FAIL' "
+    "END AS event, CASE what WHEN 'stranger' THEN 'no such user' WHEN 'wrong' THEN concat("
+    "'failed=', failed) WHEN 'ok' THEN NULL ELSE what END AS detail, CASE what WHEN 'locked' "
+    "THEN 'ACCOUNT_LOCKED' WHEN 'pending' THEN 'ACCOUNT_PENDING' WHEN 'disabled' THEN "
+    "'ACCOUNT_DISABLED' WHEN 'ok' THEN CASE WHEN closed AND {gated} THEN 'COMPANY_SUSPENDED' "
+    "END ELSE 'LOGIN_FAILED' END AS error_code, CASE WHEN what = 'locked' THEN CAST(date_diff("
+    "'microsecond', t, locked) // 60000000 + 1 AS BIGINT) END AS minutes_left, failed, locked, "
+    "rn FROM steps WHERE rn > 0)")
+
+
+def _lock(name: str, body: str, gated: bool = False) -> None:
+    oracle(name, "attempts app_user company", body,
+           _LOCK.replace("{gated}", "true" if gated else "false"), recursive=True)
+
+
+_VERDICTS = ("SELECT attempt_id, user_id, \"at\", event, detail, error_code, minutes_left FROM "
+             "folded")
+_SESSIONS = (
+    "SELECT sha256(concat('login-', attempt_id)) AS session_id, user_id, \"at\" AS created_at, "
+    "\"at\" + INTERVAL '8' HOUR AS expires_at, CASE WHEN error_code = 'COMPANY_SUSPENDED' THEN "
+    "\"at\" END AS revoked_at FROM folded WHERE event = 'LOGIN_OK'")
+_LOGGED = (
+    "SELECT attempt_id AS request_id, 0 AS seq, user_id, event, detail, \"at\" FROM folded UNION "
+    "ALL SELECT attempt_id, 1, user_id, 'LOGOUT', NULL, \"at\" FROM folded WHERE error_code = "
+    "'COMPANY_SUSPENDED'")
+_lock("l1_l4_login_verdicts", _VERDICTS)
+_lock("l1_sliced_hot_accounts", _VERDICTS)
+_lock("l1_login_log_rows", _LOGGED)
+_lock("l2_login_sessions", _SESSIONS)
+_lock("l2_login_accounts",
+      "SELECT u.* REPLACE (coalesce(f.failed, u.failed_count) AS failed_count, f.locked AS "
+      "locked_until, coalesce(g.t, u.last_login_at) AS last_login_at) FROM app_user u LEFT JOIN "
+      "(SELECT user_id AS k, failed, locked FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn "
+      "DESC) AS r FROM folded) WHERE r = 1) f ON f.k = u.user_id LEFT JOIN (SELECT user_id AS "
+      "k, max(\"at\") AS t FROM folded WHERE event = 'LOGIN_OK' GROUP BY user_id) g ON g.k = "
+      "u.user_id")
+_lock("l3_company_gate_verdicts", _VERDICTS, gated=True)
+_lock("l3_company_gate_sessions", _SESSIONS, gated=True)
+_lock("l3_company_gate_log_rows", _LOGGED, gated=True)
