@@ -20,7 +20,9 @@ def strip(c: Column | str) -> Column:
 
 
 def blank_to_null(c: Column | str) -> Column:
-    return F.nullif(col(c), F.lit(""))
+    """NULL for ''. Not `nullif`: its shared subexpression adds a projection of its own,
+    and a limit over a sort is only a top-k with a single projection between them."""
+    return F.when(col(c) != "", col(c))
 
 
 def words(c: Column | str) -> Column:

@@ -11,12 +11,11 @@ from tenantlake import config
 from tenantlake.functions.rules import (
     account_error, clean_email, email_error, local_part, password_error)
 from tenantlake.functions.text import strip, token_key
-from tenantlake.operators.keyed import (
-    first_per_key, last_per_key, revoke_sessions, update_by_key)
+from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, after_winner, flag_existing, is_winner, lookup, settle, staged_text,
-    user_rows, with_winner)
+    ORDER, Outcome, flag_existing, is_winner, lookup, settle, staged_text, user_rows,
+    with_winner)
 
 
 def _account_requests(requests: DataFrame) -> DataFrame:
@@ -149,22 +148,18 @@ def _seed_once(requests: DataFrame, existing: DataFrame, late_error: Column,
                early_error: Column | None = None) -> DataFrame:
     """Judge seed requests: one may win, and only while `existing` has no row.
 
-    `early_error` is checked before the seat, `late_error` after it. Both side tables
-    have at most one row and are broadcast on a constant key.
+    `early_error` is checked before the seat, `late_error` after it. Whether the seat is
+    taken and who came first are single values, so they are scalar subqueries.
     """
-    taken = existing.limit(1).select(F.lit(1).alias("_k"), F.lit(True).alias("_taken"))
     early = F.lit(None).cast("string") if early_error is None else early_error
+    taken = existing.limit(1).select(F.lit(True)).scalar()
     staged = (requests.withColumn("_early", early).withColumn("_late", late_error)
-              .withColumn("_k", F.lit(1)).join(F.broadcast(taken), "_k", "left"))
-    clean = (F.col("_early").isNull() & F.col("_late").isNull() & F.col("_taken").isNull())
-    first = first_per_key(staged.filter(clean), ["_k"], ORDER)
-    judged = staged.join(F.broadcast(first.select(
-        "_k", F.col("request_ts").alias("w_request_ts"),
-        F.col("request_id").alias("w_request_id"))), "_k", "left")
-    error = F.coalesce(
-        "_early", F.when(F.col("_taken").isNotNull() | after_winner(),
-                         F.lit("ALREADY_INITIALIZED")), "_late")
-    return judged.withColumn("error_code", error)
+              .withColumn("_taken", F.coalesce(taken, F.lit(False))))
+    clean = F.col("_early").isNull() & F.col("_late").isNull() & ~F.col("_taken")
+    first = staged.filter(clean).agg(F.min(F.struct(*ORDER))).scalar()
+    beaten = F.coalesce(F.struct(*ORDER) > first, F.lit(False))
+    return staged.withColumn("error_code", F.coalesce(
+        "_early", F.when(F.col("_taken") | beaten, F.lit("ALREADY_INITIALIZED")), "_late"))
 
 
 def first_admin(users: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
