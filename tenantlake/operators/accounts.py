@@ -29,14 +29,14 @@ def _account_requests(requests: DataFrame) -> DataFrame:
     return staged.withColumn("_error", error).drop("_password")
 
 
-def sign_up_accounts(users: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def sign_up_accounts(users: DataFrame, requests: DataFrame) -> Outcome:
     """Plain sign-up; the account waits for approval. First clean request per id wins."""
-    known = flag_existing(_account_requests(requests), users, "user_id", "_exists")
+    known = settle(flag_existing(_account_requests(requests), users, "user_id", "_exists"))
     judged = with_winner(known, F.col("_error").isNull() & ~F.col("_exists"), "user_id")
     error = F.coalesce("_error", F.when(F.col("_exists") | ~is_winner(), "USER_EXISTS"))
-    verdicts = settle(judged.select(
+    verdicts = judged.select(
         "request_id", "request_ts", "user_id", "display_name", "role", "password_hash",
-        error.alias("error_code")), freeze)
+        error.alias("error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())
     new = user_rows(accepted, user_id=F.col("user_id"), display_name=F.col("display_name"),
                     role=F.col("role"), status=F.lit("PENDING"))
@@ -45,8 +45,7 @@ def sign_up_accounts(users: DataFrame, requests: DataFrame, freeze: bool = False
                    accepted.select(*log_row("user_id", "SIGNUP", detail)))
 
 
-def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFrame,
-                       freeze: bool = False) -> Outcome:
+def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """Approve or stop accounts; also clears the failure counter and any lock.
 
     The last request per account decides its status. Any stopping request ends the
@@ -56,7 +55,7 @@ def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFram
     verdicts = settle(
         flag_existing(requests, users, "user_id", "_exists").select(
             "request_id", "request_ts", "actor", "user_id", "status",
-            error.alias("error_code")), freeze)
+            error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["user_id"], ORDER, ["status", "actor"])
     stopped = (accepted.filter(F.col("status") != "ACTIVE").groupBy("user_id")
@@ -71,7 +70,7 @@ def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFram
         verdicts, accepted.select(*log_row("user_id", event, by())))
 
 
-def set_account_roles(users: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def set_account_roles(users: DataFrame, requests: DataFrame) -> Outcome:
     """Change the account role; logged as ACTIVATE. Setting the same role is a success."""
     allowed = F.coalesce("role", F.lit("")).isin(*config.ACCOUNT_ROLES)
     error = F.when(~allowed, F.lit("INVALID_ROLE")).when(
@@ -79,7 +78,7 @@ def set_account_roles(users: DataFrame, requests: DataFrame, freeze: bool = Fals
     verdicts = settle(
         flag_existing(requests, users, "user_id", "_exists").select(
             "request_id", "request_ts", "actor", "user_id", "role",
-            error.alias("error_code")), freeze)
+            error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["user_id"], ORDER, ["role"])
     detail = F.concat(F.lit("role="), "role", F.lit(" "), by())
@@ -88,17 +87,17 @@ def set_account_roles(users: DataFrame, requests: DataFrame, freeze: bool = Fals
         verdicts, accepted.select(*log_row("user_id", "ACTIVATE", detail)))
 
 
-def log_out(sessions: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def log_out(sessions: DataFrame, requests: DataFrame) -> Outcome:
     """End sessions by token. `done` tells whether the request ended one; there is no error."""
     staged = requests.select("request_id", "request_ts", token_key("token").alias("session_id"))
-    found = lookup(staged, sessions, "session_id",
-                   {"user_id": "user_id", "_ended": "revoked_at"})
+    found = settle(lookup(staged, sessions, "session_id",
+                          {"user_id": "user_id", "_ended": "revoked_at"}))
     open_now = F.col("user_id").isNotNull() & F.col("_ended").isNull()
     judged = with_winner(found, open_now, "session_id")
-    verdicts = settle(judged.select(
+    verdicts = judged.select(
         "request_id", "request_ts", "session_id", "user_id",
         F.coalesce(is_winner(), F.lit(False)).alias("done"),
-        F.lit(None).cast("string").alias("error_code")), freeze)
+        F.lit(None).cast("string").alias("error_code"))
     done = verdicts.filter("done")
     ended = update_by_key(sessions, done.select("session_id", "request_ts"), "session_id",
                           {"revoked_at": F.coalesce("revoked_at", "c_request_ts")})
@@ -106,8 +105,7 @@ def log_out(sessions: DataFrame, requests: DataFrame, freeze: bool = False) -> O
                    done.select(*log_row("user_id", "LOGOUT")))
 
 
-def change_passwords(users: DataFrame, sessions: DataFrame, requests: DataFrame,
-                     freeze: bool = False) -> Outcome:
+def change_passwords(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """Staging brings the new hash and what the verifier said (old_ok, same_as_old)."""
     staged = requests.withColumn("_weak", password_error(
         staged_text(requests, "new_password"), F.coalesce("user_id", F.lit(""))))
@@ -117,8 +115,7 @@ def change_passwords(users: DataFrame, sessions: DataFrame, requests: DataFrame,
         .when(F.col("same_as_old"), F.lit("SAME_PASSWORD")))
     verdicts = settle(
         flag_existing(staged, users, "user_id", "_exists").select(
-            "request_id", "request_ts", "user_id", "new_hash", error.alias("error_code")),
-        freeze)
+            "request_id", "request_ts", "user_id", "new_hash", error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["user_id"], ORDER, ["new_hash"])
     ended = accepted.groupBy("user_id").agg(F.min("request_ts").alias("revoke_at"))
@@ -162,14 +159,14 @@ def _seed_once(requests: DataFrame, existing: DataFrame, late_error: Column,
         "_early", F.when(F.col("_taken") | beaten, F.lit("ALREADY_INITIALIZED")), "_late"))
 
 
-def first_admin(users: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def first_admin(users: DataFrame, requests: DataFrame) -> Outcome:
     """The very first account, possible only while there is none."""
     staged = requests if "role" in requests.columns else requests.withColumn(
         "role", F.lit("APPROVER"))
     staged = _account_requests(staged)
     judged = _seed_once(staged, users, F.col("_error"))
     verdicts = settle(judged.select("request_id", "request_ts", "user_id", "display_name",
-                                    "role", "password_hash", "error_code"), freeze)
+                                    "role", "password_hash", "error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())
     new = user_rows(
         accepted, user_id=F.col("user_id"), display_name=F.col("display_name"),
@@ -181,7 +178,7 @@ def first_admin(users: DataFrame, requests: DataFrame, freeze: bool = False) ->
     return Outcome({"app_user": users.unionByName(new)}, verdicts.drop("password_hash"), logs)
 
 
-def first_operator(users: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def first_operator(users: DataFrame, requests: DataFrame) -> Outcome:
     """The first operator of the service; belongs to no company."""
     name = F.col("name") if "name" in requests.columns else F.lit(config.FIRST_OPERATOR_NAME)
     staged = requests.select(
@@ -192,7 +189,7 @@ def first_operator(users: DataFrame, requests: DataFrame, freeze: bool = False)
                       F.when(F.col("_exists"), F.lit("USER_EXISTS")))
     judged = _seed_once(known, users.filter("is_super"), late, email_error("email"))
     verdicts = settle(judged.select("request_id", "request_ts", "email", "name",
-                                    "password_hash", "error_code"), freeze)
+                                    "password_hash", "error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())
     new = user_rows(
         accepted, user_id=F.col("email"), email=F.col("email"), display_name=F.col("name"),

@@ -18,8 +18,7 @@ from tenantlake.operators.outcome import (
     with_winner)
 
 
-def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame,
-                      freeze: bool = False) -> Outcome:
+def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame) -> Outcome:
     """Found a company together with its first admin.
 
     The mail domain is the tenant: the first clean request per domain founds it, later
@@ -39,14 +38,14 @@ def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame,
     known = flag_existing(known, company, "domain", "_domain")
     taken = (F.when(F.col("_mail") | F.col("_id"), F.lit("USER_EXISTS"))
              .when(F.col("_domain"), F.lit("COMPANY_EXISTS")))
-    known = known.withColumn("_taken", taken)
+    known = settle(known.withColumn("_taken", taken))
     judged = with_winner(known, F.col("_error").isNull() & F.col("_taken").isNull(), "domain",
                          ["email"])
     beaten = F.when(after_winner(), F.when(
         F.col("email") == F.col("w_email"), F.lit("USER_EXISTS")).otherwise("COMPANY_EXISTS"))
-    verdicts = settle(judged.select(
+    verdicts = judged.select(
         "request_id", "request_ts", "email", "name", "company", "domain", "password_hash",
-        F.coalesce("_error", "_taken", beaten).alias("error_code")), freeze)
+        F.coalesce("_error", "_taken", beaten).alias("error_code"))
     accepted = number_rows(verdicts.filter(F.col("error_code").isNull()), ORDER, "_n",
                            largest_number(company, "company_id", prefix=1))
     accepted = accepted.withColumn("company_id", company_number("_n")).drop("_n")
@@ -66,14 +65,14 @@ def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame,
 
 
 def set_company_status(company: DataFrame, users: DataFrame, sessions: DataFrame,
-                       requests: DataFrame, freeze: bool = False) -> Outcome:
+                       requests: DataFrame) -> Outcome:
     """Suspend or reopen companies; suspending ends the open sessions of all its people."""
     staged = flag_existing(requests, company, "company_id", "_exists")
     error = F.coalesce(company_status_error("status"),
                        F.when(~F.col("_exists"), F.lit("COMPANY_NOT_FOUND")))
     verdicts = settle(staged.select(
         "request_id", "request_ts", "actor", "company_id",
-        company_status("status").alias("status"), error.alias("error_code")), freeze)
+        company_status("status").alias("status"), error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["company_id"], ORDER, ["status"])
     closed = (accepted.filter(F.col("status") != "ACTIVE").groupBy("company_id")

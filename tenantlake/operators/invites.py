@@ -37,7 +37,7 @@ def with_next_time(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def send_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
-                 requests: DataFrame, freeze: bool = False) -> Outcome:
+                 requests: DataFrame) -> Outcome:
     """Invite people of the company's own mail domain.
 
     A new invite revokes every open one of the same mail in any company, expired ones
@@ -52,7 +52,7 @@ def send_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
         .when(domain_of("email") != F.col("_domain"), F.lit("DOMAIN_MISMATCH"))
         .when(F.col("_exists"), F.lit("USER_EXISTS")))
     verdicts = settle(staged.select("request_id", "request_ts", "actor", "company_id", "email",
-                                    "role", "token", error.alias("error_code")), freeze)
+                                    "role", "token", error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     new = with_next_time(accepted, "email", "revoked_at").select(
         "token", "company_id", "email", "role", F.col("actor").alias("invited_by"),
@@ -76,13 +76,14 @@ def _open_invites(requests: DataFrame, invite: DataFrame) -> tuple[DataFrame, Co
     return found, fits
 
 
-def revoke_invites(invite: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def revoke_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
     """Revoke open invites of the own company; the second request on a token fails."""
     found, fits = _open_invites(requests, invite)
-    judged = with_winner(found.withColumn("_fits", fits), F.col("_fits"), "token")
+    known = settle(found.withColumn("_fits", fits))
+    judged = with_winner(known, F.col("_fits"), "token")
     error = F.when(~(F.col("_fits") & is_winner()), F.lit("INVITE_NOT_FOUND"))
-    verdicts = settle(judged.select("request_id", "request_ts", "actor", "company_id",
-                                    "token", error.alias("error_code")), freeze)
+    verdicts = judged.select("request_id", "request_ts", "actor", "company_id", "token",
+                             error.alias("error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())
     changed = update_by_key(invite, accepted.select("token", "request_ts"), "token",
                             {"revoked_at": F.col("c_request_ts")})
@@ -90,13 +91,13 @@ def revoke_invites(invite: DataFrame, requests: DataFrame, freeze: bool = False)
         *log_row("actor", "INVITE_REVOKE", F.substring("token", 1, 12))))
 
 
-def extend_invites(invite: DataFrame, requests: DataFrame, freeze: bool = False) -> Outcome:
+def extend_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
     """Give open invites, also expired ones, seven days from the request; same token."""
     found, fits = _open_invites(requests, invite)
     error = F.when(~fits, F.lit("INVITE_NOT_FOUND"))
     verdicts = settle(found.select(
         "request_id", "request_ts", "actor", "company_id", "token", error.alias("error_code"),
-        F.when(fits, plus("request_ts", days=config.INVITE_DAYS)).alias("expires_at")), freeze)
+        F.when(fits, plus("request_ts", days=config.INVITE_DAYS)).alias("expires_at")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["token"], ORDER, ["expires_at"])
     changed = update_by_key(invite, final, "token", {"expires_at": F.col("c_expires_at")})
@@ -105,7 +106,7 @@ def extend_invites(invite: DataFrame, requests: DataFrame, freeze: bool = False)
 
 
 def accept_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
-                   requests: DataFrame, freeze: bool = False) -> Outcome:
+                   requests: DataFrame) -> Outcome:
     """Create the invited accounts.
 
     The first clean request per mail wins. Later ones on its token find the invite used,
@@ -124,16 +125,17 @@ def accept_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
             F.when(F.col("name") == "", F.lit("NAME_REQUIRED")),
             password_error("_password", local_part("email")),
             F.when(F.col("_mail") | F.col("_id"), F.lit("USER_EXISTS")))).drop("_password")
+    found = settle(found)
     judged = with_winner(found, F.col("_invite").isNull() & F.col("_late").isNull(), "email",
                          ["token"])
     same = F.coalesce(F.col("token") == F.col("w_token"), F.lit(False))
     error = F.coalesce(
         F.when(after_winner() & same, F.lit("INVITE_USED")), "_invite", "_late",
         F.when(after_winner(), F.lit("USER_EXISTS")))
-    verdicts = settle(judged.select(
+    verdicts = judged.select(
         "request_id", "request_ts", "token", "name", "email", F.col("i_role").alias("role"),
         F.col("i_company_id").alias("company_id"), "password_hash",
-        error.alias("error_code")), freeze)
+        error.alias("error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())
     new = user_rows(
         accepted, user_id=F.col("email"), email=F.col("email"), display_name=F.col("name"),

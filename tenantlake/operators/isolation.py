@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake import config
@@ -97,36 +99,22 @@ def split_by_ownership(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
             rejected.withColumn("error_code", F.lit("EVIDENCE_NOT_FOUND")))
 
 
-def _matrix(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """A constant table of a dozen rows, so broadcasting it is always safe."""
-    table = spark.createDataFrame(rows, "role string, action string")
-    return F.broadcast(table.withColumn("_allowed", F.lit(True)))
-
-
-def permission_matrix(spark: SparkSession) -> DataFrame:
-    return _matrix(spark, [(role, action) for action, roles in config.PERMISSIONS.items()
-                           for role in roles])
-
-
-def grant_matrix(spark: SparkSession) -> DataFrame:
-    return _matrix(spark, [(role, action) for role, actions in config.EVIDENCE_GRANTS.items()
-                           for action in actions])
-
-
-def _allowed(requests: DataFrame, matrix: DataFrame) -> DataFrame:
-    return (requests.join(matrix, ["role", "action"], "left")
-            .withColumn("allowed", F.coalesce("_allowed", F.lit(False)))
-            .select(*requests.columns, "allowed"))
+def _permitted(matrix: dict[str, tuple[str, ...]], outer: str, inner: str) -> Column:
+    """A permission matrix is a dozen constants, so it is an expression, not a join."""
+    cells = [(F.col(outer) == o) & F.col(inner).isin(*allowed)
+             for o, allowed in matrix.items() if allowed]
+    return F.coalesce(reduce(or_, cells), F.lit(False))
 
 
 def check_permissions(requests: DataFrame) -> DataFrame:
-    """May this role do this action? Unknown roles, unknown actions, super: no."""
-    return _allowed(requests, permission_matrix(requests.sparkSession))
+    """Add `allowed`: may this role do this action? Unknown roles and actions, super: no."""
+    return requests.withColumn("allowed", _permitted(config.PERMISSIONS, "action", "role"))
 
 
 def check_grants(requests: DataFrame) -> DataFrame:
-    """May this role touch evidence in this way?"""
-    return _allowed(requests, grant_matrix(requests.sparkSession))
+    """Add `allowed`: may this role touch evidence in this way?"""
+    return requests.withColumn("allowed",
+                               _permitted(config.EVIDENCE_GRANTS, "role", "action"))
 
 
 def can(role: str, action: str) -> bool:

@@ -29,8 +29,12 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str],
 
 
 def matching_keys(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The wanted keys that exist in the table; reads one column, keeps the match only."""
-    return table.select(key).join(wanted.select(key), key, "left_semi")
+    """The wanted keys that exist in the table; reads one column, keeps the match only.
+
+    The wanted keys are made distinct first: a key repeated by a third of the batch
+    would otherwise sit in one partition of the side that a semi join cannot split.
+    """
+    return table.select(key).join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def insert_ignore(table: DataFrame, new: DataFrame, key: str,

@@ -454,12 +454,20 @@ def login_sessions(folded: DataFrame, tokens: DataFrame | None = None) -> DataFr
         F.when(F.col("code") == "COMPANY_SUSPENDED", F.col("at")).alias("revoked_at"))
 
 
-def login_accounts(users: DataFrame, folded: DataFrame) -> DataFrame:
-    """Accounts with the counters, locks and last log-ins the attempts leave."""
+def login_states(folded: DataFrame) -> DataFrame:
+    """What the attempts leave of each account they touched: counter, lock, last log-in."""
     last = folded.groupBy("user_id").agg(
         F.max(F.struct("at", "kind", "attempt_id", "failed_count", "locked_until")).alias("s"),
         F.max(F.when(F.col("event") == "LOGIN_OK", F.col("at"))).alias("login_at"))
-    changes = last.select("user_id", "s.failed_count", "s.locked_until", "login_at")
-    return update_by_key(users, changes, "user_id", {
+    return last.select("user_id", "s.failed_count", "s.locked_until", "login_at")
+
+
+def login_accounts(users: DataFrame, folded: DataFrame) -> DataFrame:
+    """Accounts with the counters, locks and last log-ins the attempts leave."""
+    return with_login_states(users, login_states(folded))
+
+
+def with_login_states(users: DataFrame, states: DataFrame) -> DataFrame:
+    return update_by_key(users, states, "user_id", {
         "failed_count": F.col("c_failed_count"), "locked_until": F.col("c_locked_until"),
         "last_login_at": F.coalesce("c_login_at", "last_login_at")})

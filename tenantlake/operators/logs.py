@@ -28,11 +28,16 @@ def by(actor: Column | str = "actor") -> Column:
     return F.concat(F.lit("by="), F.coalesce(who, F.lit("None")))
 
 
-def new_log_rows(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows with their numbers, continuing the log in (at, request_id, seq) order."""
-    numbered = number_rows(rows, ["at", "request_id", "seq"], "log_id",
-                           largest_number(log, "log_id"))
-    return numbered.select(
+def new_log_rows(log: DataFrame | None, rows: DataFrame, last: int | None = None) -> DataFrame:
+    """The rows with their numbers, continuing the log in (at, request_id, seq) order.
+
+    The last number is read from the log unless the caller keeps it.
+    """
+    if last is None:
+        top = largest_number(log, "log_id")
+    else:
+        top = rows.sparkSession.range(last, last + 1).withColumnRenamed("id", "top")
+    return number_rows(rows, ["at", "request_id", "seq"], "log_id", top).select(
         "log_id", "user_id", "event",
         blank_to_null(F.substring("detail", 1, config.DETAIL_LENGTH)).alias("detail"), "at")
 

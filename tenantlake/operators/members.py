@@ -103,8 +103,7 @@ def _last_admin_verdicts(valid: DataFrame, users: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fold, "request_id bigint, _kept boolean")
 
 
-def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame,
-                   freeze: bool = False) -> Outcome:
+def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """`requests`: company_id, email, op (role | remove | active), role, active.
 
     Removing stops the account and ends its sessions but keeps its row and role.
@@ -118,14 +117,14 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame,
         F.col("status").alias("u_status"))
     known = staged.join(people, _MEMBER, "left").withColumn("_early", F.coalesce(
         "_early", F.when(F.col("u_id").isNull(), F.lit("MEMBER_NOT_FOUND"))))
-    known = settle(known, freeze)
+    known = settle(known)
     folded = _last_admin_verdicts(known.filter(F.col("_early").isNull()), users)
     judged = known.join(folded, "request_id", "left")
     error = F.coalesce("_early", F.when(~F.coalesce("_kept", F.lit(True)),
                                         F.lit("LAST_ADMIN")))
     verdicts = settle(judged.select(
         "request_id", "request_ts", "actor", "company_id", "email", "op", "role", "active",
-        F.col("u_id").alias("user_id"), error.alias("error_code")), freeze)
+        F.col("u_id").alias("user_id"), error.alias("error_code")))
     accepted = verdicts.filter(F.col("error_code").isNull())
     enabled = (F.col("op") == SET_ACTIVE) & F.coalesce("active", F.lit(False))
     roles = last_per_key(accepted.filter(F.col("op") == SET_ROLE), ["user_id"], ORDER, ["role"])

@@ -39,13 +39,14 @@ class Outcome:
             "http_status", http_status("error_code"))
 
 
-def settle(verdicts: DataFrame, freeze: bool) -> DataFrame:
-    """Judge once: a frozen batch is kept in the checkpoint folder and read by every
-    output (tables, log, rejects) instead of being judged again for each."""
-    if not freeze:
-        return verdicts
-    ensure_checkpoint_dir(verdicts.sparkSession)
-    return verdicts.checkpoint()
+def settle(requests: DataFrame) -> DataFrame:
+    """Keep a batch with what was looked up for it in the checkpoint folder.
+
+    Finding winners and writing the outputs (tables, log, rejects) then read the batch,
+    which is small, and not the tables it was checked against, which are not.
+    """
+    ensure_checkpoint_dir(requests.sparkSession)
+    return requests.checkpoint()
 
 
 def flag_existing(requests: DataFrame, table: DataFrame, key: str, flag: str,

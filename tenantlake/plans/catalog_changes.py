@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tenantlake.operators import (
     accounts, companies, invites, keyed, lockout, logs, members)
 from tenantlake.plans.catalog import query
+from tenantlake.streaming.replay import replay
 
 PURGE_BEFORE = datetime(1998, 1, 1, 8)
 
@@ -160,3 +161,13 @@ def _(t):
 @query("l3_company_gate_log_rows")
 def _(t):
     return lockout.login_log_rows(_folded(t, gated=True))
+
+
+@query("l5_stream_verdicts")
+def _(t):
+    return lockout.login_verdicts(replay(t["attempts"], t["app_user"], windows=2))
+
+
+@query("l6_stream_log_rows")
+def _(t):
+    return lockout.login_log_rows(replay(t["attempts"], t["app_user"], windows=2))

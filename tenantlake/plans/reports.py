@@ -36,7 +36,7 @@ def shown_role() -> Column:
 # --- companies -------------------------------------------------------------------
 def companies_by_id(company: DataFrame, keys: DataFrame) -> DataFrame:
     """The companies whose id is among the keys."""
-    return company.join(keys.select("company_id"), "company_id", "left_semi").select(
+    return company.join(keys.select("company_id").distinct(), "company_id", "left_semi").select(
         *COMPANY_COLUMNS)
 
 
@@ -45,7 +45,7 @@ def company_by_id(company: DataFrame, company_id: str) -> DataFrame:
 
 
 def companies_by_domain(company: DataFrame, keys: DataFrame) -> DataFrame:
-    return company.join(keys.select("domain"), "domain", "left_semi").select(
+    return company.join(keys.select("domain").distinct(), "domain", "left_semi").select(
         *COMPANY_COLUMNS[:4])
 
 
@@ -83,8 +83,8 @@ def admin_company_list(company: DataFrame, users: DataFrame) -> DataFrame:
 # --- accounts ----------------------------------------------------------------------
 def profiles(users: DataFrame, company: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Account plus company, as shown to the account itself; all accounts or some keys."""
-    chosen = users if keys is None else users.join(keys.select("user_id"), "user_id",
-                                                   "left_semi")
+    chosen = users if keys is None else users.join(
+        keys.select("user_id").distinct(), "user_id", "left_semi")
     return (
         chosen.join(_named_companies(company, "name", "domain", "status"), "company_id", "left")
         .select(
@@ -111,7 +111,7 @@ def members(users: DataFrame, company_id: str) -> DataFrame:
 
 
 def user_by_id(users: DataFrame, keys: DataFrame) -> DataFrame:
-    return users.join(keys.select("user_id"), "user_id", "left_semi").select(
+    return users.join(keys.select("user_id").distinct(), "user_id", "left_semi").select(
         "user_id", "display_name", "role", "is_admin", "status", "failed_count",
         "locked_until", "created_at", "approved_at", "approved_by", "last_login_at")
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tenantlake.operators.lockout import login_accounts, login_log_rows, login_sessions
+from tenantlake.operators.lockout import (
+    login_log_rows, login_sessions, login_states, with_login_states)
+from tenantlake.operators.keyed import largest_number
 from tenantlake.operators.logs import new_log_rows
-from tenantlake.schemas import USER_LOGIN_LOG, USER_SESSION
+from tenantlake.schemas import USER_SESSION
 from tenantlake.sources.versions import commit_version, current_version, read_current
 
+LOG, SESSIONS, USERS, STATES = "user_login_log", "user_session", "app_user", "login_state"
+
 
 def append_log_files(log_rows: DataFrame, path: str, checkpoint: str,
                      **trigger) -> StreamingQuery:
@@ -21,29 +26,59 @@ def append_log_files(log_rows: DataFrame, path: str, checkpoint: str,
             .trigger(**trigger).start())
 
 
+def _last_log_number(spark: SparkSession, root: str, version: dict | None) -> int:
+    """Kept with the version; read from the log only before the first batch."""
+    if version is None or LOG not in version["tables"]:
+        return 0
+    if LOG in version["marks"]:
+        return version["marks"][LOG]
+    return largest_number(read_current(spark, root, LOG), "log_id").first().top
+
+
 def merge_batch(root: str, source: str = "logins") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: accounts, sessions and log of one micro-batch become one
-    new version. A batch that is replayed after a failure is not applied twice."""
+    """A foreachBatch function: log, sessions and account states of a micro-batch become
+    one version. Only new files are written: the account table is not rewritten, the
+    states are laid over it on reading (`current_accounts`) and folded into it now and
+    then (`compact_accounts`). A batch replayed after a failure is not applied twice."""
 
     def apply(folded: DataFrame, batch_id: int) -> None:
         spark = folded.sparkSession
         folded = folded.persist()
         try:
-            users = read_current(spark, root, "app_user")
-            log = (read_current(spark, root, "user_login_log")
-                   if "user_login_log" in current_version(spark, root)["tables"]
-                   else spark.createDataFrame([], USER_LOGIN_LOG))
+            version = current_version(spark, root)
+            last = _last_log_number(spark, root, version)
+            rows = login_log_rows(folded)
+            states = login_states(folded).withColumn("batch", F.lit(batch_id).cast("bigint"))
             commit_version(
-                spark, root, {"app_user": login_accounts(users, folded)},
-                {"user_login_log": new_log_rows(log, login_log_rows(folded)),
-                 "user_session": login_sessions(folded).select(*USER_SESSION.names)},
-                batch=f"{source}:{batch_id}")
+                spark, root, {},
+                {LOG: new_log_rows(None, rows, last),
+                 SESSIONS: login_sessions(folded).select(*USER_SESSION.names),
+                 STATES: states},
+                batch=f"{source}:{batch_id}", marks={LOG: last + rows.count()})
         finally:
             folded.unpersist()
 
     return apply
 
 
+def current_accounts(spark: SparkSession, root: str) -> DataFrame:
+    """The account table with the latest login state of each account laid over it."""
+    users = read_current(spark, root, USERS)
+    if STATES not in current_version(spark, root)["tables"]:
+        return users
+    newest = F.max(F.struct("batch", "failed_count", "locked_until"))
+    states = read_current(spark, root, STATES).groupBy("user_id").agg(
+        newest.alias("s"), F.max("login_at").alias("login_at"))
+    return with_login_states(users, states.select(
+        "user_id", "s.failed_count", "s.locked_until", "login_at"))
+
+
+def compact_accounts(spark: SparkSession, root: str) -> int:
+    """Write the overlaid accounts as a new snapshot and drop the states."""
+    return commit_version(spark, root, {USERS: current_accounts(spark, root)},
+                          dropped=(STATES,))
+
+
 def merge_logins(folded: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (folded.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .foreachBatch(merge_batch(root)).trigger(**trigger).start())

@@ -322,3 +322,5 @@ _lock("l2_login_accounts",
 _lock("l3_company_gate_verdicts", _VERDICTS, gated=True)
 _lock("l3_company_gate_sessions", _SESSIONS, gated=True)
 _lock("l3_company_gate_log_rows", _LOGGED, gated=True)
+_lock("l5_stream_verdicts", _VERDICTS)
+_lock("l6_stream_log_rows", _LOGGED)

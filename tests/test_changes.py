@@ -131,10 +131,9 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("freeze", [False])
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("kind", list(CASES))
-def test_batch_equals_one_by_one(spark, kind, seed, freeze):
+def test_batch_equals_one_by_one(spark, kind, seed):
     rnd = random.Random(f"{kind}{seed}")
     people, firms, open_ones, letters = world(rnd)
     fields, ddl, run = CASES[kind]
@@ -200,7 +199,7 @@ def test_account_signup_first_per_id_wins(spark):
     out = accounts.sign_up_accounts(
         spark.createDataFrame([], APP_USER),
         spark.createDataFrame(ask, REQ + "user_id string, display_name string, role string, "
-                                   "password_hash string, password string"), freeze=True)
+                                   "password_hash string, password string"))
     assert [r.error_code for r in out.verdicts.orderBy("request_id").collect()] == [
         None, "USER_EXISTS", "INVALID_USER_ID", "INVALID_ROLE", "WEAK_PASSWORD"]
     new = out.tables["app_user"].first()

@@ -10,7 +10,8 @@ from tenantlake.operators import lockout
 from tenantlake.schemas import APP_USER, ATTEMPTS
 from tenantlake.sources import versions
 from tenantlake.streaming.logins import stream_logins
-from tenantlake.streaming.sinks import append_log_files, merge_logins
+from tenantlake.streaming.sinks import (
+    append_log_files, compact_accounts, current_accounts, merge_logins)
 from tests.test_changes import company, user
 
 T0 = datetime(2024, 1, 1)
@@ -219,9 +220,13 @@ def test_stream_equals_batch_over_a_restart(spark, arrivals):
                          for r in lockout.login_log_rows(batch).collect())
     ids = [r.log_id for r in merged.collect()]
     assert sorted(ids) == list(range(1, 301))
+    assert versions.current_version(spark, root)["marks"] == {"user_login_log": 300}
+    wanted = sorted(map(repr, lockout.login_accounts(users, batch).collect()))
+    assert sorted(map(repr, current_accounts(spark, root).collect())) == wanted
+    compact_accounts(spark, root)
+    assert "login_state" not in versions.current_version(spark, root)["tables"]
     stored = versions.read_current(spark, root, "app_user").collect()
-    assert sorted(map(repr, stored)) == sorted(
-        map(repr, lockout.login_accounts(users, batch).collect()))
+    assert sorted(map(repr, stored)) == wanted
 
 
 def test_log_files_are_appended(spark, arrivals):

@@ -73,7 +73,7 @@ def test_feed_of_every_company_limits_before_the_shuffle(stored):
 
 
 def test_python_only_where_the_order_matters(spark, small):
-    allowed = ("l1_", "l2_", "l3_", "l5_", "m6_")
+    allowed = ("l1_", "l2_", "l3_", "l5_", "l6_", "m6_")
     for name, run in all_queries().items():
         if name.startswith(allowed):
             continue
