@@ -324,3 +324,51 @@ _lock("l3_company_gate_sessions", _SESSIONS, gated=True)
 _lock("l3_company_gate_log_rows", _LOGGED, gated=True)
 _lock("l5_stream_verdicts", _VERDICTS)
 _lock("l6_stream_log_rows", _LOGGED)
+
+# --- M6 to M9: one request after another per company, as a recursion ----------------------
+_TAKES = ("(op = 'remove' OR (op = 'role' AND role <> 'admin') OR (op = 'active' AND NOT "
+          "active))")
+_M6 = (
+    "asked AS (SELECT request_id, request_ts, actor, company_id, lower(trim(email)) AS email, "
+    "op, role, active FROM member_requests), early AS (SELECT a.*, u.user_id, CASE WHEN op = "
+    "'role' AND a.role NOT IN ('admin', 'reviewer', 'member') THEN 'INVALID_ROLE' WHEN "
+    f"{email_bad('a.email')} THEN 'INVALID_EMAIL' WHEN u.user_id IS NULL THEN "
+    "'MEMBER_NOT_FOUND' END AS code FROM asked a LEFT JOIN (SELECT user_id, email, company_id "
+    "FROM app_user) u ON u.email = a.email AND u.company_id = a.company_id), valid AS (SELECT "
+    "*, row_number() OVER (PARTITION BY company_id ORDER BY request_ts, request_id) AS rn FROM "
+    "early WHERE code IS NULL), steps AS (SELECT company_id, CAST(0 AS BIGINT) AS rn, coalesce("
+    "list(email) FILTER (WHERE role = 'admin'), []) AS admins, coalesce(list(email) FILTER ("
+    "WHERE status = 'ACTIVE'), []) AS enabled, CAST(NULL AS BIGINT) AS request_id, true AS kept "
+    "FROM app_user WHERE email IS NOT NULL AND company_id IS NOT NULL GROUP BY company_id UNION "
+    "ALL SELECT company_id, rn, CASE WHEN NOT kept OR op <> 'role' THEN admins WHEN role = "
+    "'admin' THEN list_distinct(list_append(admins, email)) ELSE list_filter(admins, lambda x: "
+    "x <> email) END, CASE WHEN NOT kept OR op = 'role' THEN enabled WHEN op = 'active' AND "
+    "active THEN list_distinct(list_append(enabled, email)) ELSE list_filter(enabled, lambda x: "
+    "x <> email) END, request_id, kept FROM (SELECT v.company_id, v.rn, s.admins, s.enabled, "
+    "v.request_id, v.email, v.op, v.role, v.active, NOT (list_contains(s.admins, v.email) AND "
+    f"{_TAKES.replace('op', 'v.op').replace('role ', 'v.role ').replace('active)', 'v.active)')}"
+    " AND len(list_filter(s.admins, lambda x: x <> v.email AND list_contains(s.enabled, x))) = "
+    "0) AS kept FROM steps s JOIN valid v ON v.company_id = s.company_id AND v.rn = s.rn + 1)), "
+    "judged AS (SELECT e.request_id, e.request_ts, e.actor, e.company_id, e.email, e.op, e.role, "
+    "e.active, e.user_id, CASE WHEN e.code IS NOT NULL THEN e.code WHEN NOT s.kept THEN "
+    "'LAST_ADMIN' END AS error_code FROM early e LEFT JOIN (SELECT request_id AS k, kept FROM "
+    "steps WHERE rn > 0) s ON s.k = e.request_id), ok AS (SELECT *, op = 'active' AND active AS "
+    "turned_on FROM judged WHERE error_code IS NULL), roles AS (SELECT user_id, arg_max(role, "
+    "row(request_ts, request_id)) AS role FROM ok WHERE op = 'role' GROUP BY user_id), states "
+    "AS (SELECT user_id, arg_max(coalesce(turned_on, false), row(request_ts, request_id)) AS o, "
+    "min(request_ts) FILTER (WHERE NOT coalesce(turned_on, false)) AS t FROM ok WHERE op <> "
+    "'role' GROUP BY user_id)")
+for _suffix, _body in (
+        ("verdicts", "SELECT * FROM judged"),
+        ("log_rows", _log(
+            "email", "CASE WHEN op = 'role' THEN 'ROLE_CHANGE' WHEN op = 'remove' THEN "
+            "'MEMBER_REMOVE' WHEN turned_on THEN 'ACTIVATE' ELSE 'DISABLE' END",
+            f"CASE WHEN op = 'role' THEN concat(role, ' ', {_BY}) ELSE {_BY} END")),
+        ("users", "SELECT u.* REPLACE (coalesce(r.role, u.role) AS role, CASE WHEN r.role IS "
+                  "NULL THEN u.is_admin ELSE r.role = 'admin' END AS is_admin, CASE WHEN s.o IS "
+                  "NULL THEN u.status WHEN s.o THEN 'ACTIVE' ELSE 'DISABLED' END AS status) FROM "
+                  "app_user u LEFT JOIN roles r ON r.user_id = u.user_id LEFT JOIN states s ON "
+                  "s.user_id = u.user_id"),
+        ("sessions", _ENDED.format(x="states"))):
+    oracle(f"m6_m9_member_changes_{_suffix}", "app_user user_session member_requests", _body,
+           _M6, recursive=True)
