@@ -24,7 +24,8 @@ def with_next_time(df: DataFrame, key: str, name: str) -> DataFrame:
     Ranked inside (key, hour) and linked over the first request of each later hour, so
     a key that owns a third of the batch is never one window.
     """
-    hour = F.date_trunc("HOUR", "request_ts").alias("_hour")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    hour = F.timestamp_diff("HOUR", epoch, "request_ts").alias("_hour")
     rows = df.select("*", hour)
     inside = Window.partitionBy(key, "_hour").orderBy(*ORDER)
     across = Window.partitionBy(key).orderBy("_hour")
@@ -115,8 +116,7 @@ def accept_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
     staged = requests.select(
         "request_id", "request_ts", "token", strip("name").alias("name"), "password_hash",
         staged_text(requests, "password").alias("_password"))
-    wanted = invite.join(staged.select("token").distinct(), "token", "left_semi")
-    found = with_invite(staged, wanted, company)
+    found = with_invite(staged, invite, company)
     found = found.withColumnRenamed("i_email", "email")
     found = flag_existing(found, users, "email", "_mail")
     found = flag_existing(found, users, "email", "_id", "user_id")

@@ -65,6 +65,12 @@ def scoped_by_evidence(df: DataFrame, evidence: DataFrame, scope: Scope,
     return df.join(own, column, "left_semi")
 
 
+def _asked_for(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The evidence the requests name; the rest of the table is not moved."""
+    keys = requests.select("evidence_id").distinct()
+    return evidence.select("evidence_id", "company_id").join(keys, "evidence_id", "left_semi")
+
+
 def ownership(requests: DataFrame, evidence: DataFrame, scope: Scope) -> DataFrame:
     """`requests` plus `owned`. Unknown evidence counts as owned, so that the later
     not-found answer is the same for missing and for foreign ids."""
@@ -72,7 +78,7 @@ def ownership(requests: DataFrame, evidence: DataFrame, scope: Scope) -> DataFra
         return requests.withColumn("owned", F.lit(False))
     if scope.company is None:
         return requests.withColumn("owned", F.lit(True))
-    owners = evidence.groupBy("evidence_id").agg(
+    owners = _asked_for(requests, evidence).groupBy("evidence_id").agg(
         F.max(F.coalesce(F.col("company_id") == scope.company, F.lit(False))).alias("_mine"))
     return (requests.join(owners, "evidence_id", "left")
             .withColumn("owned", F.coalesce("_mine", F.lit(True))).drop("_mine")
@@ -81,8 +87,9 @@ def ownership(requests: DataFrame, evidence: DataFrame, scope: Scope) -> DataFra
 
 def ownership_per_request(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     """The same check when each request brings its own company_id and is_super."""
-    held = evidence.select("evidence_id", F.col("company_id").alias("_holder"),
-                           F.lit(True).alias("_known")).dropDuplicates(["evidence_id"])
+    held = _asked_for(requests, evidence).select(
+        "evidence_id", F.col("company_id").alias("_holder"),
+        F.lit(True).alias("_known")).dropDuplicates(["evidence_id"])
     owned = (
         F.when(F.coalesce("is_super", F.lit(False)), F.lit(False))
         .when(F.col("company_id").isNull(), F.lit(True))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake import config
-from tenantlake.functions.rules import lock_minutes_left
+from tenantlake.functions.rules import clean_email, email_error, lock_minutes_left
 from tenantlake.functions.text import plus, strip, token_key
 from tenantlake.operators.keyed import update_by_key
 from tenantlake.session import ensure_checkpoint_dir
@@ -415,6 +415,18 @@ def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None
     return plain.unionByName(sliced).unionByName(strangers)
 
 
+def split_company_attempts(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attempts, refused) for the company log-in, where the id is always a mail address.
+
+    The address is normalised before it is looked up; what is none never reaches the
+    lockout rules and is not logged.
+    """
+    checked = attempts.withColumn("error_code", email_error("user_id")).withColumn(
+        "user_id", clean_email("user_id"))
+    good = F.col("error_code").isNull()
+    return checked.filter(good).drop("error_code"), checked.filter(~good)
+
+
 def login_verdicts(folded: DataFrame) -> DataFrame:
     """Answer per attempt; the try that sets a lock answers like any wrong one."""
     return folded.filter(F.col("kind") == ATTEMPT).select(

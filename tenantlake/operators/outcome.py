@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tenantlake.functions.rules import http_status
 from tenantlake.operators.keyed import first_per_key, matching_keys
 from tenantlake.schemas import APP_USER
-from tenantlake.session import ensure_checkpoint_dir
+from tenantlake.session import scratch_folder
 
 ORDER = ["request_ts", "request_id"]
 
@@ -40,13 +40,18 @@ class Outcome:
 
 
 def settle(requests: DataFrame) -> DataFrame:
-    """Keep a batch with what was looked up for it in the checkpoint folder.
+    """Write a batch with what was looked up for it to the shared folder and read it back.
 
     Finding winners and writing the outputs (tables, log, rejects) then read the batch,
-    which is small, and not the tables it was checked against, which are not.
+    which is small, and not the tables it was checked against, which are not. A written
+    table also has a known size, so Spark broadcasts what comes from it exactly while it
+    is small enough, and the large tables stay where they are; a checkpointed plan would
+    keep the size estimate of its joins.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
-    return requests.checkpoint()
+    spark = requests.sparkSession
+    path = scratch_folder(spark, "batch")
+    requests.write.parquet(path)
+    return spark.read.schema(requests.schema).parquet(path)
 
 
 def flag_existing(requests: DataFrame, table: DataFrame, key: str, flag: str,

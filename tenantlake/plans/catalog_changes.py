@@ -148,6 +148,11 @@ def _(t):
     return lockout.login_accounts(t["app_user"], _folded(t))
 
 
+@query("l3_refused_company_attempts")
+def _(t):
+    return lockout.split_company_attempts(t["attempts"])[1]
+
+
 @query("l3_company_gate_verdicts")
 def _(t):
     return lockout.login_verdicts(_folded(t, gated=True))

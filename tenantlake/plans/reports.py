@@ -224,7 +224,8 @@ def invite_error(now: Column) -> Column:
 
 def with_invite(requests: DataFrame, invite: DataFrame, company: DataFrame) -> DataFrame:
     """Requests joined with the invite of their token, if its company exists."""
-    known = invite.join(_named_companies(company, "name"), "company_id").select(
+    asked = invite.join(requests.select("token").distinct(), "token", "left_semi")
+    known = asked.join(_named_companies(company, "name"), "company_id").select(
         "token", F.col("email").alias("i_email"), F.col("role").alias("i_role"),
         F.col("company_id").alias("i_company_id"), F.col("company_name").alias("i_company"),
         "expires_at", "accepted_at", "revoked_at")

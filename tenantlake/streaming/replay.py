@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +9,12 @@ from pyspark.sql import functions as F
 
 from tenantlake.operators.lockout import FOLD_SCHEMA
 from tenantlake.schemas import ATTEMPTS
-from tenantlake.session import ensure_checkpoint_dir
+from tenantlake.session import scratch_folder
 from tenantlake.streaming.logins import STATE_STORE, stream_logins
 
 CLOSING_ID = -1
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, reachable from every executor."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _streaming_session(spark: SparkSession) -> SparkSession:
     """Same application, own settings: the state store must be RocksDB."""
     other = spark.newSession()

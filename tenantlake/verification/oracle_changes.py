@@ -372,3 +372,6 @@ for _suffix, _body in (
         ("sessions", _ENDED.format(x="states"))):
     oracle(f"m6_m9_member_changes_{_suffix}", "app_user user_session member_requests", _body,
            _M6, recursive=True)
+oracle("l3_refused_company_attempts", "attempts",
+       "SELECT attempt_id, lower(trim(user_id)) AS user_id, \"at\", password_ok, "
+       f"'INVALID_EMAIL' AS error_code FROM attempts WHERE {email_bad('lower(trim(user_id))')}")

@@ -92,6 +92,13 @@ def test_suspended_company_ends_the_session_at_once(spark):
     assert [r.event for r in rows] == ["LOGIN_OK", "LOGOUT"]
 
 
+def test_company_login_normalises_the_address(spark):
+    good, refused = lockout.split_company_attempts(tries(
+        spark, (" KIM@d1.Test ", 0, True), ("kim", 0, True)))
+    assert [r.user_id for r in good.collect()] == ["kim@d1.test"]
+    assert [(r.user_id, r.error_code) for r in refused.collect()] == [("kim", "INVALID_EMAIL")]
+
+
 def noisy(spark, seed, n=2500):
     """Accounts of every kind, dense and sparse in time, with ties and odd snapshots."""
     rnd = random.Random(seed)

@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from tenantlake.operators import isolation
+from tenantlake.operators import accounts, companies, invites, isolation
 from tenantlake.operators.isolation import Scope
 from tenantlake.plans import reports
 from tenantlake.plans.catalog import all_queries
@@ -32,6 +32,21 @@ def stored(spark, small, tmp_path_factory):
     return out
 
 
+def nodes_above_scan(text, path):
+    """Names of the operators between the root and the scan of a path."""
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    lines = text.splitlines()
+    spot = next(i for i, line in enumerate(lines) if path in line)
+    level, names = depth(lines[spot]), []
+    for line in reversed(lines[:spot]):
+        if depth(line) < level:
+            level = depth(line)
+            names.append(re.sub(r"^\*\(\d+\) ", "", line.lstrip(" :+-")))
+    return names
+
+
 def scans(text):
     return len(re.findall(r"FileScan parquet", text))
 
@@ -72,6 +87,26 @@ def test_feed_of_every_company_limits_before_the_shuffle(stored):
     assert "In(event" in text
 
 
+def test_large_tables_stay_where_they_are(spark, stored, small, tmp_path):
+    """A batch below the broadcast threshold must not shuffle the tables it changes."""
+    adapters = Adapters(spark, small)
+    staged = {}
+    for name in ("account_status_requests", "invite_requests", "company_signups"):
+        adapters[name].coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        staged[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    big = {"app_user", "user_session", "invite"}
+    status = accounts.set_account_status(
+        stored["app_user"], stored["user_session"], staged["account_status_requests"])
+    invited = invites.send_invites(stored["invite"], stored["company"], stored["app_user"],
+                                   staged["invite_requests"])
+    founded = companies.sign_up_companies(stored["company"], stored["app_user"],
+                                          staged["company_signups"])
+    for outcome in (status, invited, founded):
+        for name in big & set(outcome.tables):
+            above = nodes_above_scan(plan(outcome.tables[name]), f"/{name}]")
+            assert above and not any(n.startswith("Exchange") for n in above), above
+
+
 def test_python_only_where_the_order_matters(spark, small):
     allowed = ("l1_", "l2_", "l3_", "l5_", "l6_", "m6_")
     for name, run in all_queries().items():
