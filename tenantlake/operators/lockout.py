@@ -25,7 +25,7 @@ from tenantlake import config
 from tenantlake.functions.rules import clean_email, email_error, lock_minutes_left
 from tenantlake.functions.text import plus, strip, token_key
 from tenantlake.operators.keyed import update_by_key
-from tenantlake.session import ensure_checkpoint_dir
+from tenantlake.session import ensure_checkpoint_dir, ship_package
 
 LOCK_MICROS = config.LOCK_MINUTES * 60 * 1_000_000
 ACCOUNT, CONTROL, ATTEMPT = 0, 1, 2
@@ -391,6 +391,7 @@ def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None
     with more than `hot_rows` attempts are counted first (combined on the map side); only
     if there are any, they take the sliced way.
     """
+    ship_package()
     accounts = account_states(users, company)
     steps = login_steps(attempts, controls)
     hot = steps.groupBy("user_id").count().filter(F.col("count") > hot_rows).select("user_id")

@@ -25,6 +25,7 @@ from tenantlake.functions.rules import clean_email, company_role_error, email_er
 from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import ORDER, Outcome, settle
+from tenantlake.session import ship_package
 
 SET_ROLE, REMOVE, SET_ACTIVE = "role", "remove", "active"
 _MEMBER = ["company_id", "email"]
@@ -109,6 +110,7 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
     Removing stops the account and ends its sessions but keeps its row and role.
     Switching off does the same and can be undone; the failure counter stays.
     """
+    ship_package()
     staged = requests.withColumn("email", clean_email("email")).withColumn(
         "_early", F.coalesce(F.when(F.col("op") == SET_ROLE, company_role_error("role")),
                              email_error("email")))

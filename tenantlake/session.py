@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import tenantlake
+
 
 def build_session(app: str = "tenantlake", master: str | None = None,
                   shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
@@ -46,3 +49,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, reachable from every executor."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package() -> None:
+    """Send the package's functions to the Python workers by value.
+
+    Workers do not share the driver's import path, and the worker that sets up stateful
+    streams does not see files added to the application either.
+    """
+    cloudpickle.register_pickle_by_value(tenantlake)

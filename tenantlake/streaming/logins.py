@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tenantlake.operators.lockout import (
     ATTEMPT, FOLD_SCHEMA, NEVER, LockState, account_states, login_steps, times)
+from tenantlake.session import ship_package
 
 _EPOCH = "1970-01-01 00:00:00"
 _ACCOUNT = "status string, failed int, locked bigint, suspended boolean"
@@ -103,6 +104,7 @@ class LockoutProcessor(StatefulProcessor):
 def stream_logins(attempts: DataFrame, users: DataFrame, company: DataFrame | None = None,
                   controls: DataFrame | None = None, delay: str = "15 minutes") -> DataFrame:
     """Streaming counterpart of `fold_logins`; `attempts` and `controls` are streams."""
+    ship_package()
     # The watermark needs an instant; this one is the naive time read as UTC, whatever
     # the time zone of the session is.
     rows = (login_steps(attempts, controls).withColumn("at_micros", _micros("at"))
