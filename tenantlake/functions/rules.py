@@ -20,8 +20,12 @@ def clean_email(c: Column | str) -> Column:
 
 
 def email_error(c: Column | str) -> Column:
-    mail = clean_email(c)
-    bad = ~mail.rlike(config.EMAIL_PATTERN) | (F.length(mail) > config.ID_LENGTH)
+    return clean_email_error(clean_email(c))
+
+
+def clean_email_error(mail: Column | str) -> Column:
+    """The same for an address that was normalised before."""
+    bad = ~col(mail).rlike(config.EMAIL_PATTERN) | (F.length(mail) > config.ID_LENGTH)
     return F.when(bad, F.lit("INVALID_EMAIL"))
 
 
@@ -34,8 +38,12 @@ def local_part(clean: Column | str) -> Column:
 
 
 def company_email_error(c: Column | str) -> Column:
-    public = domain_of(clean_email(c)).isin(*config.PUBLIC_DOMAINS)
-    return F.coalesce(email_error(c), F.when(public, F.lit("PUBLIC_EMAIL")))
+    return clean_company_email_error(clean_email(c))
+
+
+def clean_company_email_error(mail: Column | str) -> Column:
+    public = domain_of(mail).isin(*config.PUBLIC_DOMAINS)
+    return F.coalesce(clean_email_error(mail), F.when(public, F.lit("PUBLIC_EMAIL")))
 
 
 def account_error(user_id: Column | str, display_name: Column | str,

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four separators only a Unicode-aware strip removes.
+# White space of any script, and the four separators a Unicode-aware strip removes too.
 _BLANK = r"[\s\x1c-\x1f]+"
-_EDGE_BLANKS = rf"(?U)^{_BLANK}|{_BLANK}\z"
+_BLANKS = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def col(c: Column | str) -> Column:
@@ -16,7 +18,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing white space of any script; NULL becomes ''."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), _EDGE_BLANKS, "")
+    return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(_BLANKS))
 
 
 def blank_to_null(c: Column | str) -> Column:

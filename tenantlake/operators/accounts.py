@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenantlake import config
 from tenantlake.functions.rules import (
-    account_error, clean_email, email_error, local_part, password_error)
+    account_error, clean_email, clean_email_error, local_part, password_error)
 from tenantlake.functions.text import strip, token_key
 from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
@@ -187,7 +187,7 @@ def first_operator(users: DataFrame, requests: DataFrame) -> Outcome:
     known = flag_existing(staged, users, "email", "_exists", "user_id")
     late = F.coalesce(password_error("_password", local_part("email")),
                       F.when(F.col("_exists"), F.lit("USER_EXISTS")))
-    judged = _seed_once(known, users.filter("is_super"), late, email_error("email"))
+    judged = _seed_once(known, users.filter("is_super"), late, clean_email_error("email"))
     verdicts = settle(judged.select("request_id", "request_ts", "email", "name",
                                     "password_hash", "error_code"))
     accepted = verdicts.filter(F.col("error_code").isNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake.functions.rules import (
-    clean_email, company_email_error, company_status, company_status_error, domain_of,
+    clean_company_email_error, clean_email, company_status, company_status_error, domain_of,
     first_error, local_part, password_error)
 from tenantlake.functions.text import strip
 from tenantlake.operators.keyed import (
@@ -14,7 +14,7 @@ from tenantlake.operators.keyed import (
     update_by_key)
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, after_winner, flag_existing, settle, staged_text, user_rows,
+    ORDER, Outcome, account_ids, after_winner, flag_existing, settle, staged_text, user_rows,
     with_winner)
 
 
@@ -29,14 +29,13 @@ def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame)
         strip("name").alias("name"), strip("company").alias("company"), "password_hash",
         staged_text(requests, "password").alias("_password"))
     staged = staged.withColumn("domain", domain_of("email")).withColumn("_error", F.coalesce(
-        company_email_error("email"),
+        clean_company_email_error("email"),
         first_error((F.col("name") == "", "NAME_REQUIRED"),
                     (F.col("company") == "", "COMPANY_REQUIRED")),
         password_error("_password", local_part("email")))).drop("_password")
-    known = flag_existing(staged, users, "email", "_mail")
-    known = flag_existing(known, users, "email", "_id", "user_id")
+    known = flag_existing(staged, account_ids(users), "email", "_account")
     known = flag_existing(known, company, "domain", "_domain")
-    taken = (F.when(F.col("_mail") | F.col("_id"), F.lit("USER_EXISTS"))
+    taken = (F.when(F.col("_account"), F.lit("USER_EXISTS"))
              .when(F.col("_domain"), F.lit("COMPANY_EXISTS")))
     known = settle(known.withColumn("_taken", taken))
     judged = with_winner(known, F.col("_error").isNull() & F.col("_taken").isNull(), "domain",

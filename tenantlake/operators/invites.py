@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tenantlake import config
 from tenantlake.functions.rules import (
-    clean_email, company_role_error, domain_of, email_error, local_part, password_error)
+    clean_email, clean_email_error, company_role_error, domain_of, local_part,
+    password_error)
 from tenantlake.functions.text import plus, strip
 from tenantlake.operators.keyed import last_per_key, update_by_key
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, after_winner, flag_existing, is_winner, lookup, settle, staged_text,
+    ORDER, Outcome, account_ids, after_winner, flag_existing, is_winner, lookup, settle, staged_text,
     user_rows, with_winner)
 from tenantlake.plans.reports import invite_error, with_invite
 from tenantlake.schemas import INVITE
@@ -48,7 +49,7 @@ def send_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
     staged = lookup(staged, company, "company_id", {"_domain": "domain"})
     staged = flag_existing(staged, users, "email", "_exists")
     error = F.coalesce(
-        company_role_error("role"), email_error("email"),
+        company_role_error("role"), clean_email_error("email"),
         F.when(F.col("_domain").isNull(), F.lit("COMPANY_NOT_FOUND"))
         .when(domain_of("email") != F.col("_domain"), F.lit("DOMAIN_MISMATCH"))
         .when(F.col("_exists"), F.lit("USER_EXISTS")))
@@ -118,13 +119,12 @@ def accept_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
         staged_text(requests, "password").alias("_password"))
     found = with_invite(staged, invite, company)
     found = found.withColumnRenamed("i_email", "email")
-    found = flag_existing(found, users, "email", "_mail")
-    found = flag_existing(found, users, "email", "_id", "user_id")
+    found = flag_existing(found, account_ids(users), "email", "_account")
     found = found.withColumn("_invite", invite_error(F.col("request_ts"))).withColumn(
         "_late", F.coalesce(
             F.when(F.col("name") == "", F.lit("NAME_REQUIRED")),
             password_error("_password", local_part("email")),
-            F.when(F.col("_mail") | F.col("_id"), F.lit("USER_EXISTS")))).drop("_password")
+            F.when(F.col("_account"), F.lit("USER_EXISTS")))).drop("_password")
     found = settle(found)
     judged = with_winner(found, F.col("_invite").isNull() & F.col("_late").isNull(), "email",
                          ["token"])

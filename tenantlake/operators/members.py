@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenantlake.functions.rules import clean_email, company_role_error, email_error
+from tenantlake.functions.rules import clean_email, clean_email_error, company_role_error
 from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import ORDER, Outcome, settle
@@ -113,7 +113,7 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
     ship_package()
     staged = requests.withColumn("email", clean_email("email")).withColumn(
         "_early", F.coalesce(F.when(F.col("op") == SET_ROLE, company_role_error("role")),
-                             email_error("email")))
+                             clean_email_error("email")))
     people = users.join(staged.select("email").distinct(), "email", "left_semi").select(
         *_MEMBER, F.col("user_id").alias("u_id"), F.col("role").alias("u_role"),
         F.col("status").alias("u_status"))

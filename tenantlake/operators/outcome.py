@@ -64,6 +64,11 @@ def flag_existing(requests: DataFrame, table: DataFrame, key: str, flag: str,
             .withColumn(flag, F.coalesce(flag, F.lit(False))))
 
 
+def account_ids(users: DataFrame) -> DataFrame:
+    """Every mail and every id an account goes by, in one column `email` from one scan."""
+    return users.select(F.explode(F.array("email", "user_id")).alias("email"))
+
+
 def lookup(requests: DataFrame, table: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """Requests with columns (new name -> table column) of the row with their key."""
     wanted = table.join(requests.select(key).distinct(), key, "left_semi")
