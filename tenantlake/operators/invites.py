@@ -13,8 +13,8 @@ from tenantlake.functions.text import plus, strip
 from tenantlake.operators.keyed import last_per_key, update_by_key
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, account_ids, after_winner, flag_existing, is_winner, lookup, settle, staged_text,
-    user_rows, with_winner)
+    ORDER, Outcome, account_ids, after_winner, flag_existing, is_winner, lookup, settle,
+    staged_text, user_rows, with_winner)
 from tenantlake.plans.reports import invite_error, with_invite
 from tenantlake.schemas import INVITE
 

@@ -5,7 +5,7 @@ on the requests before it, so the three kinds of request form one ordered fold p
 company. The fold is needed for few of them, because a request is always fine when
 
 * its member is no admin, and no request in the batch makes them one; or
-* the company has an active admin whom the batch does not touch at all.
+* the company has an active admin from whom no request in the batch takes anything.
 
 Both are found by joins and aggregates. Only what is left is folded: admins and
 admins-to-be of companies in which the batch touches every active admin. That part runs
@@ -83,13 +83,18 @@ def _last_admin_verdicts(valid: DataFrame, users: DataFrame) -> DataFrame:
     touched = valid.groupBy(*_MEMBER).agg(
         F.first("u_role").alias("u_role"), F.first("u_status").alias("u_status"),
         F.max((F.col("u_role") == "admin") | makes_admin).alias("_relevant"))
-    companies = touched.select("company_id").distinct()
+    takes_away = (F.when(F.col("op") == SET_ROLE, F.col("role") != "admin")
+                  .when(F.col("op") == REMOVE, F.lit(True))
+                  .otherwise(~F.coalesce("active", F.lit(False))))
+    threatened = valid.filter(takes_away).select(*_MEMBER).distinct()
+    companies = threatened.select("company_id").distinct()
     admins = users.filter((F.col("role") == "admin") & (F.col("status") == "ACTIVE")
                           & F.col("email").isNotNull()).select(*_MEMBER)
     secure = (admins.join(companies, "company_id", "left_semi")
-              .join(touched.select(*_MEMBER), _MEMBER, "left_anti")
+              .join(threatened, _MEMBER, "left_anti")
               .select("company_id").distinct())
-    watched = touched.filter("_relevant").join(secure, "company_id", "left_anti")
+    watched = (touched.filter("_relevant").join(companies, "company_id", "left_semi")
+               .join(secure, "company_id", "left_anti"))
     members = watched.select(
         *_MEMBER, F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("request_ts"),
         F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("string").alias("op"),

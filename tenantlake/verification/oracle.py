@@ -283,8 +283,8 @@ oracle("f14_lock_minutes", "attempts",
        f"SELECT attempt_id, CAST(date_diff('microsecond', {AT} + INTERVAL '3' MINUTE, {AT} + "
        "INTERVAL '10' MINUTE) // 60000000 + 1 AS BIGINT) AS minutes_left FROM attempts")
 oracle("f15_parse_times", "user_login_log",
-       f"SELECT log_id, CASE log_id % 4 WHEN 0 THEN {AT} WHEN 1 THEN date_trunc('second', {AT}) END "
-       "AS parsed FROM user_login_log")
+       f"SELECT log_id, CASE log_id % 4 WHEN 0 THEN {AT} WHEN 1 THEN date_trunc('second', "
+       f"{AT}) END AS parsed FROM user_login_log")
 oracle("f16_ends", "invite",
        "SELECT token, created_at + INTERVAL '7' DAY AS invite_end, created_at + INTERVAL '8' "
        "HOUR AS session_end, created_at + INTERVAL '10' MINUTE AS lock_end FROM invite")

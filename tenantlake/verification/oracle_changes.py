@@ -315,8 +315,9 @@ _lock("l2_login_sessions", _SESSIONS)
 _lock("l2_login_accounts",
       "SELECT u.* REPLACE (coalesce(f.failed, u.failed_count) AS failed_count, f.locked AS "
       "locked_until, coalesce(g.t, u.last_login_at) AS last_login_at) FROM app_user u LEFT JOIN "
-      "(SELECT user_id AS k, failed, locked FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn "
-      "DESC) AS r FROM folded) WHERE r = 1) f ON f.k = u.user_id LEFT JOIN (SELECT user_id AS "
+      "(SELECT user_id AS k, failed, locked FROM (SELECT *, row_number() OVER (PARTITION BY "
+      "user_id ORDER BY rn DESC) AS r FROM folded) WHERE r = 1) f ON f.k = u.user_id LEFT "
+      "JOIN (SELECT user_id AS "
       "k, max(\"at\") AS t FROM folded WHERE event = 'LOGIN_OK' GROUP BY user_id) g ON g.k = "
       "u.user_id")
 _lock("l3_company_gate_verdicts", _VERDICTS, gated=True)
