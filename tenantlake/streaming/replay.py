@@ -16,10 +16,16 @@ CLOSING_ID = -1
 
 
 def _streaming_session(spark: SparkSession) -> SparkSession:
-    """Same application, own settings: the state store must be RocksDB."""
+    """Same application, own settings: the state store must be RocksDB.
+
+    Every state partition is a task with a Python worker in every micro-batch, so there
+    are no more of them than two per core.
+    """
     other = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
-        other.conf.set(key, spark.conf.get(key))
+    other.conf.set("spark.sql.ansi.enabled", spark.conf.get("spark.sql.ansi.enabled"))
+    most = 2 * spark.sparkContext.defaultParallelism
+    other.conf.set("spark.sql.shuffle.partitions",
+                   str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most)))
     for key, value in STATE_STORE.items():
         other.conf.set(key, value)
     return other
