@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenantlake.llm import bpe, decontaminate, neardup, secrets, toxicity
+from tenantlake.llm import bpe, credentials, decontaminate, neardup, toxicity
 from tenantlake.llm.frame import row_key, settled, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, credentials that are no widely copied examples masked by their kind;
     n_chars is that of the new text."""
-    clean = secrets.masked(docs, secrets.secrets(docs))
+    clean = credentials.masked(docs, credentials.secrets(docs))
     kind = docs.schema["n_chars"].dataType
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(kind))
 

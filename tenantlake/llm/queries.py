@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenantlake.llm import (
-    bpe, chat, decontaminate, langid, licenses, neardup, quality, secrets, toxicity)
+    bpe, chat, credentials, decontaminate, langid, licenses, neardup, ngram_lm, quality,
+    toxicity)
 from tenantlake.llm.frame import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,7 +51,7 @@ def op5_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.secrets(table(spark, folder, "documents"))
+    found = credentials.secrets(table(spark, folder, "documents"))
     listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     base = F.filter("spans", lambda s: s["rank"] < 3)
     base_listed = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
@@ -60,7 +61,7 @@ def op6_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
 
     return found.select(
         "doc_id", *(count(lambda s, i=i: s["rank"] == i).alias(f"n_{kind}")
-                    for i, kind in enumerate(secrets.KINDS[:3])),
+                    for i, kind in enumerate(credentials.KINDS[:3])),
         F.sha2(F.array_join(base_listed, ","), 256).alias("base_sha256"),
         F.array_join(listed, ",").alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"),
@@ -74,6 +75,10 @@ def op7_dice_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_notices", F.array_join(named, ",").alias("licenses"))
 
 
+def op8_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.text_scores(table(spark, folder, "documents"))
+
+
 def op9_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = bpe.round_trip(table(spark, folder, "documents"),
                            public_tokenizers.path(VOCABULARY))
@@ -95,6 +100,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_frequency, op2_toxicity, op3_dart_minhash, op4_prefix_targets,
-           op5_wu_manber, op6_secret_owners, op7_dice_licenses, op9_prefix_bpe,
-           op10_kneser_ney, pipeline)
+           op5_wu_manber, op6_secret_owners, op7_dice_licenses, op8_elias_fano_lm,
+           op9_prefix_bpe, op10_kneser_ney, pipeline)
     return {f.__name__: f for f in own}
