@@ -71,7 +71,8 @@ def detail_value(detail: Column | str, key: str) -> Column:
     """Value of the last `key=value` token of a log detail, NULL if there is none."""
     mark = f"{key}="
     hits = F.filter(words(detail), lambda w: w.startswith(mark))
-    return F.substring(F.try_element_at(hits, F.lit(-1)), len(mark) + 1, 1 << 20)
+    last = F.try_element_at(hits, F.lit(-1))
+    return F.substring(last, F.lit(len(mark) + 1), F.length(last))
 
 
 def detail_tokens(detail: Column | str) -> Column:

@@ -14,8 +14,8 @@ from tenantlake.functions.text import strip, token_key
 from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, flag_existing, is_winner, lookup, settle, staged_text, user_rows,
-    with_winner)
+    ORDER, Outcome, applied_once, flag_existing, is_winner, lookup, settle, staged_text,
+    user_rows, with_winner)
 
 
 def _account_requests(requests: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def _account_requests(requests: DataFrame) -> DataFrame:
     return staged.withColumn("_error", error).drop("_password")
 
 
+@applied_once
 def sign_up_accounts(users: DataFrame, requests: DataFrame) -> Outcome:
     """Plain sign-up; the account waits for approval. First clean request per id wins."""
     known = settle(flag_existing(_account_requests(requests), users, "user_id", "_exists"))
@@ -45,13 +46,16 @@ def sign_up_accounts(users: DataFrame, requests: DataFrame) -> Outcome:
                    accepted.select(*log_row("user_id", "SIGNUP", detail)))
 
 
+@applied_once
 def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """Approve or stop accounts; also clears the failure counter and any lock.
 
     The last request per account decides its status. Any stopping request ends the
     sessions that were open then, even if the account is approved again later.
     """
-    error = F.when(~F.col("_exists"), F.lit("USER_NOT_FOUND"))
+    allowed = F.coalesce("status", F.lit("")).isin(*config.REQUESTED_STATUSES)
+    error = F.when(~allowed, F.lit("INVALID_STATUS")).when(
+        ~F.col("_exists"), F.lit("USER_NOT_FOUND"))
     verdicts = settle(
         flag_existing(requests, users, "user_id", "_exists").select(
             "request_id", "request_ts", "actor", "user_id", "status",
@@ -70,6 +74,7 @@ def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFram
         verdicts, accepted.select(*log_row("user_id", event, by())))
 
 
+@applied_once
 def set_account_roles(users: DataFrame, requests: DataFrame) -> Outcome:
     """Change the account role; logged as ACTIVATE. Setting the same role is a success."""
     allowed = F.coalesce("role", F.lit("")).isin(*config.ACCOUNT_ROLES)
@@ -87,6 +92,7 @@ def set_account_roles(users: DataFrame, requests: DataFrame) -> Outcome:
         verdicts, accepted.select(*log_row("user_id", "ACTIVATE", detail)))
 
 
+@applied_once
 def log_out(sessions: DataFrame, requests: DataFrame) -> Outcome:
     """End sessions by token. `done` tells whether the request ended one; there is no error."""
     staged = requests.select("request_id", "request_ts", token_key("token").alias("session_id"))
@@ -105,6 +111,7 @@ def log_out(sessions: DataFrame, requests: DataFrame) -> Outcome:
                    done.select(*log_row("user_id", "LOGOUT")))
 
 
+@applied_once
 def change_passwords(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """Staging brings the new hash and what the verifier said (old_ok, same_as_old)."""
     staged = requests.withColumn("_weak", password_error(
@@ -159,6 +166,7 @@ def _seed_once(requests: DataFrame, existing: DataFrame, late_error: Column,
         "_early", F.when(F.col("_taken") | beaten, F.lit("ALREADY_INITIALIZED")), "_late"))
 
 
+@applied_once
 def first_admin(users: DataFrame, requests: DataFrame) -> Outcome:
     """The very first account, possible only while there is none."""
     staged = requests if "role" in requests.columns else requests.withColumn(
@@ -178,6 +186,7 @@ def first_admin(users: DataFrame, requests: DataFrame) -> Outcome:
     return Outcome({"app_user": users.unionByName(new)}, verdicts.drop("password_hash"), logs)
 
 
+@applied_once
 def first_operator(users: DataFrame, requests: DataFrame) -> Outcome:
     """The first operator of the service; belongs to no company."""
     name = F.col("name") if "name" in requests.columns else F.lit(config.FIRST_OPERATOR_NAME)

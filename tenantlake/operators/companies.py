@@ -14,10 +14,11 @@ from tenantlake.operators.keyed import (
     update_by_key)
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, account_ids, after_winner, flag_existing, settle, staged_text, user_rows,
-    with_winner)
+    ORDER, Outcome, account_ids, after_winner, applied_once, flag_existing, settle,
+    staged_text, user_rows, with_winner)
 
 
+@applied_once
 def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame) -> Outcome:
     """Found a company together with its first admin.
 
@@ -63,6 +64,7 @@ def sign_up_companies(company: DataFrame, users: DataFrame, requests: DataFrame)
         accepted.select(*log_row("email", "SIGNUP", detail)))
 
 
+@applied_once
 def set_company_status(company: DataFrame, users: DataFrame, sessions: DataFrame,
                        requests: DataFrame) -> Outcome:
     """Suspend or reopen companies; suspending ends the open sessions of all its people."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,19 +10,13 @@ from tenantlake.functions.rules import hash_finding, password_flaw
 from tenantlake.schemas import EVOLUTION, REQUIRED_COLUMNS, REQUIRED_TABLES, TABLES, Contract
 
 
-def _finding(df: DataFrame, table: str, rule: str, column: str, value) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-        F.lit(column).alias("column_name"), value.cast("string").alias("key_value"),
-        F.col("n").cast("bigint").alias("n"))
-
-
 def contract_findings(df: DataFrame, contract: Contract) -> DataFrame:
-    """One row per broken rule and key.
+    """One row per broken rule and key, from one scan and one aggregate.
 
-    Row rules (NOT NULL, length, malformed number) come from one scan: each row yields
-    the array of rules it breaks, mostly empty. Uniqueness counts per key, combined on
-    the map side, so a key repeated a billion times reaches the shuffle as one row.
+    Each row yields the row rules it breaks (NOT NULL, length, malformed number), mostly
+    none, and its value of every unique column. Values are counted with combining on the
+    map side, so one repeated a billion times reaches the shuffle as one row a task; a
+    broken row keeps a group of its own.
     """
     key = contract.primary_key
     checks = [F.when(F.col(c).isNull(), F.struct(F.lit("NOT_NULL").alias("rule"),
@@ -34,21 +26,26 @@ def contract_findings(df: DataFrame, contract: Contract) -> DataFrame:
                                                 F.lit(c).alias("column_name")))
                for c, n in contract.max_length.items()]
     if contract.numbered_id:
-        number = F.substring(contract.numbered_id, 2, 64).try_cast("bigint")
+        whole = F.col(contract.numbered_id)
+        number = F.substring(whole, F.lit(2), F.length(whole)).try_cast("bigint")
         checks.append(F.when(
             F.col(contract.numbered_id).isNotNull() & number.isNull(),
             F.struct(F.lit("BAD_NUMBER").alias("rule"),
                      F.lit(contract.numbered_id).alias("column_name"))))
-    rows = (
-        df.select(F.col(key).cast("string").alias("key_value"),
-                  F.explode(F.array_compact(F.array(*checks))).alias("b"))
-        .select(F.lit(contract.table).alias("table_name"), "b.rule", "b.column_name",
-                "key_value", F.lit(1).cast("bigint").alias("n")))
-    repeated = [
-        _finding(df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-                 .filter("n > 1"), contract.table, "NOT_UNIQUE", c, F.col(c))
-        for c in (key, *contract.unique)]
-    return reduce(DataFrame.unionByName, [rows, *repeated])
+    nothing = F.lit(None).cast("string")
+    broken = [F.when(check.isNotNull(), F.struct(
+        check["rule"].alias("rule"), check["column_name"].alias("column_name"),
+        F.col(key).cast("string").alias("key_value"))) for check in checks]
+    unique = [F.when(F.col(c).isNotNull(), F.struct(
+        nothing.alias("rule"), F.lit(c).alias("column_name"),
+        F.col(c).cast("string").alias("key_value"))) for c in (key, *contract.unique)]
+    each = df.select(F.explode(F.array_compact(F.array(*broken, *unique))).alias("b")).select(
+        "b.*", F.when(F.col("b.rule").isNotNull(), F.monotonically_increasing_id()).alias("row"))
+    counted = each.groupBy("rule", "column_name", "key_value", "row").agg(
+        F.count("*").alias("n")).filter("rule is not null or n > 1")
+    return counted.select(
+        F.lit(contract.table).alias("table_name"),
+        F.coalesce("rule", F.lit("NOT_UNIQUE")).alias("rule"), "column_name", "key_value", "n")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -13,8 +13,8 @@ from tenantlake.functions.text import plus, strip
 from tenantlake.operators.keyed import last_per_key, update_by_key
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
-    ORDER, Outcome, account_ids, after_winner, flag_existing, is_winner, lookup, settle,
-    staged_text, user_rows, with_winner)
+    ORDER, Outcome, account_ids, after_winner, applied_once, flag_existing, is_winner, lookup,
+    settle, staged_text, user_rows, with_winner)
 from tenantlake.plans.reports import invite_error, with_invite
 from tenantlake.schemas import INVITE
 
@@ -38,6 +38,7 @@ def with_next_time(df: DataFrame, key: str, name: str) -> DataFrame:
             .drop("_hour", "_inside", "_following"))
 
 
+@applied_once
 def send_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
                  requests: DataFrame) -> Outcome:
     """Invite people of the company's own mail domain.
@@ -78,6 +79,7 @@ def _open_invites(requests: DataFrame, invite: DataFrame) -> tuple[DataFrame, Co
     return found, fits
 
 
+@applied_once
 def revoke_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
     """Revoke open invites of the own company; the second request on a token fails."""
     found, fits = _open_invites(requests, invite)
@@ -93,6 +95,7 @@ def revoke_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
         *log_row("actor", "INVITE_REVOKE", F.substring("token", 1, 12))))
 
 
+@applied_once
 def extend_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
     """Give open invites, also expired ones, seven days from the request; same token."""
     found, fits = _open_invites(requests, invite)
@@ -107,6 +110,7 @@ def extend_invites(invite: DataFrame, requests: DataFrame) -> Outcome:
         *log_row("actor", "INVITE_RESEND", F.substring("token", 1, 12))))
 
 
+@applied_once
 def accept_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
                    requests: DataFrame) -> Outcome:
     """Create the invited accounts.

@@ -87,16 +87,18 @@ def ownership(requests: DataFrame, evidence: DataFrame, scope: Scope) -> DataFra
 
 def ownership_per_request(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     """The same check when each request brings its own company_id and is_super."""
-    held = _asked_for(requests, evidence).select(
-        "evidence_id", F.col("company_id").alias("_holder"),
-        F.lit(True).alias("_known")).dropDuplicates(["evidence_id"])
+    wanted = requests.select("evidence_id", "company_id").distinct()
+    held = _asked_for(requests, evidence).join(
+        wanted.withColumnRenamed("company_id", "_asking"), "evidence_id").groupBy(
+        "evidence_id", "_asking").agg(F.max(F.coalesce(
+            F.col("company_id") == F.col("_asking"), F.lit(False))).alias("_mine"))
     owned = (
         F.when(F.coalesce("is_super", F.lit(False)), F.lit(False))
         .when(F.col("company_id").isNull(), F.lit(True))
-        .when(F.col("_known").isNull(), F.lit(True))
-        .otherwise(F.coalesce(F.col("_holder") == F.col("company_id"), F.lit(False))))
-    return (requests.join(held, "evidence_id", "left").withColumn("owned", owned)
-            .select(*requests.columns, "owned"))
+        .otherwise(F.coalesce("_mine", F.lit(True))))
+    found = requests.join(held.withColumnRenamed("_asking", "company_id"),
+                          ["evidence_id", "company_id"], "left")
+    return found.withColumn("owned", owned).select(*requests.columns, "owned")
 
 
 def split_by_ownership(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

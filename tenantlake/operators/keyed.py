@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenantlake.session import ensure_checkpoint_dir
 
@@ -109,14 +108,11 @@ def number_rows(df: DataFrame, order: list[str], name: str,
 
 def largest_number(table: DataFrame, column: str, prefix: int = 0) -> DataFrame:
     """One row `top`: the largest number in a column (after a prefix), 0 when empty."""
-    text = F.substring(F.col(column).cast("string"), prefix + 1, 64)
+    whole = F.col(column).cast("string")
+    text = F.substring(whole, F.lit(prefix + 1), F.length(whole))
     return table.agg(F.coalesce(F.max(text.try_cast("bigint")), F.lit(0)).alias("top"))
 
 
 def company_number(n: Column | str) -> Column:
     """C0001 ... C9999, C10000; never cut off."""
     return F.format_string("C%04d", F.col(n) if isinstance(n, str) else n)
-
-
-def null_of(schema: T.StructType, name: str) -> Column:
-    return F.lit(None).cast(schema[name].dataType)

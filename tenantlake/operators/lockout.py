@@ -306,7 +306,9 @@ def account_states(users: DataFrame, company: DataFrame | None = None) -> DataFr
         closed = company.filter(F.col("status") == "SUSPENDED").select(
             "company_id", F.lit(True).alias("_closed"))
         picked = picked.join(closed, "company_id", "left")
-    return picked.select("user_id", "status", "failed_count", "locked_until",
+    return picked.select("user_id", "status",
+                         F.coalesce("failed_count", F.lit(0)).alias("failed_count"),
+                         "locked_until",
                          F.coalesce("_closed", F.lit(False)).alias("suspended"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tenantlake.functions.rules import clean_email, clean_email_error, company_role_error
 from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
 from tenantlake.operators.logs import by, log_row
-from tenantlake.operators.outcome import ORDER, Outcome, settle
+from tenantlake.operators.outcome import ORDER, Outcome, applied_once, settle
 from tenantlake.session import ship_package
 
 SET_ROLE, REMOVE, SET_ACTIVE = "role", "remove", "active"
@@ -109,6 +109,7 @@ def _last_admin_verdicts(valid: DataFrame, users: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_fold, "request_id bigint, _kept boolean")
 
 
+@applied_once
 def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -> Outcome:
     """`requests`: company_id, email, op (role | remove | active), role, active.
 
@@ -117,8 +118,11 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
     """
     ship_package()
     staged = requests.withColumn("email", clean_email("email")).withColumn(
-        "_early", F.coalesce(F.when(F.col("op") == SET_ROLE, company_role_error("role")),
-                             clean_email_error("email")))
+        "_early", F.coalesce(
+            F.when(~F.coalesce("op", F.lit("")).isin(SET_ROLE, REMOVE, SET_ACTIVE),
+                   F.lit("INVALID_OP")),
+            F.when(F.col("op") == SET_ROLE, company_role_error("role")),
+            clean_email_error("email")))
     people = users.join(staged.select("email").distinct(), "email", "left_semi").select(
         *_MEMBER, F.col("user_id").alias("u_id"), F.col("role").alias("u_role"),
         F.col("status").alias("u_status"))

@@ -7,7 +7,10 @@ request that is clean by itself; it is found by an aggregate, never by ranking a
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,26 @@ class Outcome:
             "http_status", http_status("error_code"))
 
 
+def once(requests: DataFrame) -> DataFrame:
+    """Each request_id once: of repeated deliveries the earliest, as all columns order it."""
+    rest = [c for c in requests.columns if c not in ORDER]
+    return first_per_key(requests, ["request_id"], ["request_ts"], rest).select(
+        *requests.columns)
+
+
+def applied_once(operator: Callable[..., Outcome]) -> Callable[..., Outcome]:
+    """The operator with every staged request taken once."""
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> Outcome:
+        given = signature.bind(*args, **kwargs)
+        given.arguments["requests"] = once(given.arguments["requests"])
+        return operator(*given.args, **given.kwargs)
+
+    return run
+
+
 def settle(requests: DataFrame) -> DataFrame:
     """Write a batch with what was looked up for it to the shared folder and read it back.
 

@@ -256,7 +256,7 @@ def _(t):
 def _(t):
     asked = t["user_login_log"].select(
         F.col("log_id").alias("request_id"),
-        F.concat(F.lit("E"), F.col("log_id") % 1200).alias("evidence_id"),
+        F.concat(F.lit("E"), F.floor(F.col("log_id") / 9)).alias("evidence_id"),
         F.format_string("C%04d", F.col("log_id") % 25 + 1).alias("company_id"),
         (F.col("log_id") % 50 == 0).alias("is_super"))
     return isolation.ownership_per_request(asked, t["evidence"])

@@ -17,6 +17,7 @@ from tenantlake import config
 from tenantlake.functions.rules import audit_text, team_actor, team_text
 from tenantlake.functions.text import blank_to_null, day, iso_time, token_key, words
 from tenantlake.operators.isolation import can
+from tenantlake.operators.keyed import matching_keys
 
 COMPANY_COLUMNS = ("company_id", "name", "domain", "status", "created_at", "created_by")
 
@@ -40,10 +41,6 @@ def companies_by_id(company: DataFrame, keys: DataFrame) -> DataFrame:
         *COMPANY_COLUMNS)
 
 
-def company_by_id(company: DataFrame, company_id: str) -> DataFrame:
-    return company.filter(F.col("company_id") == company_id).select(*COMPANY_COLUMNS)
-
-
 def companies_by_domain(company: DataFrame, keys: DataFrame) -> DataFrame:
     return company.join(keys.select("domain").distinct(), "domain", "left_semi").select(
         *COMPANY_COLUMNS[:4])
@@ -173,12 +170,12 @@ def users_with_company(users: DataFrame, company: DataFrame,
 
 
 def taken(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Requests whose key already exists."""
-    return requests.join(table.select(key), key, "left_semi")
+    """Requests whose key already exists; the table stays where it is."""
+    return requests.join(matching_keys(table, requests, key).distinct(), key, "left_semi")
 
 
 def free(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    return requests.join(table.select(key), key, "left_anti")
+    return requests.join(matching_keys(table, requests, key).distinct(), key, "left_anti")
 
 
 # --- invites -----------------------------------------------------------------------
@@ -273,7 +270,9 @@ def users_of_tokens(tokens: DataFrame, sessions: DataFrame, users: DataFrame,
                     as_of: datetime) -> DataFrame:
     """Who is behind each presented token; unknown and dead tokens give no row."""
     asked = tokens.select("token", token_key("token").alias("session_id"))
-    return (asked.join(live_sessions(sessions, users, as_of), "session_id")
+    held = sessions.join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    people = users.join(held.select("user_id").distinct(), "user_id", "left_semi")
+    return (asked.join(live_sessions(held, people, as_of), "session_id")
             .drop("session_id"))
 
 
@@ -331,7 +330,8 @@ def team_audit_all(log: DataFrame, users: DataFrame,
     homes = (users.filter(F.col("email").isNotNull() & F.col("company_id").isNotNull())
              .select(F.col("email").alias("user_id"), F.col("company_id").alias("_home")))
     hits = F.filter(words("detail"), lambda w: w.startswith("company="))
-    named = F.transform(hits, lambda w: F.substring(w, len("company=") + 1, 1 << 20))
+    named = F.transform(hits, lambda w: F.substring(
+        w, F.lit(len("company=") + 1), F.length(w)))
     owners = F.array_distinct(F.array_compact(F.concat(F.array("_home"), named)))
     newest = Window.partitionBy("company_id").orderBy(F.desc("log_id"))
     return (

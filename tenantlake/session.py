@@ -20,7 +20,6 @@ def build_session(app: str = "tenantlake", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
     )
     if master:
         builder = builder.master(master)

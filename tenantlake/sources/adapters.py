@@ -80,6 +80,9 @@ _PASSWORD = ("CASE event_id % 7 WHEN 0 THEN 'short1' WHEN 1 THEN 'Xguest8_BOSS1'
              "ELSE concat('Str0ng-pass', event_id) END")
 _REQUEST = [("request_id", "event_id"), ("request_ts", "ts"),
             ("actor", "concat('ops', event_id % 3, '@nation', c_nationkey, '.test')")]
+#: Every 61st request comes under the number of the request before it.
+_TWICE = [("request_id", "event_id - CASE WHEN event_id % 61 = 1 THEN 1 ELSE 0 END"),
+          *_REQUEST[1:]]
 _NEAR_INVITE = ("o_orderdate + (event_id % 9) * INTERVAL '1' DAY "
                 "+ (event_id % 86400) * INTERVAL '1' SECOND")
 _EVENT_TOKEN = ("CASE WHEN event_id % 31 = 0 THEN concat('missing-', event_id) ELSE "
@@ -176,7 +179,9 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
                  "CAST(user_id % 4 + 1 AS INT))"),
         ("action", "split_part('VIEW_ORIGINAL,DOWNLOAD_ORIGINAL,REVIEW,EXPORT', ',', "
                    "CAST(event_id % 4 + 1 AS INT))"),
-        ("evidence_id", "concat('E', event_id % 1200)"),
+        # every document about nine times, and as many that were never stored
+        ("evidence_id", ("concat('E', event_id DIV 9 + event_id % 11 DIV 10)",
+                         "concat('E', event_id // 9 + event_id % 11 // 10)")),
         ("evidence_version", "CAST(event_id % 3 AS INT)"),
         ("outcome", "CASE WHEN event_id % 29 <> 0 THEN split_part("
                     "'STARTED,SUCCEEDED,FAILED,DENIED', ',', "
@@ -210,10 +215,10 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
         ("password_hash", "concat('staged-', event_id)"),
     ]),
     "account_status_requests": ("events", [
-        *_REQUEST,
+        *_TWICE,
         ("user_id", f"CASE WHEN user_id % 15 = 14 THEN 'nobody' ELSE {_CUSTOMER_MAIL} END"),
-        ("status", "CASE WHEN event_type IN ('error', 'view') THEN 'DISABLED' "
-                   "ELSE 'ACTIVE' END"),
+        ("status", "CASE WHEN event_id % 47 = 0 THEN 'active' WHEN event_id % 53 = 0 THEN NULL "
+                   "WHEN event_type IN ('error', 'view') THEN 'DISABLED' ELSE 'ACTIVE' END"),
     ]),
     "account_role_requests": ("events", [
         *_REQUEST,
@@ -258,12 +263,13 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
         ("password_hash", "concat('staged-', event_id)"),
     ]),
     "member_requests": ("events", [
-        *_REQUEST,
+        *_TWICE,
         ("company_id", _COMPANY_OF_CUSTOMER),
         ("email", "CASE WHEN event_id % 43 = 0 THEN 'broken' WHEN event_id % 44 = 0 THEN "
                   "concat('stranger@nation', c_nationkey, '.test') ELSE "
                   f"{_CUSTOMER_MAIL} END"),
-        ("op", "split_part('role,remove,active', ',', CAST(event_id % 3 + 1 AS INT))"),
+        ("op", "CASE WHEN event_id % 47 = 0 THEN 'promote' WHEN event_id % 53 = 0 THEN NULL ELSE "
+               "split_part('role,remove,active', ',', CAST(event_id % 3 + 1 AS INT)) END"),
         ("role", "CASE WHEN event_id % 3 = 0 THEN split_part('admin,reviewer,member,owner', "
                  "',', CAST(event_id % 4 + 1 AS INT)) END"),
         ("active", "CASE WHEN event_id % 3 = 2 THEN event_id % 2 = 0 END"),
@@ -278,8 +284,11 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
         ("password_hash", "concat('staged-', event_id)"),
     ]),
     "logouts": ("events", [
-        *_REQUEST,
-        ("token", "CAST(event_id % 12000 AS VARCHAR(20))"),
+        *_TWICE,
+        # known, repeated (every tenth with the one before it) and unknown tokens
+        ("token", "CASE WHEN event_id % 17 = 0 THEN concat('unknown-', event_id) ELSE CAST("
+                  "event_id - CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR(20)) "
+                  "END"),
     ]),
     "password_changes": ("events", [
         *_REQUEST,

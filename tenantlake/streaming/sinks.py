@@ -35,50 +35,79 @@ def _last_log_number(spark: SparkSession, root: str, version: dict | None) -> in
     return largest_number(read_current(spark, root, LOG), "log_id").first().top
 
 
-def merge_batch(root: str, source: str = "logins") -> Callable[[DataFrame, int], None]:
+def _query_id(spark: SparkSession) -> str:
+    """Id of the streaming query that runs the batch; it lives in the query's checkpoint."""
+    found = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise ValueError("outside a streaming query name the source of the batch numbers")
+    return found
+
+
+def merge_batch(root: str, tokens: DataFrame | None = None,
+                source: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: log, sessions and account states of a micro-batch become
     one version. Only new files are written: the account table is not rewritten, the
     states are laid over it on reading (`current_accounts`) and folded into it now and
-    then (`compact_accounts`). A batch replayed after a failure is not applied twice."""
+    then (`compact_accounts`). A batch replayed after a failure is not applied twice; a
+    query with a new checkpoint is another source.
+
+    `tokens` (attempt_id, token) are the staged secrets of the attempts. A session is
+    stored under the hash of its token, so without tokens no sessions are written."""
 
     def apply(folded: DataFrame, batch_id: int) -> None:
         spark = folded.sparkSession
+        own = source or _query_id(spark)
         folded = folded.persist()
         try:
             version = current_version(spark, root)
             last = _last_log_number(spark, root, version)
             rows = login_log_rows(folded)
-            states = login_states(folded).withColumn("batch", F.lit(batch_id).cast("bigint"))
-            commit_version(
-                spark, root, {},
-                {LOG: new_log_rows(None, rows, last),
-                 SESSIONS: login_sessions(folded).select(*USER_SESSION.names),
-                 STATES: states},
-                batch=f"{source}:{batch_id}", marks={LOG: last + rows.count()})
+            states = login_states(folded).withColumn(
+                "batch", F.lit((version or {"number": 0})["number"] + 1).cast("bigint"))
+            added = {LOG: new_log_rows(None, rows, last), STATES: states}
+            if tokens is not None:
+                added[SESSIONS] = login_sessions(folded, tokens).select(*USER_SESSION.names)
+            commit_version(spark, root, {}, added, batch=f"{own}:{batch_id}",
+                           marks={LOG: last + rows.count()}, read=version)
         finally:
             folded.unpersist()
 
     return apply
 
 
-def current_accounts(spark: SparkSession, root: str) -> DataFrame:
+def current_accounts(spark: SparkSession, root: str,
+                     version: dict | None = None) -> DataFrame:
     """The account table with the latest login state of each account laid over it."""
-    users = read_current(spark, root, USERS)
-    if STATES not in current_version(spark, root)["tables"]:
+    version = version or current_version(spark, root)
+    users = read_current(spark, root, USERS, version)
+    if STATES not in version["tables"]:
         return users
     newest = F.max(F.struct("batch", "failed_count", "locked_until"))
-    states = read_current(spark, root, STATES).groupBy("user_id").agg(
+    states = read_current(spark, root, STATES, version).groupBy("user_id").agg(
         newest.alias("s"), F.max("login_at").alias("login_at"))
     return with_login_states(users, states.select(
         "user_id", "s.failed_count", "s.locked_until", "login_at"))
 
 
 def compact_accounts(spark: SparkSession, root: str) -> int:
-    """Write the overlaid accounts as a new snapshot and drop the states."""
-    return commit_version(spark, root, {USERS: current_accounts(spark, root)},
-                          dropped=(STATES,))
+    """Write the overlaid accounts as a new snapshot and drop the states. If a batch is
+    merged meanwhile, StaleVersion is raised and nothing has changed."""
+    version = current_version(spark, root)
+    return commit_version(spark, root, {USERS: current_accounts(spark, root, version)},
+                          dropped=(STATES,), read=version)
+
+
+def compact_appended(spark: SparkSession, root: str, names: tuple[str, ...] = (LOG, SESSIONS)
+                     ) -> int:
+    """Write tables that were appended to as one snapshot each, sorted by account."""
+    version = current_version(spark, root)
+    held = [n for n in names if n in version["tables"]]
+    whole = {n: read_current(spark, root, n, version).repartitionByRange("user_id")
+             .sortWithinPartitions("user_id") for n in held}
+    return commit_version(spark, root, whole, read=version)
 
 
-def merge_logins(folded: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def merge_logins(folded: DataFrame, root: str, checkpoint: str,
+                 tokens: DataFrame | None = None, **trigger) -> StreamingQuery:
     return (folded.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .foreachBatch(merge_batch(root)).trigger(**trigger).start())
+            .foreachBatch(merge_batch(root, tokens)).trigger(**trigger).start())

@@ -202,7 +202,7 @@ oracle("i4_ownership_per_request", "evidence user_login_log",
        "SELECT r.request_id, r.evidence_id, r.company_id, r.is_super, CASE WHEN r.is_super "
        "THEN false WHEN e.evidence_id IS NULL THEN true ELSE coalesce(e.company_id = "
        "r.company_id, false) END AS owned FROM (SELECT log_id AS request_id, concat('E', "
-       "log_id % 1200) AS evidence_id, concat('C', lpad(CAST(log_id % 25 + 1 AS VARCHAR), 4, "
+       "log_id // 9) AS evidence_id, concat('C', lpad(CAST(log_id % 25 + 1 AS VARCHAR), 4, "
        "'0')) AS company_id, log_id % 50 = 0 AS is_super FROM user_login_log) r LEFT JOIN "
        "evidence e ON e.evidence_id = r.evidence_id")
 _MAY = " OR ".join(f"(action = '{a}' AND role IN ({text_list(r)}))"

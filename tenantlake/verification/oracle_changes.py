@@ -8,6 +8,14 @@ from tenantlake.verification.oracle import (
 _BY = "concat('by=', actor)"
 
 
+def _once(table: str, *columns: str) -> str:
+    """The earliest of the rows with one request_id."""
+    order = ", ".join(f"{c} NULLS FIRST" for c in ("request_ts", *columns))
+    return (f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY request_id "
+            f"ORDER BY {order}) = 1)")
+
+
+
 def outcome(prefix: str, tables: str, extra: str, **bodies: str) -> None:
     for suffix, body in bodies.items():
         oracle(f"{prefix}_{suffix}", tables, body, extra)
@@ -78,9 +86,10 @@ outcome("m2_account_signup", "app_user account_signups", _M2,
 
 # --- M3, M4 -----------------------------------------------------------------------------
 _M3 = (
-    "judged AS (SELECT request_id, request_ts, actor, user_id, status, CASE WHEN user_id NOT "
-    "IN (SELECT user_id FROM app_user) THEN 'USER_NOT_FOUND' END AS error_code FROM "
-    "account_status_requests), ok AS (SELECT * FROM judged WHERE error_code IS NULL), final AS "
+    "judged AS (SELECT request_id, request_ts, actor, user_id, status, CASE WHEN coalesce("
+    "status, '') NOT IN ('ACTIVE', 'DISABLED') THEN 'INVALID_STATUS' WHEN user_id NOT IN ("
+    "SELECT user_id FROM app_user) THEN 'USER_NOT_FOUND' END AS error_code FROM "
+    + _once("account_status_requests", "actor", "user_id", "status") + " AS q), ok AS (SELECT * FROM judged WHERE error_code IS NULL), final AS "
     "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY request_ts DESC, request_id "
     "DESC) AS r FROM ok), stopped AS (SELECT user_id, min(request_ts) AS t FROM ok WHERE "
     "status = 'DISABLED' GROUP BY user_id)")
@@ -210,7 +219,7 @@ _M14 = (
     "judged AS (SELECT q.request_id, q.request_ts, sha256(q.token) AS session_id, s.user_id, "
     "s.session_id IS NOT NULL AND s.revoked_at IS NULL AND row_number() OVER (PARTITION BY "
     "q.token ORDER BY q.request_ts, q.request_id) = 1 AS done, CAST(NULL AS VARCHAR) AS "
-    "error_code FROM logouts q LEFT JOIN user_session s ON s.session_id = sha256(q.token)), ok "
+    "error_code FROM " + _once("logouts", "actor", "token") + " q LEFT JOIN user_session s ON s.session_id = sha256(q.token)), ok "
     "AS (SELECT * FROM judged WHERE done)")
 outcome("m14_logout", "user_session logouts", _M14,
         verdicts="SELECT * FROM judged",
@@ -331,8 +340,10 @@ _TAKES = ("(op = 'remove' OR (op = 'role' AND role <> 'admin') OR (op = 'active'
           "active))")
 _M6 = (
     "asked AS (SELECT request_id, request_ts, actor, company_id, lower(trim(email)) AS email, "
-    "op, role, active FROM member_requests), early AS (SELECT a.*, u.user_id, CASE WHEN op = "
-    "'role' AND a.role NOT IN ('admin', 'reviewer', 'member') THEN 'INVALID_ROLE' WHEN "
+    "op, role, active FROM " + _once("member_requests", "actor", "company_id", "email", "op",
+                                     "role", "active") + " AS q), early AS (SELECT a.*, "
+    "u.user_id, CASE WHEN coalesce(op, '') NOT IN ('role', 'remove', 'active') THEN "
+    "'INVALID_OP' WHEN op = 'role' AND a.role NOT IN ('admin', 'reviewer', 'member') THEN 'INVALID_ROLE' WHEN "
     f"{email_bad('a.email')} THEN 'INVALID_EMAIL' WHEN u.user_id IS NULL THEN "
     "'MEMBER_NOT_FOUND' END AS code FROM asked a LEFT JOIN (SELECT user_id, email, company_id "
     "FROM app_user) u ON u.email = a.email AND u.company_id = a.company_id), valid AS (SELECT "

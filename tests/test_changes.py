@@ -267,3 +267,29 @@ def test_log_detail_is_cut_and_blank_is_null(spark):
     got = logs.append_log(log, rows).orderBy("log_id").collect()
     assert [(r.log_id, None if r.detail is None else len(r.detail)) for r in got] == [
         (7, None), (8, 200), (9, None), (10, None)]
+
+
+def test_staged_requests_are_guarded(spark):
+    """Unknown operations and statuses are rejected, a repeated request counts once."""
+    people = spark.createDataFrame([user("u@d1.test"), user("boss@d1.test", role="admin")],
+                                   APP_USER)
+    held = spark.createDataFrame([session("s", "u@d1.test")], USER_SESSION)
+    asked = spark.createDataFrame(
+        [(i, T0, "op", "u@d1.test", s) for i, s in enumerate(["active", None, "PENDING"])],
+        REQ + "user_id string, status string")
+    out = accounts.set_account_status(people, held, asked)
+    assert {r.error_code for r in out.rejected.collect()} == {"INVALID_STATUS"}
+    assert out.rejected.count() == 3 and out.log_rows.count() == 0
+    assert {r.revoked_at for r in out.tables["user_session"].collect()} == {None}
+    moved = spark.createDataFrame(
+        [(i, T0, "op", "C0001", "u@d1.test", op, None, None)
+         for i, op in enumerate(["promote", None])],
+        REQ + "company_id string, email string, op string, role string, active boolean")
+    out = members.change_members(people, held, moved)
+    assert {r.error_code for r in out.verdicts.collect()} == {"INVALID_OP"}
+    assert {r.status for r in out.tables["app_user"].collect()} == {"ACTIVE"}
+    token = spark.createDataFrame([("t",)], "t string").selectExpr("sha2(t, 256)").first()[0]
+    open_one = spark.createDataFrame([session(token, "u@d1.test")], USER_SESSION)
+    twice = spark.createDataFrame([(7, T0, "op", "t")] * 2, REQ + "token string")
+    out = accounts.log_out(open_one, twice)
+    assert out.log_rows.count() == 1 and out.tables["user_session"].count() == 1

@@ -11,7 +11,8 @@ from tenantlake.schemas import APP_USER, ATTEMPTS
 from tenantlake.sources import versions
 from tenantlake.streaming.logins import stream_logins
 from tenantlake.streaming.sinks import (
-    append_log_files, compact_accounts, current_accounts, merge_logins)
+    append_log_files, compact_accounts, compact_appended, current_accounts, merge_batch,
+    merge_logins)
 from tests.test_changes import company, user
 
 T0 = datetime(2024, 1, 1)
@@ -242,3 +243,66 @@ def test_log_files_are_appended(spark, arrivals):
     append_log_files(rows, f"{folder}/log", f"{folder}/cp2", availableNow=True
                      ).awaitTermination(200)
     assert spark.read.parquet(f"{folder}/log").count() > 0
+
+
+def test_sessions_need_their_tokens(spark, tmp_path):
+    """Stored keys are hashes of staged tokens; without tokens there are no sessions."""
+    root = str(tmp_path)
+    users = spark.createDataFrame([account("a")], APP_USER)
+    folded = lockout.fold_logins(users, tries(spark, ("a", 0, True), ("a", 1, True)))
+    versions.commit_version(spark, root, {"app_user": users})
+    merge_batch(root, source="q1")(folded, 0)
+    assert "user_session" not in versions.current_version(spark, root)["tables"]
+    tokens = spark.createDataFrame([(0, "secret"), (1, "other")], "attempt_id long, token string")
+    merge_batch(root, tokens, source="q2")(folded, 0)
+    kept = versions.read_current(spark, root, "user_session").select("session_id")
+    wanted = tokens.selectExpr("sha2(token, 256) AS session_id")
+    assert sorted(kept.collect()) == sorted(wanted.collect())
+    with pytest.raises(ValueError, match="source"):
+        merge_batch(root)(folded, 1)
+
+
+def test_new_checkpoint_is_a_new_source(spark, tmp_path):
+    """A query that counts from 0 again is not taken for the one before; a replay is."""
+    root = str(tmp_path)
+    users = spark.createDataFrame([account("a")], APP_USER)
+    versions.commit_version(spark, root, {"app_user": users})
+    for source, number, minute in (("q1", 5, 0), ("q2", 0, 1), ("q2", 0, 1)):
+        folded = lockout.fold_logins(users, tries(spark, ("a", minute, False)))
+        merge_batch(root, source=source)(folded, number)
+    log = versions.read_current(spark, root, "user_login_log").collect()
+    assert sorted((r.log_id, r["at"].minute) for r in log) == [(1, 0), (2, 1)]
+    compact_appended(spark, root)
+    assert len(versions.current_version(spark, root)["tables"]["user_login_log"]) == 1
+    assert versions.read_current(spark, root, "user_login_log").count() == 2
+
+
+def test_compaction_beside_a_batch(spark, tmp_path, monkeypatch):
+    """A batch that is merged while accounts are compacted stays; compaction is redone."""
+    root = str(tmp_path)
+    users = spark.createDataFrame([account("a")], APP_USER)
+    versions.commit_version(spark, root, {"app_user": users})
+    first = lockout.fold_logins(users, tries(spark, ("a", 0, False)))
+    merge_batch(root, source="q")(first, 0)
+    publish, merged = versions._publish, []
+
+    def between(*args):
+        if not merged:
+            merged.append(True)
+            second = lockout.fold_logins(users, tries(spark, ("a", 1, False), ("a", 2, False)))
+            merge_batch(root, source="q")(second, 1)
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "_publish", between)
+    with pytest.raises(versions.StaleVersion):
+        compact_accounts(spark, root)
+    assert current_accounts(spark, root).first().failed_count == 2
+    compact_accounts(spark, root)
+    assert versions.read_current(spark, root, "app_user").first().failed_count == 2
+    assert versions.read_current(spark, root, "user_login_log").count() == 3
+
+
+def test_missing_counter_is_zero(spark):
+    users = spark.createDataFrame([account("a", failed=None), account("b")], APP_USER)
+    folded = lockout.fold_logins(users, tries(spark, ("a", 0, False), ("b", 0, False)))
+    assert [a[1] for a in answers(folded)] == ["failed=1", "failed=1"]

@@ -116,3 +116,35 @@ def test_python_only_where_the_order_matters(spark, small):
         assert not re.search(r"MapInPandas|PythonUDF|ArrowEval|FlatMapGroups", text), name
         assert "CartesianProduct" not in text, name
         assert "BroadcastNestedLoopJoin" not in text, name
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contract_reads_its_table_once(stored):
+    from tenantlake.operators.contracts import contract_findings
+    from tenantlake.schemas import CONTRACTS
+    text = plan(contract_findings(stored["app_user"], CONTRACTS["app_user"]))
+    assert scans(text) == 1 and "partial_count" in text
+
+
+def test_tokens_narrow_the_sessions_first(spark, stored, no_broadcast):
+    """All live sessions are never joined with all users: each table meets asked keys."""
+    tokens = spark.createDataFrame([("t",)], "token string")
+    text = plan(reports.users_of_tokens(tokens, stored["user_session"], stored["app_user"],
+                                        AS_OF))
+    assert text.count("LeftSemi") >= 2
+    above = nodes_above_scan(text, "/user_session")
+    assert next(n for n in above if "Join" in n).count("LeftSemi") == 1
+
+
+def test_taken_moves_matching_keys_only(spark, stored, no_broadcast):
+    asked = spark.createDataFrame([(1, "a@b.test")], "request_id long, email string")
+    above = nodes_above_scan(plan(reports.taken(asked, stored["app_user"], "email")),
+                             "/app_user")
+    assert "LeftSemi" in next(n for n in above if "Join" in n)

@@ -108,6 +108,32 @@ def test_versions_are_published_together(spark, tmp_path):
         versions.read_current(spark, root, "invite")
 
 
+def test_interleaved_commits_lose_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    versions.commit_version(spark, root, {"company": spark.createDataFrame(
+        [company(1)], COMPANY)})
+    publish, inside, steps = versions._publish, [], iter("01")
+
+    def between(*args):
+        if not inside:
+            inside.append(True)
+            versions.commit_version(spark, root, {}, {"user_session": spark.createDataFrame(
+                [session("2", "b")], USER_SESSION)}, batch=f"other:{next(steps)}")
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "_publish", between)
+    one = spark.createDataFrame([session("1", "a")], USER_SESSION)
+    assert versions.commit_version(spark, root, {}, {"user_session": one}, batch="own:0") == 3
+    held = versions.read_current(spark, root, "user_session")
+    assert {r.session_id for r in held.collect()} == {"1", "2"}
+    assert versions.current_version(spark, root)["batches"] == {"other": 0, "own": 0}
+    inside.clear()
+    with pytest.raises(versions.StaleVersion):
+        versions.commit_version(spark, root, {"company": spark.createDataFrame(
+            [company(2)], COMPANY)})
+    assert versions.read_current(spark, root, "company").first().company_id == "C0001"
+
+
 def test_credentials_report(spark):
     good = "pbkdf2_sha256$600000$" + "s" * 22 + "$" + "h" * 43
     people = spark.createDataFrame([user("a", password_hash=good), user("b")], APP_USER)
