@@ -100,7 +100,8 @@ def license_matches(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> D
               .join(template, "gram")
               .filter((F.col("n") >= least * F.col("size") / (2 - least))
                       & (F.col("n") <= F.col("size") * (2 - least) / least)))
-    dice = 2 * F.count("gram") / (F.first("n") + F.first("size"))
+    # A set, because rows of the same document meet here.
+    dice = 2 * F.size(F.collect_set("gram")) / (F.first("n") + F.first("size"))
     return (shared.groupBy("doc_id", "text_key", "passage", "license", "template")
             .agg(dice.alias("dice")).filter(F.col("dice") >= least))
 

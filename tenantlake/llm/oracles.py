@@ -2,6 +2,148 @@
 
 from __future__ import annotations
 
+from tenantlake.llm.licenses import TEMPLATES
+from tenantlake.llm.queries import CONTROL
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _folded(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
+
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text
+           FROM documents),
+w AS (SELECT rid, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws FROM d),
+wu AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (SELECT rid, pos, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p
+             || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS gram
+      FROM wu WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+again AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, gram) AS n FROM g
+          WHERE gram IS NOT NULL),
+covered AS (SELECT rid, count(DISTINCT pos + k) AS n FROM again, range(5) AS r(k)
+            WHERE n >= 2 GROUP BY rid),
+lines AS (SELECT rid, host, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+          FROM d),
+normal AS (SELECT rid, host, text, line, regexp_extract_all(
+               regexp_replace({_folded('line')}, '[0-9]', '0', 'g'), {_ALNUM}) AS ws
+           FROM lines),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines
+         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+frequent AS (SELECT host, ws FROM normal WHERE len(ws) > 0 GROUP BY host, ws
+             HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.002 * (
+                 SELECT count(DISTINCT text) FROM d WHERE d.host = normal.host)),
+gone AS (SELECT n.rid, count(f.host) AS n_lines, sum(len(n.ws)) AS total,
+                coalesce(sum(CASE WHEN f.host IS NOT NULL THEN len(n.ws) END), 0) AS words
+         FROM normal n LEFT JOIN frequent f ON n.host = f.host AND n.ws = f.ws GROUP BY n.rid),
+measured AS (
+    SELECT d.doc_id, len(w.ws)::BIGINT AS n_words,
+           length(array_to_string(w.ws, ''))::BIGINT AS word_chars,
+           length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT
+               AS n_symbols,
+           coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+           coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+           gone.n_lines::BIGINT AS n_removed_lines,
+           (gone.total - gone.words)::BIGINT AS words_left, gone.total AS total
+    FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid)
+    LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+           AND NOT words_left < 0.5 * total AS kept,
+       n_removed_lines, words_left
+FROM measured
+"""
+
+OP4 = rf"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{CONTROL}'
+    UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
+spelled AS (
+    SELECT *, row_number() OVER p AS n, count(*) OVER (PARTITION BY conv_id) AS turns,
+           length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'),
+               '<|', '<\|'), chr(10), '<\n>')) + 1
+           + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1
+               AS chars
+    FROM rows WINDOW p AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+prefixes AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM spelled)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), ''))
+           AS loss_sha256,
+       sum(upto) FILTER (role = 'assistant' OR n = turns)::BIGINT AS formatted_chars
+FROM prefixes GROUP BY conv_id
+"""
+
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all({_folded('text')}, {_ALNUM}) AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_folded('text')}, {_ALNUM}) AS ws
+      FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(10, len(ws)) AS size, array_to_string(
+        ws[i:i + least(10, len(ws)) - 1], ' ') AS gram
+    FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b
+          WHERE len(ws) > 0)),
+grams AS (
+    SELECT rid, i, size, array_to_string(ws[i:i + size - 1], ' ') AS gram
+    FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+          FROM d, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size)),
+hits AS (SELECT g.rid, g.i, g.size, w.item FROM grams g JOIN windows w USING (size, gram)),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM hits, range(10) AS r(k)
+            WHERE k < size GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item) AS n,
+                 string_agg(DISTINCT item, ',' ORDER BY item) AS listed
+          FROM hits GROUP BY rid)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit,
+       coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
+"""
+
+_ROWS = ", ".join("('{}', '{}')".format(name, wording.replace("'", "''"))
+                  for name, wording in TEMPLATES)
+
+
+def _grams(words: str) -> str:
+    return (f"list_distinct([{words}[i] || ' ' || {words}[i + 1] "
+            f"FOR i IN range(1, len({words}))])")
+
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+known AS (
+    SELECT license, {_grams('ws')} AS grams FROM (
+        SELECT license, regexp_extract_all({_folded('wording')}, {_ALNUM}) AS ws
+        FROM (VALUES {_ROWS}) AS t(license, wording))),
+passages AS (
+    SELECT rid, passage, {_grams('ws')} AS grams FROM (
+        SELECT rid, passage, regexp_extract_all({_folded('passage')}, {_ALNUM}) AS ws FROM (
+            SELECT DISTINCT rid, unnest(list_concat(
+                string_split(text, chr(10)), string_split(regexp_replace(text,
+                    '([.!?])[\t\n\x0B\f\r ]+', '\1' || chr(10), 'g'), chr(10)))) AS passage
+            FROM d WHERE text IS NOT NULL))),
+compared AS (
+    SELECT rid, passage, license, 2 * len(list_intersect(p.grams, k.grams))
+           / (len(p.grams) + len(k.grams)) AS dice
+    FROM passages p, known k WHERE len(p.grams) > 0),
+best AS (SELECT rid, passage, max(dice) AS dice,
+                arg_min(license, (-dice, license)) AS license
+         FROM compared WHERE dice >= 0.8 GROUP BY rid, passage),
+named AS (SELECT rid, license, max(dice) AS dice, count(*) AS n FROM best GROUP BY ALL),
+listed AS (SELECT rid, sum(n) AS n, string_agg(license || ':' || printf('%.4f', dice), ','
+                  ORDER BY license) AS licenses FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_notices, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN listed USING (rid)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_line_frequency": OP1, "op4_prefix_targets": OP4, "op5_wu_manber": OP5,
+            "op7_dice_licenses": OP7}
