@@ -14,7 +14,9 @@ from tenantlake.operators import contracts, isolation, keyed
 from tenantlake.operators.isolation import Scope
 from tenantlake.plans import reports
 from tenantlake.schemas import CONTRACTS
+from tenantlake.session import scratch_folder
 from tenantlake.sources.adapters import Adapters
+from tenantlake.sources.tables import load, load_access_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -388,14 +390,21 @@ def _(t):
 
 
 # --- C: contracts, sources, keyed merges --------------------------------------------------
+def stored(t: Adapters, name: str) -> str:
+    """Folder with the derived table written as files."""
+    root = scratch_folder(t.spark, "stored")
+    t[name].write.parquet(f"{root}/{name}")
+    return root
+
+
 @query("c1_identity_tables")
 def _(t):
-    return t["app_user"]
+    return load(t.spark, stored(t, "app_user"), "app_user")
 
 
 @query("c2_access_events")
 def _(t):
-    return t["access_event"]
+    return load_access_events(t.spark, f"{stored(t, 'access_event')}/access_event")
 
 
 @query("c4_contract_company_user")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tenantlake.operators import (
     accounts, companies, invites, keyed, lockout, logs, members)
 from tenantlake.plans.catalog import query
+from tenantlake.session import scratch_folder
+from tenantlake.sources.versions import read_current
 from tenantlake.streaming.replay import replay
+from tenantlake.streaming.sinks import merge_batch
 
 PURGE_BEFORE = datetime(1998, 1, 1, 8)
 
@@ -173,6 +176,15 @@ def _(t):
     return lockout.login_verdicts(replay(t["attempts"], t["app_user"], windows=2))
 
 
+@query("l6_merged_log")
+def _(t):
+    """The log that the sink commits, read back from the published version."""
+    root = scratch_folder(t.spark, "merged")
+    folded = replay(t["attempts"], t["app_user"], windows=2)
+    merge_batch(root, source="replay")(folded, 0)
+    return read_current(t.spark, root, "user_login_log")
+
+
 @query("l6_stream_log_rows")
 def _(t):
     return lockout.login_log_rows(replay(t["attempts"], t["app_user"], windows=2))

@@ -334,6 +334,9 @@ _lock("l3_company_gate_sessions", _SESSIONS, gated=True)
 _lock("l3_company_gate_log_rows", _LOGGED, gated=True)
 _lock("l5_stream_verdicts", _VERDICTS)
 _lock("l6_stream_log_rows", _LOGGED)
+_lock("l6_merged_log",
+      "SELECT row_number() OVER (ORDER BY \"at\", request_id, seq) AS log_id, user_id, event, "
+      f"substring(detail, 1, 200) AS detail, \"at\" FROM ({_LOGGED})")
 
 # --- M6 to M9: one request after another per company, as a recursion ----------------------
 _TAKES = ("(op = 'remove' OR (op = 'role' AND role <> 'admin') OR (op = 'active' AND NOT "
