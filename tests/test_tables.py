@@ -1,9 +1,12 @@
 """Contracts, keyed merges, reading and committing tables."""
 
+from datetime import date, datetime
+
 import pytest
 
 from tenantlake.operators import contracts, keyed
-from tenantlake.schemas import ACCESS_EVENT, APP_USER, COMPANY, CONTRACTS, USER_SESSION
+from tenantlake.schemas import (
+    ACCESS_EVENT, APP_USER, COMPANY, CONTRACTS, TABLES, USER_SESSION)
 from tenantlake.sources import tables, versions
 from tests.test_changes import company, session, user
 
@@ -83,6 +86,20 @@ def test_load_checks_columns(spark, tmp_path):
         tables.load(spark, str(tmp_path), "invite")
 
 
+def test_days_are_pruned(spark, tmp_path):
+    rows = [(i, f"u{i % 3}", "LOGIN_OK", None, datetime(2024, 1, 1 + i % 4, i % 24))
+            for i in range(40)]
+    log = spark.createDataFrame(rows, TABLES["user_login_log"])
+    tables.store(log, str(tmp_path), "user_login_log")
+    day = date(2024, 1, 2)
+    some = tables.load_days(spark, str(tmp_path), "user_login_log", day, day)
+    assert sorted(r.log_id for r in some.collect()) == list(range(1, 40, 4))
+    text = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in text and some.columns == log.columns
+    whole = tables.load_days(spark, str(tmp_path), "user_login_log")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, log.collect()))
+
+
 def test_absent_audit_store_is_empty(spark, tmp_path):
     nothing = tables.load_access_events(spark, f"{tmp_path}/none")
     assert nothing.count() == 0 and nothing.schema == ACCESS_EVENT
