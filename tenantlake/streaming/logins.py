@@ -3,8 +3,8 @@
 Attempts may arrive out of order. Each account keeps its rows until the watermark has
 passed them and then folds them in (at, kind, id) order, so the stream gives what the
 batch gives for every row that is not later than the watermark. Later rows are dropped by
-Spark and counted in the query progress (numRowsDroppedByWatermark). A verdict comes one
-watermark delay after its attempt.
+Spark and counted in the query progress (numRowsDroppedByWatermark). A verdict comes when
+the watermark has passed the minute of its attempt.
 
 The accounts are loaded once as initial state. Status changes during the run must arrive
 as control rows in the stream.
@@ -25,7 +25,9 @@ from tenantlake.session import ship_package
 
 _EPOCH = "1970-01-01 00:00:00"
 _ACCOUNT = "status string, failed int, locked bigint, suspended boolean"
-_ROW = "at bigint, kind int, id bigint, ok boolean, set_status string"
+_BUCKET = ("rows array<struct<at: bigint, kind: int, id: bigint, ok: boolean, "
+           "set_status: string>>")
+_MINUTE = 60_000_000
 
 
 def _micros(column: str):
@@ -33,12 +35,16 @@ def _micros(column: str):
 
 
 class LockoutProcessor(StatefulProcessor):
-    """State per account: its counter and lock, and the rows the watermark has not passed."""
+    """State per account: its counter and lock, and the rows the watermark has not passed.
+
+    Rows wait in buckets of a minute with a timer each, so a timer reads and clears the
+    minutes that are over and an account with many rows never rewrites the others.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.account = handle.getValueState("account", _ACCOUNT)
-        self.pending = handle.getListState("pending", _ROW)
+        self.pending = handle.getMapState("pending", "minute bigint", _BUCKET)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         first = initialState.iloc[0]
@@ -46,34 +52,26 @@ class LockoutProcessor(StatefulProcessor):
                              int(first["locked"]), bool(first["suspended"])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
         for batch in rows:
-            low = int(batch["at_micros"].min())
-            earliest = low if earliest is None else min(earliest, low)
-            self.pending.appendList([
-                (int(at), int(kind), int(ident), bool(ok), new) for at, kind, ident, ok, new in
-                zip(batch["at_micros"], batch["kind"], batch["id"], batch["ok"],
-                    batch["set_status"])])
-        if earliest is not None:
-            self._wake_at(earliest)
+            buckets: dict[int, list[tuple]] = {}
+            for at, kind, ident, ok, new in zip(batch["at_micros"], batch["kind"], batch["id"],
+                                                batch["ok"], batch["set_status"]):
+                row = (int(at), int(kind), int(ident), bool(ok), new)
+                buckets.setdefault(int(at) // _MINUTE, []).append(row)
+            for minute, found in buckets.items():
+                held = (self.pending.getValue((minute,))[0]
+                        if self.pending.containsKey((minute,)) else [])
+                self.pending.updateValue((minute,), ([*map(tuple, held), *found],))
+                self.handle.registerTimer((minute + 1) * _MINUTE // 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        for row in self.pending.get():
-            (due if row[0] <= passed else later).append(tuple(row))
-        if later:
-            self.pending.put(later)
-            self._wake_at(min(r[0] for r in later))
-        else:
-            self.pending.clear()
-        if due:
-            yield self._fold(key[0], sorted(due, key=lambda r: r[:3]))
-
-    def _wake_at(self, micros: int) -> None:
-        """One timer per account is enough; an extra one finds nothing to do."""
-        self.handle.registerTimer(-(-micros // 1000))
+        over = sorted(k[0] for k in self.pending.keys() if (k[0] + 1) * _MINUTE <= passed)
+        for minute in over:
+            rows = [tuple(r) for r in self.pending.getValue((minute,))[0]]
+            self.pending.removeKey((minute,))
+            yield self._fold(key[0], sorted(rows, key=lambda r: r[:3]))
 
     def _fold(self, user: str, rows: list[tuple]) -> pd.DataFrame:
         state = LockState(*self.account.get()) if self.account.exists() else LockState()

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tenantlake.operators import lockout
-from tenantlake.schemas import APP_USER, ATTEMPTS
+from tenantlake.schemas import APP_USER, ATTEMPTS, COMPANY
 from tenantlake.sources import versions
 from tenantlake.streaming.logins import stream_logins
 from tenantlake.streaming.sinks import (
@@ -245,6 +245,36 @@ def test_log_files_are_appended(spark, arrivals):
     assert spark.read.parquet(f"{folder}/log").count() > 0
 
 
+def test_stream_with_controls_and_company(spark, tmp_path):
+    """Control rows and the company gate act in the stream as in the batch."""
+    rnd = random.Random(6)
+    firms = spark.createDataFrame([company(1), company(2, status="SUSPENDED")], COMPANY)
+    users = spark.createDataFrame(
+        [account(f"u{i}", rnd.choice(["ACTIVE", "PENDING"]), firm=f"C000{i % 2 + 1}")
+         for i in range(4)], APP_USER)
+    tried = [(i, f"u{rnd.randrange(5)}", T0 + timedelta(seconds=rnd.randrange(3000)),
+              rnd.random() < 0.4) for i in range(200)]
+    asked = [(i, T0 + timedelta(seconds=rnd.randrange(3000)), f"u{rnd.randrange(4)}",
+              rnd.choice(["ACTIVE", "DISABLED"])) for i in range(12)]
+    batch = lockout.fold_logins(users, spark.createDataFrame(tried, ATTEMPTS), firms,
+                                spark.createDataFrame(asked, CONTROLS))
+    close = T0 + timedelta(days=1)
+    for part, (rows, orders) in enumerate(((tried, asked), (
+            [(999, "closing", close, False)], [(999, close, "closing", "ACTIVE")]))):
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/in")
+        spark.createDataFrame(orders, CONTROLS).coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/orders")
+        folded = stream_logins(
+            spark.readStream.schema(ATTEMPTS).parquet(f"{tmp_path}/in"), users, firms,
+            spark.readStream.schema(CONTROLS).parquet(f"{tmp_path}/orders"))
+        (folded.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+         .awaitTermination(200))
+    got = spark.read.schema(lockout.FOLD_SCHEMA).parquet(f"{tmp_path}/out")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, batch.collect()))
+
+
 def test_sessions_need_their_tokens(spark, tmp_path):
     """Stored keys are hashes of staged tokens; without tokens there are no sessions."""
     root = str(tmp_path)
