@@ -5,10 +5,10 @@ before it; windows cannot express that. The fold runs over partitions sorted by
 (user_id, at, id), one Arrow batch at a time, and carries one small state per account.
 
 An account that is attacked hard may own a third of all attempts, and its fold is one
-sequence. Such accounts are cut into slices of a range partitioning. Each slice computes,
-independently of the others, what it would do to any state it may start with; the effects
-are chained in slice order (a few rows per slice), and then every slice is folded with its
-true starting state. See `hot_entries`.
+sequence. So all rows are cut into slices of a range partitioning, and only users whose rows
+cross a border need more: each slice computes, independently of the others, what it would do
+to any state it may start with; the effects are chained in slice order (a few rows per slice),
+and then every slice is folded with its true starting state. See `entries`.
 """
 
 from __future__ import annotations
@@ -87,8 +87,7 @@ def fold_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold rows sorted by user and time.
 
     The first row of a user brings the state to start with in status, failed_count,
-    locked_until, suspended: the account row in the plain run, every row of a slice in
-    the sliced one. A first row without a status means that there is no such account.
+    locked_until, suspended: the account row, or any row of a later slice. A first row without a status means that there is no such account.
     """
     user, state = None, LockState()
     for batch in batches:
@@ -123,7 +122,7 @@ def fold_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-# --- accounts with too many attempts for one task ------------------------------------
+# --- users in several slices ----------------------------------------------------------
 EFFECT_SCHEMA = (
     "user_id string, slice int, active boolean, cls int, entry_hi bigint, resets boolean, "
     "n int, locked bigint, set_status string")
@@ -330,21 +329,19 @@ def login_steps(attempts: DataFrame, controls: DataFrame | None) -> DataFrame:
         F.col("status").alias("set_status")))
 
 
-def _plain_fold(steps: DataFrame, accounts: DataFrame) -> DataFrame:
-    """One shuffle of steps and accounts together; the account row sorts first."""
+def _rows_to_fold(steps: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Steps and accounts in one table; the account row of a user sorts first."""
     heads = accounts.select(
         "user_id", F.lit(ACCOUNT).alias("kind"), F.lit(0).cast("bigint").alias("id"),
         _nothing("timestamp_ntz").alias("at"), F.lit(False).alias("ok"),
         _nothing("string").alias("set_status"), "status", "failed_count", "locked_until",
         "suspended")
-    rows = steps.withColumns({
+    return heads.unionByName(steps.withColumns({
         "status": _nothing("string"), "failed_count": F.lit(0),
-        "locked_until": _nothing("timestamp_ntz"), "suspended": F.lit(False)})
-    return (heads.unionByName(rows).repartition("user_id").sortWithinPartitions(*_STEP)
-            .mapInPandas(fold_attempts, FOLD_SCHEMA))
+        "locked_until": _nothing("timestamp_ntz"), "suspended": F.lit(False)}))
 
 
-def hot_entries(cut: DataFrame, accounts: DataFrame, controlled: bool) -> DataFrame:
+def entries(cut: DataFrame, accounts: DataFrame, controlled: bool) -> DataFrame:
     """State with which every (user, slice) is entered; one row each.
 
     A slice is described by how it leaves, given how it is entered: unlocked with one of
@@ -369,53 +366,45 @@ def hot_entries(cut: DataFrame, accounts: DataFrame, controlled: bool) -> DataFr
         .mapInPandas(_chain, ENTRY_SCHEMA))
 
 
-def _sliced_fold(steps: DataFrame, accounts: DataFrame, slices: int | None,
-                 controlled: bool) -> DataFrame:
-    ensure_checkpoint_dir(steps.sparkSession)
-    ranges = [slices] if slices else []
-    cut = (steps.repartitionByRange(*ranges, *_STEP).sortWithinPartitions(*_STEP)
-           .withColumn("slice", F.spark_partition_id()).checkpoint())
-    entries = hot_entries(cut, accounts, controlled)
-    # At most one entry per slice and per hot account.
-    return (cut.join(F.broadcast(entries), ["user_id", "slice"]).drop("slice")
-            .mapInPandas(fold_attempts, FOLD_SCHEMA))
+def _crossing(cut: DataFrame) -> DataFrame:
+    """Users whose rows lie in several slices; only the first and last user of a slice can be
+    one, so they are fewer than the slices."""
+    borders = cut.groupBy("slice").agg(
+        F.array(F.min("user_id"), F.max("user_id")).alias("border"))
+    return (borders.select("slice", F.explode("border").alias("user_id")).distinct()
+            .groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 1").select("user_id"))
 
 
-HOT_ROWS = 2_000_000
+_STATE = ("status", "failed_count", "locked_until", "suspended")
 
 
 def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None = None,
-                controls: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-                slices: int | None = None) -> DataFrame:
+                controls: DataFrame | None = None, slices: int | None = None) -> DataFrame:
     """Every attempt with its event, detail, error code and the state it leaves.
 
-    `controls` are accepted approve/stop requests that take part in the order. Accounts
-    with more than `hot_rows` attempts are counted first (combined on the map side); only
-    if there are any, they take the sliced way.
+    `controls` are accepted approve/stop requests that take part in the order. Accounts and
+    steps are cut into `slices` (default: the shuffle partitions) of about equal size; of the
+    users at the borders the entry states are computed first.
     """
     ship_package()
-    accounts = account_states(users, company)
-    steps = login_steps(attempts, controls)
-    hot = steps.groupBy("user_id").count().filter(F.col("count") > hot_rows).select("user_id")
-    if hot.isEmpty():
-        return _plain_fold(steps, accounts)
-    ensure_checkpoint_dir(steps.sparkSession)
-    # At most (attempts / hot_rows) ids, so the broadcasts below stay small.
-    hot = F.broadcast(hot.checkpoint())
-    hot_accounts = accounts.join(hot, "user_id", "left_semi").checkpoint()
-    hot_steps = steps.join(hot, "user_id", "left_semi")
-    unknown = hot_steps.join(F.broadcast(hot_accounts.select("user_id")), "user_id",
-                             "left_anti")
-    strangers = unknown.select(
-        "user_id", "kind", F.col("id").alias("attempt_id"), "at",
-        *[F.when(F.col("kind") == ATTEMPT, F.lit(v)).alias(c) for c, v in (
-            ("event", "LOGIN_FAIL"), ("detail", "no such user"), ("code", "LOGIN_FAILED"))],
-        F.lit(0).alias("failed_count"), _nothing("timestamp_ntz").alias("locked_until"))
-    known = hot_steps.join(F.broadcast(hot_accounts.select("user_id")), "user_id", "left_semi")
-    plain = _plain_fold(steps.join(hot, "user_id", "left_anti"),
-                        accounts.join(hot, "user_id", "left_anti"))
-    sliced = _sliced_fold(known, hot_accounts, slices, controls is not None)
-    return plain.unionByName(sliced).unionByName(strangers)
+    ensure_checkpoint_dir(users.sparkSession)
+    rows = _rows_to_fold(login_steps(attempts, controls), account_states(users, company))
+    ranges = [slices] if slices else []
+    cut = (rows.repartitionByRange(*ranges, *_STEP).sortWithinPartitions(*_STEP)
+           .withColumn("slice", F.spark_partition_id()).checkpoint())
+    crossing = F.broadcast(_crossing(cut))
+    known = cut.filter(F.col("kind") == ACCOUNT).join(crossing, "user_id", "left_semi").select(
+        "user_id", *_STATE)
+    crossed = cut.filter(F.col("kind") != ACCOUNT).drop(*_STATE).join(
+        crossing, "user_id", "left_semi")
+    # At most two crossing users a slice, so there are at most two entries for each.
+    entered = F.broadcast(entries(crossed, known, controls is not None).select(
+        "user_id", "slice", F.lit(True).alias("entered"),
+        *[F.col(c).alias(f"e_{c}") for c in _STATE]))
+    state = {c: F.when(F.col("entered"), F.col(f"e_{c}")).otherwise(F.col(c)) for c in _STATE}
+    return (cut.join(entered, ["user_id", "slice"], "left").withColumns(state)
+            .select(*_STEP, "ok", "set_status", *_STATE)
+            .mapInPandas(fold_attempts, FOLD_SCHEMA))
 
 
 def split_company_attempts(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:

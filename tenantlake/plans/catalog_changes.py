@@ -133,7 +133,7 @@ def _(t):
 @query("l1_sliced_hot_accounts")
 def _(t):
     # A low threshold, so that most accounts take the way meant for the few hot ones.
-    return lockout.login_verdicts(_folded(t, hot_rows=20, slices=16))
+    return lockout.login_verdicts(_folded(t, slices=40))
 
 
 @query("l1_login_log_rows")

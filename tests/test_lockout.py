@@ -151,9 +151,9 @@ def plain_python(users, rows, controls):
 def test_plain_and_sliced_equal_the_loop(spark, seed):
     users, rows, controls, raw = noisy(spark, seed)
     wanted = plain_python(*raw)
-    plain = lockout.fold_logins(users, rows, controls=controls)
+    plain = lockout.fold_logins(users, rows, controls=controls, slices=1)
     assert {r.attempt_id: r.detail for r in lockout.login_verdicts(plain).collect()} == wanted
-    sliced = lockout.fold_logins(users, rows, controls=controls, hot_rows=60, slices=29)
+    sliced = lockout.fold_logins(users, rows, controls=controls, slices=29)
     assert sorted(map(repr, sliced.collect())) == sorted(map(repr, plain.collect()))
 
 
@@ -164,8 +164,8 @@ def test_one_account_with_everything(spark):
              rnd.random() < 0.01) for i in range(6000)]
     users = spark.createDataFrame([account("hot", failed=3)], APP_USER)
     attempts = spark.createDataFrame(rows, ATTEMPTS)
-    plain = lockout.fold_logins(users, attempts)
-    sliced = lockout.fold_logins(users, attempts, hot_rows=100, slices=40)
+    plain = lockout.fold_logins(users, attempts, slices=1)
+    sliced = lockout.fold_logins(users, attempts, slices=40)
     assert sorted(map(repr, sliced.collect())) == sorted(map(repr, plain.collect()))
 
 
@@ -176,7 +176,7 @@ def test_batches_smaller_than_an_account(spark):
         folded = lockout.fold_logins(users, rows, controls=controls)
         got = {r.attempt_id: r.detail for r in lockout.login_verdicts(folded).collect()}
         assert got == plain_python(*raw)
-        sliced = lockout.fold_logins(users, rows, controls=controls, hot_rows=30, slices=9)
+        sliced = lockout.fold_logins(users, rows, controls=controls, slices=9)
         assert sorted(map(repr, sliced.collect())) == sorted(map(repr, folded.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
