@@ -17,28 +17,29 @@ from tenantlake.operators.outcome import (
     settle, staged_text, user_rows, with_winner)
 from tenantlake.plans.reports import invite_error, with_invite
 from tenantlake.schemas import INVITE
+from tenantlake.session import ensure_checkpoint_dir
 
 
 def with_next_time(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add the request_ts of the next request of the same key.
 
-    Ranked inside (key, hour) and linked over the first request of each later hour, so
-    a key that owns a third of the batch is never one window.
+    Rows are cut into slices of a range partitioning on (key, time), so a key that owns a
+    third of the batch spreads; they are ranked inside (key, slice) and linked over the first
+    request of each later slice. Slices are frozen in a reliable checkpoint.
     """
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    hour = F.timestamp_diff("HOUR", epoch, "request_ts").alias("_hour")
-    rows = df.select("*", hour)
-    inside = Window.partitionBy(key, "_hour").orderBy(*ORDER)
-    across = Window.partitionBy(key).orderBy("_hour")
-    firsts = rows.groupBy(key, "_hour").agg(F.min("request_ts").alias("_first"))
-    following = firsts.select(key, "_hour", F.lead("_first").over(across).alias("_following"))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = (df.repartitionByRange(key, *ORDER).withColumn("_slice", F.spark_partition_id())
+            .checkpoint())
+    inside = Window.partitionBy(key, "_slice").orderBy(*ORDER)
+    across = Window.partitionBy(key).orderBy("_slice")
+    firsts = rows.groupBy(key, "_slice").agg(F.min("request_ts").alias("_first"))
+    following = firsts.select(key, "_slice", F.lead("_first").over(across).alias("_following"))
     return (rows.withColumn("_inside", F.lead("request_ts").over(inside))
-            .join(following, [key, "_hour"])
+            .join(following, [key, "_slice"])
             .withColumn(name, F.coalesce("_inside", "_following"))
-            .drop("_hour", "_inside", "_following"))
+            .drop("_slice", "_inside", "_following"))
 
 
-@applied_once
 def send_invites(invite: DataFrame, company: DataFrame, users: DataFrame,
                  requests: DataFrame) -> Outcome:
     """Invite people of the company's own mail domain.
