@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenantlake.llm.frame import map_arrow, settled
@@ -33,13 +33,11 @@ from tenantlake.llm.textkit import (
     LOWER, SPACED, chunks, mixed, window_hashes, words_of)
 
 SHINGLE = 5
-BANDS, ROWS = 45, 7
+BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 EXTRA_WEIGHT = 0.25
-FINEST = 7
-
-_CDF = np.cumsum([1, 1, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720, 1 / 5040, 1 / 40320])
-
+#: Rank intervals below 1; above, every interval is one wide.
+EDGES = (0.0, 1 / 64, 1 / 8, 1.0)
 
 def content_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary")))
@@ -63,50 +61,59 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], key[first], np.diff(np.append(first, len(text)))
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+def _poisson(area: float) -> np.ndarray:
+    """Numbers of darts in a cell of this area, by 16 bits of the cell's hash."""
+    terms = np.cumprod(np.concatenate(([np.exp(-area)], area / np.arange(1, 12))))
+    even = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    return np.searchsorted(np.cumsum(terms), even).astype(np.int64)
+
+
+_NUMBERS = [_poisson(b - a) for a, b in zip(EDGES, EDGES[1:])]
+
+
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index i repeated counts[i] times, and 0, 1, ... within each run."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _counts(h: np.ndarray, area: float) -> np.ndarray:
-    """Poisson numbers of darts by the hash of a cell of the given area (at most 1)."""
-    terms = np.cumsum([area ** i * np.exp(-area) * f for i, f in enumerate(
-        np.diff(_CDF, prepend=0))])
-    return np.searchsorted(terms, _uniform(h), side="right")
+def _cells(strips: np.ndarray, bound: np.ndarray) -> Iterator[tuple]:
+    """(strip, hash, number of darts, low rank, width) of the cells up to the bounds."""
+    for level, numbers in enumerate(_NUMBERS):
+        live = np.flatnonzero(bound > EDGES[level])
+        h = mixed(strips[live] + np.uint64(level + 1))
+        yield (live, h, numbers[h >> np.uint64(48)], EDGES[level],
+               EDGES[level + 1] - EDGES[level])
+    index, number = _places(np.maximum(0, np.ceil(bound) - 1).astype(np.int64))
+    h = mixed(strips[index] + (number + 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    yield index, h, _NUMBERS_OF_ONE[h >> np.uint64(48)], number + 1, 1.0
 
 
-def _cells(bound: float) -> list[tuple[float, float]]:
-    """Rank intervals (low, width) up to the bound: doubling below 1, of width 1 above."""
-    edges = [0.0] + [2.0 ** -i for i in range(FINEST, -1, -1)]
-    edges += list(np.arange(2, np.ceil(bound) + 1))
-    return [(a, b - a) for a, b in zip(edges, edges[1:]) if a < bound]
+_NUMBERS_OF_ONE = _poisson(1.0)
 
 
-def _throw(strips: np.ndarray, text: np.ndarray, weight: np.ndarray, bound: np.ndarray,
-           best: np.ndarray, dart: np.ndarray) -> None:
-    """Throw darts into strips of unit weight and keep the earliest of each coordinate.
+def _throw(strips: np.ndarray, text: np.ndarray, height: np.ndarray | None,
+           bound: np.ndarray, best: np.ndarray) -> None:
+    """Throw darts into strips and keep the earliest of each text and coordinate.
 
-    A dart hits if its weight is below the strip's and its rank below the text's bound.
+    A dart hits if its rank is below the text's bound and its weight below the strip's
+    height (None: 1). A kept dart is its rank, then its identity, in one number.
     """
-    for number, (low, width) in enumerate(_cells(float(bound.max(initial=0)))):
-        live = np.flatnonzero(bound[text] > low)
-        cell = mixed(strips[live] + np.uint64(number * 0x9E37 + 0x51ED27))
-        counts = _counts(cell, width)
-        for i in range(int(counts.max(initial=0))):
-            some = np.flatnonzero(counts > i)
-            h = mixed(cell[some] + np.uint64(2 * i + 1))
-            rank = low + width * _uniform(h)
-            at = live[some]
-            spot = mixed(h + np.uint64(1))
-            hit = (rank < bound[text[at]]) & (_uniform(mixed(h + np.uint64(2))) < weight[at])
-            slot = text[at][hit] * COORDINATES + (spot[hit] % np.uint64(COORDINATES)).astype(
-                np.int64)
-            rank, h = rank[hit], h[hit]
-            order = np.argsort(-rank, kind="stable")
-            slot, rank, h = slot[order], rank[order], h[order]
-            earliest = np.flatnonzero(rank < best[slot])
-            slot, rank, h = slot[earliest], rank[earliest], h[earliest]
-            best[slot] = rank
-            dart[slot] = h
+    for index, cell, counts, low, width in _cells(strips, bound[text]):
+        own, number = _places(counts)
+        h = mixed(cell[own] + (2 * number + 1).astype(np.uint64))
+        at = index[own]
+        low = low[own] if isinstance(low, np.ndarray) else low
+        rank = (low + width * 2.0 ** -24 * (h >> np.uint64(40))).astype(np.float32)
+        hit = rank < bound[text[at]]
+        if height is not None:
+            weight = (mixed(h + np.uint64(1)) >> np.uint64(40)) * 2.0 ** -24
+            hit &= weight < height[at]
+        rank, h, at = rank[hit], h[hit], at[hit]
+        spot = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(COORDINATES)) >> np.uint64(32)
+        dart = ((rank.view(np.uint32).astype(np.uint64) << np.uint64(32))
+                | ((h ^ (h >> np.uint64(20))) & np.uint64(0xFFFFFFFF)))
+        np.minimum.at(best, text[at] * COORDINATES + spot.astype(np.int64), dart)
 
 
 def signatures(n_texts: int, text: np.ndarray, key: np.ndarray,
@@ -117,19 +124,19 @@ def signatures(n_texts: int, text: np.ndarray, key: np.ndarray,
     aim = COORDINATES * (np.log(COORDINATES) + 2)
     bound = np.where(total > 0, aim / np.maximum(total, 1e-9), 0)
     heavy = np.flatnonzero(count > 1)
-    strips = np.concatenate((mixed(key), mixed(key[heavy] + np.uint64(0xD1CE))))
-    owner = np.concatenate((text, text[heavy]))
-    height = np.concatenate((np.minimum(weight, 1), weight[heavy] - 1))
-    best = np.full(n_texts * COORDINATES, np.inf)
-    dart = np.zeros(n_texts * COORDINATES, np.uint64)
+    extra = mixed(key[heavy] + np.uint64(0xD1CE))
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    best = np.full(n_texts * COORDINATES, none)
     open_texts = total > 0
     while open_texts.any():
-        chosen = np.flatnonzero(open_texts[owner])
-        _throw(strips[chosen], owner[chosen], height[chosen], np.where(open_texts, bound, 0),
-               best, dart)
-        open_texts &= np.isinf(best.reshape(n_texts, COORDINATES)).any(axis=1)
+        most = np.where(open_texts, bound, 0)
+        chosen = open_texts[text]
+        _throw(mixed(key[chosen]), text[chosen], None, most, best)
+        chosen = open_texts[text[heavy]]
+        _throw(extra[chosen], text[heavy][chosen], weight[heavy][chosen] - 1, most, best)
+        open_texts &= (best.reshape(n_texts, COORDINATES) == none).any(axis=1)
         bound = bound * 2
-    return dart.reshape(n_texts, COORDINATES)
+    return best.reshape(n_texts, COORDINATES)
 
 
 def band_values(signature: np.ndarray) -> np.ndarray:
@@ -216,38 +223,45 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
         "label", F.coalesce("root", "label")).drop("root")
 
 
+def _centres(members: DataFrame, n: int) -> DataFrame:
+    """The first `n` contents of every bucket; each task passes on `n` of a bucket at most."""
+    order = Window.partitionBy("bucket").orderBy("content")
+    return (members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+            .select("bucket", F.col("content").alias("b"), F.col("label").alias("b_label")))
+
+
 def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """Links between classes; None when no bucket has two classes left."""
-    links = None
-    first = True
+    """Links between classes; None where no bucket has two classes.
+
+    First each content meets the first centre of all its buckets, which joins most copies of
+    a text. Then every member meets the centres of its bucket that have another class, four
+    times as many centres in each round, and centres leave.
+    """
+    links, n = None, 0
     while True:
-        mixed_buckets = members.groupBy("bucket").agg(
-            F.min("content").alias("first"), F.max("content").alias("last"),
-            F.min_by("content", F.xxhash64("content")).alias("middle"),
+        several = members.groupBy("bucket").agg(
             F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        work = settled(members.join(mixed_buckets.drop("low", "high"), "bucket"), "members")
+        work = settled(members.join(several, "bucket", "left_semi"), "members")
         if work.isEmpty():
             return links
-        if first:
-            asked = work.groupBy("content", "label").agg(F.min("first").alias("b"))
-        else:
-            asked = work.select("content", "label", F.explode(F.array_distinct(F.array(
-                "first", "last", "middle"))).alias("b"))
-        own = work.select(F.col("content").alias("b"), F.col("label").alias("b_label")
-                          ).distinct()
-        pairs = (asked.filter("content != b").join(own, "b").filter("label != b_label")
-                 .select(F.least("content", "b").alias("a"), F.greatest("content", "b").alias(
-                     "b"), F.least("label", "b_label").alias("x"),
-                     F.greatest("label", "b_label").alias("y")).distinct())
-        pairs = settled(pairs, "pairs")
+        centres = _centres(work, max(1, n))
+        met = work.join(centres, "bucket").filter("content != b and label != b_label")
+        if not n:
+            met = met.groupBy("content", "label").agg(
+                F.min(F.struct("b", "b_label")).alias("c")).select("content", "label", "c.*")
+        pairs = settled(met.select(
+            F.least("content", "b").alias("a"), F.greatest("content", "b").alias("b"),
+            F.least("label", "b_label").alias("x"),
+            F.greatest("label", "b_label").alias("y")).distinct(), "pairs")
         found = settled(pairs.join(_similar(pairs.select("a", "b"), sets, least), ["a", "b"])
                         .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(),
                         "links")
         links = found if links is None else links.unionByName(found)
-        if not first:
-            work = work.filter("content not in (first, last, middle)")
-        members = _relabelled(work.select("bucket", "content", "label"), found)
-        first = False
+        if n:
+            work = work.join(centres.select("bucket", F.col("b").alias("content")),
+                             ["bucket", "content"], "left_anti")
+        members = work if found.isEmpty() else _relabelled(work, found)
+        n = 4 * n or 4
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -288,10 +302,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The documents whose id is their class's; of repeated rows one."""
     winners = classes.filter("doc_id <=> class_id").groupBy("doc_id").agg(
-        F.count("*").alias("n"))
-    kept = docs.join(winners.select(F.col("doc_id").alias("winner_id")),
-                     F.expr("doc_id <=> winner_id"), "left_semi")
-    repeated = winners.filter("n > 1").select(F.col("doc_id").alias("winner_id"))
-    once = kept.join(repeated, F.expr("doc_id <=> winner_id"), "left_anti")
-    again = kept.join(repeated, F.expr("doc_id <=> winner_id"), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+        F.count("*").alias("n")).withColumnRenamed("doc_id", "winner")
+    repeated = winners.filter("n > 1").select("winner")
+    same = F.expr("doc.doc_id <=> winner")
+    kept = docs.select(F.struct("*").alias("doc")).join(winners, same, "left_semi")
+    again = kept.join(repeated, same, "left_semi").withColumn("id", F.col("doc.doc_id"))
+    single = again.withColumn("text", F.col("doc.text")).dropDuplicates(["id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(single.select("doc")).select(
+        "doc.*")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 18
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 5)
