@@ -9,8 +9,10 @@ where one was not. Coordinates are joined in bands.
 
 Texts that share a band are candidates. In each band's bucket a few centres are compared with
 all members of other classes, by the exact Jaccard similarity of the shingle sets; then the
-centres leave the bucket, until all members of a bucket have one class. So all texts of a
-bucket that are not yet known to be of one class are compared, without pairs inside a class.
+centres leave the bucket. Texts left in buckets of several classes, such as many that share
+a passage but are not similar enough, are dealt anew by their rarest shingles, of which
+similar sets share one, and compared in the same way until all members of a bucket have one
+class. So no link of a bucket is lost, and there are no pairs inside a class.
 
 Exact copies are one node, found by the digest of the text. Words are what white space
 separates, A-Z folded; a text of one to four words is one shingle. Empty texts are copies of
@@ -36,6 +38,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 EXTRA_WEIGHT = 0.25
+FIRST_CENTRES = 4
 #: Rank intervals below 1; above, every interval is one wide.
 EDGES = (0.0, 1 / 64, 1 / 8, 1.0)
 
@@ -223,11 +226,36 @@ def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
         "label", F.coalesce("root", "label")).drop("root")
 
 
+def _prefix_buckets(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Buckets by rare shingles instead of bands, for texts that share bands with many others.
+
+    Two sets of the wanted similarity share one of the first shingles of both, in order of
+    rarity; how many are the first depends on both sizes, so places and sizes are kept.
+    """
+    held = members.select("content", "label").distinct().join(sets, "content")
+    each = held.select("content", "label", F.size("shingles").alias("size"),
+                       F.explode("shingles").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct("n", "bucket")))
+    most = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    return (each.join(counts, "bucket").groupBy("content", "label", "size")
+            .agg(order.alias("ranked"))
+            .select("content", "label", "size",
+                    F.posexplode(F.slice("ranked", F.lit(1), most.cast("int")))
+                    .alias("place", "r"))
+            .filter("r.n > 1").select(
+                F.col("r.bucket").cast("long").alias("bucket"), "content", "label", "size",
+                (F.col("place") + 1).alias("place")))
+
+
 def _centres(members: DataFrame, n: int) -> DataFrame:
     """The first `n` contents of every bucket; each task passes on `n` of a bucket at most."""
     order = Window.partitionBy("bucket").orderBy("content")
-    return (members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
-            .select("bucket", F.col("content").alias("b"), F.col("label").alias("b_label")))
+    return (members.withColumn("number", F.row_number().over(order))
+            .filter(F.col("number") <= n)
+            .select(F.col("bucket").alias("b_bucket"), F.col("content").alias("b"),
+                    F.col("label").alias("b_label"), F.col("size").alias("b_size"),
+                    F.col("place").alias("b_place")))
 
 
 def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
@@ -235,9 +263,15 @@ def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFr
 
     First each content meets the first centre of all its buckets, which joins most copies of
     a text. Then every member meets the centres of its bucket that have another class, four
-    times as many centres in each round, and centres leave.
+    times as many centres in each round, and centres leave. After the first of these rounds
+    the buckets are those of rare shingles.
     """
+    shared = F.ceil(least / (1 + least) * (F.col("size") + F.col("b_size")) - 1e-9)
+    meet = (F.expr("bucket = b_bucket and content != b and label != b_label")
+            & (F.col("place") <= F.col("size") - shared + 1)
+            & (F.col("b_place") <= F.col("b_size") - shared + 1))
     links, n = None, 0
+    members = members.withColumns({"size": F.lit(0), "place": F.lit(0)})
     while True:
         several = members.groupBy("bucket").agg(
             F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
@@ -245,7 +279,7 @@ def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFr
         if work.isEmpty():
             return links
         centres = _centres(work, max(1, n))
-        met = work.join(centres, "bucket").filter("content != b and label != b_label")
+        met = work.join(centres, meet)
         if not n:
             met = met.groupBy("content", "label").agg(
                 F.min(F.struct("b", "b_label")).alias("c")).select("content", "label", "c.*")
@@ -258,10 +292,16 @@ def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFr
                         "links")
         links = found if links is None else links.unionByName(found)
         if n:
-            work = work.join(centres.select("bucket", F.col("b").alias("content")),
+            work = work.join(centres.select(F.col("b_bucket").alias("bucket"),
+                                            F.col("b").alias("content")),
                              ["bucket", "content"], "left_anti")
         members = work if found.isEmpty() else _relabelled(work, found)
-        n = 4 * n or 4
+        if n == FIRST_CENTRES:
+            several = members.groupBy("bucket").agg(
+                F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+            left = members.join(several, "bucket", "left_semi")
+            members = settled(_prefix_buckets(left, sets, least), "prefixes")
+        n = 4 * n or FIRST_CENTRES
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
