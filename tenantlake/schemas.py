@@ -70,6 +70,7 @@ class Contract:
     numbered_id: str | None = None
 
 
+# Keys, unique columns, NOT NULL columns and lengths of the declared tables.
 CONTRACTS = {
     "company": Contract(
         "company", "company_id", ("domain",),
@@ -101,7 +102,7 @@ CONTRACTS = {
     ),
 }
 
-# Columns an older table version may lack, with the value existing rows get.
+# Columns an older table version may lack, with the value existing rows get.
 EVOLUTION = {
     "app_user": (("email", _S, None), ("company_id", _S, None),
                  ("verified", _B, False), ("is_super", _B, False)),
@@ -109,7 +110,7 @@ EVOLUTION = {
     "evidence_history": (("company_id", _S, None), ("uploaded_by", _S, None)),
 }
 
-# Tables and columns that must be there before any job starts.
+# Tables and columns that must be there before any job starts.
 REQUIRED_TABLES = (
     "app_user", "chunk", "company", "evidence", "evidence_history", "invite",
     "phase1_mapping", "phase1_mapping_citation", "phase2_excluded", "phase2_result",
