@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenantlake.llm.frame import map_arrow, remainder
+from tenantlake.llm.frame import map_arrow, remainder, settled
 from tenantlake.llm.textkit import chunks, mixed, sums_by_text
 
 ORDER = 4
@@ -205,7 +205,9 @@ def sample(docs: DataFrame, per_language: int) -> dict[str, list[str]]:
                           F.xxhash64("text").alias("key"))
     ranked = keyed.select("lang", "key").withColumn("place", F.dense_rank().over(
         Window.partitionBy("lang").orderBy("key")))
-    chosen = ranked.filter(F.col("place") <= per_language).select("lang", "key").distinct()
+    # Written, so its size is known: the texts stay where they are while it is small.
+    chosen = settled(ranked.filter(F.col("place") <= per_language).select("lang", "key")
+                     .distinct(), "sample")
     rows = (keyed.join(chosen, ["lang", "key"]).dropDuplicates(["lang", "key"])
             .select("lang", "key", "text").toArrow().sort_by([("lang", "ascending"),
                                                              ("key", "ascending")]))
