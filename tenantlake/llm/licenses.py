@@ -1,11 +1,15 @@
 """Licences named in documents, by the Dice coefficient over word bigrams.
 
-Texts are normalised to words of letters and digits in lower case. Every line of a document,
-and every sentence of a line, is compared with templates of licence notices: with shared
-bigrams `s` and bigram counts `a` and `b` the coefficient is 2 s / (a + b). A passage whose
-number of bigrams lies outside [c b / (2 - c), b (2 - c) / c] cannot reach the coefficient
-`c`, so those bounds prune candidate templates before bigrams are compared, and pairs are
-found through the bigrams they share. Only DataFrame expressions are used.
+Texts are normalised to words of letters and digits in lower case and compared with templates
+of licence notices: with shared bigrams `s` and bigram counts `a` and `b` the coefficient is
+2 s / (a + b). A passage whose number of bigrams lies outside [c b / (2 - c), b (2 - c) / c]
+cannot reach the coefficient `c`, and neither can one that shares less than c b / (2 - c). So a
+text is looked at more closely only for templates of which it shares that many bigrams as a
+whole. Of such texts two things are compared: every line and every sentence of a line, and
+every window of words of the whole text, over line feeds, that can be the best one of its
+start. A window that lies in a matching line or sentence, or holds one of the same licence, is
+that notice and not a further one. Of windows that overlap the one with the largest coefficient
+is reported of each template, and of these the one that shares most bigrams. Only DataFrame expressions are used.
 
 Bigrams are sets: a repeated bigram counts once. Null and empty texts and passages of one
 word have no bigrams and match nothing. Repeated documents give repeated rows; of templates
@@ -15,9 +19,11 @@ columns of the documents are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenantlake.llm.frame import settled
+
 #: Wording of common licence notices (fixed values).
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -57,13 +63,15 @@ def normal_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct bigrams; the lambda binds `words`, so they are made once."""
+def bigrams(words: Column, places: bool = False) -> Column:
+    """Distinct bigrams, or those of every place; the lambda binds `words`, so they are made
+    once."""
 
     def pairs(w: Column) -> Column:
         ahead = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
         both = F.zip_with(w, ahead, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array_distinct(F.filter(both, lambda g: g.isNotNull()))
+        both = F.filter(both, lambda g: g.isNotNull())
+        return both if places else F.array_distinct(both)
 
     return F.element_at(F.transform(F.array(words), pairs), 1)
 
@@ -75,13 +83,36 @@ def passages(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences))
 
 
+def known_templates(wanted: DataFrame) -> DataFrame:
+    """license, template (a hash), its grams and their number."""
+    return (wanted.select("license", bigrams(normal_words(F.col("wording"))).alias("grams"))
+            .filter(F.size("grams") > 0)
+            .select("license", F.xxhash64("license", "grams").alias("template"), "grams",
+                    F.size("grams").alias("size")))
+
+
+def candidates(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(text_key, template) where the whole text shares as many bigrams as a match needs."""
+    # A text of n distinct bigrams has 2 n + 1 characters at least.
+    low = known.agg(F.min("size")).first()[0]
+    if low is None:
+        docs, low = docs.filter("false"), 1
+    grams = F.broadcast(known.select("template", "size", F.explode("grams").alias("gram")))
+    return (docs.filter(F.length("text") >= 2 * least * low / (2 - least) + 1)
+            .select(F.monotonically_increasing_id().alias("row"),
+                    F.xxhash64("text").alias("text_key"),
+                    bigrams(normal_words(F.col("text"))).alias("all"))
+            # Apart from the select before, which numbers the rows before they are many.
+            .select("row", "text_key", F.explode("all").alias("gram"))
+            .join(grams, "gram")
+            .groupBy("row", "text_key", "template", "size").agg(F.count("*").alias("shared"))
+            .filter(F.col("shared") >= least * F.col("size") / (2 - least) - 1e-9)
+            .select("text_key", "template").distinct())
+
+
 def license_matches(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> DataFrame:
-    """row number within the call, doc_id, license, the passage and its coefficient."""
-    known = (wanted.select("license", bigrams(normal_words(F.col("wording"))).alias("grams"))
-             .filter(F.size("grams") > 0)
-             .select("license", F.xxhash64("license", "grams").alias("template"), "grams",
-                     F.size("grams").alias("size")))
-    # A passage of n distinct bigrams has 2 n + 1 characters at least.
+    """doc_id, text_key, license, the line or sentence and its coefficient."""
+    known = known_templates(wanted)
     bounds = known.agg(F.min("size").alias("low"), F.max("size").alias("high")).first()
     if bounds.low is None:
         bounds = (1, 0)
@@ -106,13 +137,137 @@ def license_matches(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> D
             .agg(dice.alias("dice")).filter(F.col("dice") >= least))
 
 
+def _apart(ranked: Column, none: Column) -> Column:
+    """Windows that overlap none before them."""
+    return F.aggregate(ranked, none, lambda acc, x: F.when(
+        F.exists(acc, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"])), acc)
+        .otherwise(F.concat(acc, F.array(x))))
+
+
+def _best_windows(places: Column, size: Column, least: float) -> Column:
+    """The best window of every start: shared, dice, start, end and its words.
+
+    Another shared bigram on the left never lowers the coefficient, so windows start where a
+    run of shared bigrams does. A bigram counts at its first place in the window, which is
+    where the place before (`prev`) lies ahead of the start.
+    """
+
+    def from_start(i: Column) -> Column:
+        start = F.get(places, i - 1)["pos"]
+
+        def step(acc: Column, x: Column) -> Column:
+            new = F.when(x["prev"].isNull() | (x["prev"] < start), 1).otherwise(0)
+            both = acc["both"] + F.when(x["hit"], new).otherwise(0)
+            n = acc["n"] + new
+            dice = 2 * both / (n + size)
+            more = x["hit"] & (dice > acc["dice"])
+            return F.struct(
+                n.alias("n"), both.alias("both"),
+                F.when(more, dice).otherwise(acc["dice"]).alias("dice"),
+                F.when(more, both).otherwise(acc["shared"]).alias("shared"),
+                F.when(more, x["pos"]).otherwise(acc["end"]).alias("end"))
+
+        def done(acc: Column) -> Column:
+            inside = F.slice(places, i, acc["end"] - start + 1)
+            words = F.concat(
+                F.array_join(F.transform(
+                    inside, lambda x: F.substring_index(x["gram"], " ", 1)), " "),
+                F.lit(" "), F.substring_index(F.element_at(inside, -1)["gram"], " ", -1))
+            return F.struct((-acc["dice"]).alias("worse"), (-acc["shared"]).alias("rank"),
+                            start.alias("start"), acc["end"].alias("end"),
+                            F.when(acc["dice"] >= least, words).alias("words"))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"),
+                        F.lit(0).alias("shared"), start.alias("end"))
+        return F.aggregate(F.slice(places, i, F.size(places)), zero, step, done)
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(places)), lambda i: F.get(
+        places, i - 1)["hit"] & ~F.coalesce(F.get(places, i - 2)["hit"], F.lit(False)))
+    return F.filter(F.transform(starts, from_start), lambda w: w["words"].isNotNull())
+
+
+def window_matches(docs: DataFrame, wanted: DataFrame, pairs: DataFrame,
+                   least: float = 0.8) -> DataFrame:
+    """doc_id, text_key and `windows` of the text that match and don't overlap.
+
+    `pairs` are the candidates. Two shared bigrams with more than (2 / c - 2) b other ones
+    between them are in no common window, so texts are cut there.
+    """
+    known = known_templates(wanted)
+    names = F.broadcast(known.select("license", "template", "size"))
+    grams = F.broadcast(known.select("template", F.explode("grams").alias("gram"),
+                                     F.lit(True).alias("shared")))
+    key = ["doc_id", "text_key", "template"]
+    placed = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+              .dropDuplicates(["doc_id", "text_key"])
+              .join(pairs, "text_key").join(names, "template")
+              .select(*key, "license", "size", F.posexplode(
+                  bigrams(normal_words(F.col("text")), places=True)).alias("pos", "gram"))
+              .join(grams, ["template", "gram"], "left")
+              .withColumn("hit", F.coalesce("shared", F.lit(False))))
+    along = Window.partitionBy(*key).orderBy("pos")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    hit, prev, last = F.col("hit"), F.col("prev"), F.col("last")
+    fresh = ~hit & (prev.isNull() | last.isNull() | (prev < last))
+    far = F.col("others") - F.col("others_then") > (2 / least - 2) * F.col("size") + 1e-9
+    cut = (placed
+           .withColumn("prev", F.lag("pos").over(
+               Window.partitionBy(*key, "gram").orderBy("pos")))
+           .withColumn("last", F.last(F.when(hit, F.col("pos")), True).over(before))
+           .withColumn("others", F.sum(fresh.cast("int")).over(along))
+           .withColumn("others_then", F.last(F.when(hit, F.col("others")), True).over(before))
+           .filter(hit | (last.isNotNull() & ~far))
+           .withColumn("piece", F.sum((hit & (last.isNull() | far)).cast("int")).over(along)))
+    pieces = (cut.groupBy(*key, "license", "size", "piece").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "prev", "hit", "gram"))).alias("places"),
+        F.size(F.collect_set(F.when(hit, F.col("gram")))).alias("n"))
+        .filter(F.col("n") >= least * F.col("size") / (2 - least) - 1e-9))
+    best = pieces.select("doc_id", "text_key", "license", F.array_sort(
+        _best_windows(F.col("places"), F.col("size"), least)).alias("w"))
+    each = best.select("doc_id", "text_key", "license", F.explode(_apart(
+        F.col("w"), F.array().cast(best.schema["w"].dataType))).alias("w"))
+    found = each.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
+        "w.rank", "w.worse", "license", "w.start", "w.end", "w.words"))).alias("all"))
+    none = F.array().cast(found.schema["all"].dataType)
+    apart = _apart(F.col("all"), none)
+    return found.select("doc_id", "text_key", apart.alias("windows"))
+
+
+def further_notices(windows: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, text_key, license and dice of windows that no matching line or sentence is."""
+
+    def spaced(words: Column) -> Column:
+        return F.concat(F.lit(" "), words, F.lit(" "))
+
+    held = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(
+        "license", spaced(F.array_join(normal_words(F.col("passage")), " ")).alias("words")
+    )).alias("held")).withColumnsRenamed({"doc_id": "held_id", "text_key": "held_key"})
+    known = F.coalesce(held["held"], F.array().cast(held.schema["held"].dataType))
+    new = F.filter("windows", lambda w: ~F.exists(known, lambda p: (
+        p["words"].contains(spaced(w["words"]))
+        | ((p["license"] == w["license"]) & spaced(w["words"]).contains(p["words"])))))
+    same = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key"))
+    return (windows.join(held, same, "left")
+            .select("doc_id", "text_key", F.explode(new).alias("w"))
+            .groupBy("doc_id", "text_key", "w.words", "w.license")
+            .agg(F.max(-F.col("w.worse")).alias("dice"))
+            .select("doc_id", "text_key", "license", "dice"))
+
+
 def licenses(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, n_notices and the licences of every document with their best coefficient."""
-    found = license_matches(docs, wanted, least)
-    best = (found.groupBy("doc_id", "text_key", "passage")
-            .agg(F.min(F.struct((-F.col("dice")).alias("rank"), "license")).alias("b"))
-            .groupBy("doc_id", "text_key", "b.license")
-            .agg(F.max(-F.col("b.rank")).alias("dice"), F.count("*").alias("n"))
+    pairs = settled(candidates(docs, known_templates(wanted), least), "licenses")
+    keys = pairs.select("text_key").distinct()
+    near = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+            .join(keys, "text_key", "left_semi").select("doc_id", "text"))
+    lines = (license_matches(near, wanted, least).groupBy("doc_id", "text_key", "passage")
+             .agg(F.min(F.struct((-F.col("dice")).alias("rank"), "license")).alias("b"))
+             .select("doc_id", "text_key", "passage", "b.license",
+                     (-F.col("b.rank")).alias("dice")))
+    windows = window_matches(near, wanted, pairs, least)
+    best = (lines.drop("passage").unionByName(further_notices(windows, lines))
+            .groupBy("doc_id", "text_key", "license")
+            .agg(F.max("dice").alias("dice"), F.count("*").alias("n"))
             .groupBy("doc_id", "text_key").agg(
                 F.sum("n").alias("n_notices"),
                 F.array_sort(F.collect_list(F.struct("license", "dice"))).alias("licenses")))

@@ -122,6 +122,64 @@ def test_notices_are_named(spark, docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+       "of this software and associated documentation files (the \"Software\"), to deal\n"
+       "in the Software without restriction, including without limitation the rights\n"
+       "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+       "copies of the Software.")
+GPL = ("This program is free software: you can redistribute it and/or modify\n"
+       "it under the terms of the GNU General Public License as published by\n"
+       "the Free Software Foundation, either version 3 of the License, or\n"
+       "(at your option) any later version.")
+BSD = ("Redistribution and use in source and binary forms, with or without\n"
+       "modification, are permitted provided that the following conditions\nare met:")
+ISC = ("Permission to use, copy, modify, and/or distribute this software for any\n"
+       "purpose with or without fee is hereby granted, provided that the above\n"
+       "copyright notice and this permission notice appear in all copies.")
+
+
+def dice_of_windows(text: str, wording: str) -> float:
+    """The best coefficient of all windows of words, by trying each."""
+    import itertools
+    words, known = (re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+                    for t in (text, wording))
+    grams, wanted = list(itertools.pairwise(words)), set(itertools.pairwise(known))
+    return max((2 * len(wanted & (w := set(grams[i:j]))) / (len(w) + len(wanted))
+                for i in range(len(grams)) for j in range(i + 1, len(grams) + 1)), default=0.0)
+
+
+def test_notices_over_several_lines_are_named(spark, docs):
+    rows = [(1, f"Copyright 2020 Kim\n\n{MIT}\n\nimport os"), (2, f"/* tool\n{GPL} */"),
+            (3, BSD), (4, f"# {ISC}".replace("\n", "\n# ")), (5, MIT.replace("\n", " ")),
+            (6, "Released under the MIT License, see LICENSE for details"),
+            (7, f"{BSD}\nand elsewhere\n{BSD[:60]}\n" + "word " * 50 + f"\n{GPL}"),
+            (8, "the License\nunder the terms\nof the Software " * 20)]
+    found = {r.doc_id: r for r in
+             licenses.licenses(docs(*rows), licenses.templates(spark)).collect()}
+    names = {i: [m["license"] for m in r.licenses] for i, r in found.items()}
+    assert names == {1: ["mit"], 2: ["gpl-3.0"], 3: ["bsd-3-clause"], 4: ["isc"], 5: ["mit"],
+                     6: ["mit"], 7: ["bsd-3-clause", "gpl-3.0"], 8: []}
+    assert found[1].n_notices == 1 and found[7].n_notices == 2
+
+
+def test_windows_are_the_best_ones(spark, docs):
+    import random
+    rng, wording = random.Random(3), "a b c d e f a b g h"
+    wanted = spark.createDataFrame([("x", wording)], "license string, wording string")
+    texts = ["\n".join(rng.choices("abcdefghxy", k=rng.randint(5, 25))) for _ in range(30)]
+    for at in range(40):
+        words = wording.split()
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randrange(len(words)), rng.choice("abxy"))
+        texts.append("\n".join(rng.choices("xyzab", k=9) + words + rng.choices("xyab", k=at % 9)))
+    found = licenses.licenses(docs(*enumerate(texts)), wanted)
+    got = {r.doc_id: round(r.licenses[0]["dice"], 9) if r.licenses else 0.0
+           for r in found.collect()}
+    best = {i: round(dice_of_windows(t, wording), 9) for i, t in enumerate(texts)}
+    assert got == {i: d if d >= 0.8 else 0.0 for i, d in best.items()}
+    assert 10 < sum(map(bool, got.values())) < len(texts)
+
+
 def test_licences_of_odd_texts(spark, odd):
     known = licenses.templates(spark)
     assert licenses.licenses(odd, known).count() == len(ODD)
