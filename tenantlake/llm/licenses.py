@@ -52,9 +52,110 @@ TEMPLATES = (
      "v. 2.0"),
 )
 
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+    "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are "
+    "permitted provided that the following conditions are met: 1. Redistributions of source "
+    "code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. ")
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used "
+    "to endorse or promote products derived from this software without specific prior written "
+    "permission. ")
+
+
+def _gnu(what: str, name: str, mark: str, version: str) -> str:
+    return (f"This {what} is free software{mark[0]} you can redistribute it and/or modify it "
+            f"under the terms of the GNU {name} General Public License as published by the Free "
+            f"Software Foundation{mark[1]} either version {version} of the License, or (at your "
+            f"option) any later version. This {what} is distributed in the hope that it will be "
+            "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            f"{name} General Public License for more details.")
+
+
+def _gnu_grant(what: str, name: str, version: str) -> str:
+    return _gnu(what, name, ":,", version).split(" This ")[0]
+
+
+#: Whole licence texts and whole file headers (fixed values). The long texts (Apache-2.0, GPL,
+#: LGPL-2.1, AGPL, MPL) are found by the header that their own appendix holds.
+WHOLE = (
+    ("agpl-3.0", _gnu("program", "Affero", ":,", "3")),
+    ("agpl-3.0", _gnu_grant("program", "Affero", "3")),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may "
+     "not use this file except in compliance with the License. You may obtain a copy of the "
+     "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
+     "or agreed to in writing, software distributed under the License is distributed on an "
+     "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+     "See the License for the specific language governing permissions and limitations under "
+     "the License."),
+    ("bsd-2-clause", _BSD_2 + _AS_IS),
+    ("bsd-3-clause", _BSD_2 + _BSD_3 + _AS_IS),
+    ("gpl-2.0", _gnu("program", "", ";;", "2")),
+    ("gpl-2.0", _gnu_grant("program", "", "2")),
+    ("gpl-3.0", _gnu("program", "", ":,", "3")),
+    ("gpl-3.0", _gnu_grant("program", "", "3")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose "
+     "with or without fee is hereby granted, provided that the above copyright notice and this "
+     "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR "
+     "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+     "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+     "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+     "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+     "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("lgpl-2.1", _gnu("library", "Lesser", ";;", "2.1")),
+    ("lgpl-2.1", _gnu_grant("library", "Lesser", "2.1")),
+    ("lgpl-3.0", _gnu("program", "Lesser", ":,", "3")),
+    ("lgpl-3.0", _gnu_grant("program", "Lesser", "3")),
+    ("lgpl-3.0", "This version of the GNU Lesser General Public License incorporates the terms "
+     "and conditions of version 3 of the GNU General Public License, supplemented by the "
+     "additional permissions listed below."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
+     "this software and associated documentation files (the \"Software\"), to deal in the "
+     "Software without restriction, including without limitation the rights to use, copy, "
+     "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+     "to permit persons to whom the Software is furnished to do so, subject to the following "
+     "conditions: The above copyright notice and this permission notice shall be included in "
+     "all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+     "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+     "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN "
+     "NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+     "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+     "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, "
+     "v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+     "http://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. "
+     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+     "either in source code form or as a compiled binary, for any purpose, commercial or "
+     "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the "
+     "author or authors of this software dedicate any and all copyright interest in the "
+     "software to the public domain. We make this dedication for the benefit of the public at "
+     "large and to the detriment of our heirs and successors. We intend this dedication to be "
+     "an overt act of relinquishment in perpetuity of all present and future rights to this "
+     "software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+     "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+     "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
+     "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+     "DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/"),
+)
+
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, wording string")
+    return spark.createDataFrame(TEMPLATES + WHOLE, "license string, wording string")
 
 
 def normal_words(text: Column) -> Column:

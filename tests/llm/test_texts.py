@@ -180,6 +180,16 @@ def test_windows_are_the_best_ones(spark, docs):
     assert 10 < sum(map(bool, got.values())) < len(texts)
 
 
+def test_whole_texts_and_headers_are_named(spark, docs):
+    import textwrap
+    texts = [(n, f"{n} by somebody\n\n" + "\n".join(textwrap.wrap(t, 70)) + "\n\nimport os")
+             for n, t in licenses.WHOLE]
+    found = licenses.licenses(docs(*((i, t) for i, (_, t) in enumerate(texts))),
+                              licenses.templates(spark))
+    got = {r.doc_id: [m["license"] for m in r.licenses] for r in found.collect()}
+    assert got == {i: [n] for i, (n, _) in enumerate(texts)}
+
+
 def test_licences_of_odd_texts(spark, odd):
     known = licenses.templates(spark)
     assert licenses.licenses(odd, known).count() == len(ODD)
