@@ -3,8 +3,8 @@
 Candidates are found by patterns and hashed by their value. For each hash the corpus gives
 the number of distinct repositories and of distinct owners that hold it. A value held by many
 owners is an example that was copied around; a value of few owners that looks random is a
-live credential; the rest is weak. The patterns of the base are always reported; candidates
-of the further kinds are reported only where the corpus says live.
+live credential; the rest is weak. Kinds with a pattern of their own are always reported with
+their verdict; random words, which have none, only where the corpus says live.
 
 Null and empty texts have no candidates; a null owner or repository counts as one. Spans are
 code points, the end exclusive. Repeated rows of a document count as one repository and give
@@ -138,7 +138,8 @@ def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id",
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("c.kind") + 1)
     judged = (each.withColumn("value", F.col("c.value")).join(ownership(found), "value")
               .withColumn("verdict", verdict)
-              .filter((F.col("c.kind") < 3) | (F.col("verdict") == "live"))
+              .filter((F.col("c.kind") != KINDS.index("random_word"))
+                      | (F.col("verdict") == "live"))
               .groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct(
                   F.col("c.start").alias("start"), F.col("c.kind").alias("rank"),
                   F.col("c.end").alias("end"), kind.alias("kind"), "verdict", "n_repos",
