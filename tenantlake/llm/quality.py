@@ -1,9 +1,9 @@
 """Cross-document line frequency.
 
 Lines are normalised (words of letters and digits, lower case, digits alike) and hashed. A
-line is frequent on a host if more distinct documents of the host hold it than both limits
-allow; frequent lines are removed, and a document that loses too much is rejected. Exact
-copies of a document count as one document of their host.
+line is frequent on a host if more distinct documents of the host hold it than an absolute
+limit, the same at every size of the host; frequent lines are removed, and a document that
+loses too much is rejected. Exact copies of a document count as one document of their host.
 
 Null and empty texts have no words and fail the base rules; a null host is a host of its
 own. Repeated rows get equal verdicts each. Other columns of the input are ignored.
@@ -101,34 +101,28 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                       "line_words"])
 
 
-def frequent_lines(measured: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line_hash, n_docs) of lines above both limits."""
+def frequent_lines(measured: DataFrame, min_docs: int) -> DataFrame:
+    """(host, line_hash, n_docs) of lines above the limit."""
     lines = measured.select("host", "text_key", F.explode(
         F.array_distinct("line_hash")).alias("line_hash"))
-    counted = (lines.filter("line_hash != 0").distinct()
-               .groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"))
-               .filter(F.col("n_docs") > min_docs))
-    hosts = (measured.select("host", "text_key").distinct()
-             .groupBy("host").agg(F.count("*").alias("host_docs")))
-    return (counted.join(hosts, "host")
-            .filter(F.col("n_docs") > max_share * F.col("host_docs"))
-            .select("host", "line_hash", "n_docs"))
+    return (lines.filter("line_hash != 0").distinct()
+            .groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"))
+            .filter(F.col("n_docs") > min_docs))
 
 
 def line_quality(docs: DataFrame, host: str = "source", min_docs: int = 10,
-                 max_share: float = 0.002, min_left: float = 0.5) -> DataFrame:
+                 min_left: float = 0.5) -> DataFrame:
     """Counts, verdict and cleaned text of every document.
 
-    A line goes if more than `min_docs` documents and more than `max_share` of the
-    documents of its host hold it. A document is depleted if less than `min_left` of the
-    words in its lines stay.
+    A line goes if more than `min_docs` documents of its host hold it. A document is
+    depleted if less than `min_left` of the words in its lines stay.
     """
     keyed = docs.select(
         row_key("doc_id", host, "text").alias("row_key"), "doc_id",
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.xxhash64("text").alias("text_key"), "text")
     measured = settled(map_arrow(keyed, measure, _MEASURES), "lines")
-    frequent = frequent_lines(measured, min_docs, max_share)
+    frequent = frequent_lines(measured, min_docs)
     lines = measured.select("row_key", "host",
                             F.posexplode("line_hash").alias("pos", "line_hash"))
     removed = (lines.filter("line_hash != 0").join(frequent, ["host", "line_hash"])

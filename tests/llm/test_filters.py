@@ -19,6 +19,16 @@ def by_id(df, *columns):
 
 
 # --- 1: line frequency ---------------------------------------------------------------------
+def test_frequent_lines_go_on_hosts_of_any_size(docs):
+    line = "boilerplate line of twelve documents"
+    own = "own words of document with letters {} and some more to be long enough"
+    spelled = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(6001)]
+    rows = [(i, (line + "\n" if i < 12 else "") + own.format(w))
+            for i, w in enumerate(spelled)]
+    judged = quality.line_quality(docs(*rows)).filter("n_removed_lines > 0")
+    assert sorted(r.doc_id for r in judged.collect()) == list(range(12))
+
+
 def test_frequent_lines_go_and_depleted_documents_fail(docs):
     rnd = random.Random(1)
     banner = "Sign up for our weekly letter and read more stories like this every day"
