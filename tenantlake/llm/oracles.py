@@ -144,6 +144,108 @@ FROM d LEFT JOIN listed USING (rid)
 """
 
 
+_CRC = ("xor(list_reduce(list_concat([4294967295], list_transform(string_split("
+        "doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, c: list_reduce("
+        "list_concat([xor(x, c)], range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))),"
+        " 4294967295)")
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC} AS h,
+                  regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws FROM documents),
+g AS (SELECT *, h // 10 AS g, len(ws) AS n,
+             CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+v AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_concat(ws[:a],
+             [ws[1 + a + i % p] FOR i IN range(n - a)]) END AS ws FROM p),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM v),
+six AS (SELECT rid, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o
+               || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o || ' '
+               || lead(word, 5) OVER o AS gram
+        FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+pairs AS (SELECT a.rid, a.i, b.i - a.i AS q FROM six a JOIN six b
+          ON a.rid = b.rid AND a.gram = b.gram AND a.i < b.i),
+islands AS (SELECT rid, q, min(i) AS start, count(*) + 5 AS same FROM (
+                SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island
+                FROM pairs) GROUP BY rid, q, island),
+runs AS (SELECT rid, start, same + q AS length, min(q) AS period FROM islands
+         WHERE same >= q AND same >= 12 - q GROUP BY rid, start, same + q),
+best AS (SELECT rid, count(*) AS n_runs,
+                arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS b,
+                string_agg(start || ',' || length || ',' || period || chr(10), ''
+                           ORDER BY start, period) AS listed
+         FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text
+         FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start,
+       b.l::BIGINT AS length, b.p::BIGINT AS period, (1000 * b.l // b.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, ''))
+           AS collapsed_sha256
+FROM v LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+_LONGER = " UNION ALL ".join(
+    f"SELECT lang, array_to_string(ws[{i}:{j}], ' ') AS phrase, n AS longest FROM candidates"
+    f" WHERE len(ws) = {size}"
+    for size in (3, 4, 5) for i in range(1, size) for j in range(i + 1, size + 1)
+    if j - i + 1 < size)
+
+OP12 = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(
+        regexp_split_to_array({_folded('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+    SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+        FROM w, range(1, 6) AS r(k) WHERE len(ws) >= k)),
+f AS MATERIALIZED (SELECT lang, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::HUGEINT AS total FROM f WHERE NOT contains(phrase, ' ')
+           GROUP BY lang),
+often AS MATERIALIZED (SELECT * FROM f WHERE n >= 100),
+candidates AS MATERIALIZED (SELECT lang, phrase, n, string_split(phrase, ' ') AS ws FROM often
+                            WHERE contains(phrase, ' ')),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS head,
+                array_to_string(ws[k + 1:], ' ') AS rest
+         FROM (SELECT lang, phrase, ws, n AS a, unnest(range(1, len(ws))) AS k FROM candidates)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, total,
+           1000 * c.a::HUGEINT * total // (x.n::HUGEINT * y.n::HUGEINT) AS score
+    FROM cuts c JOIN often x ON c.lang = x.lang AND c.head = x.phrase
+    JOIN often y ON c.lang = y.lang AND c.rest = y.phrase JOIN totals t ON c.lang = t.lang),
+weakest AS (SELECT * FROM scored
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(longest) AS longest FROM ({_LONGER}) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM weakest s
+         LEFT JOIN longer o ON s.lang = o.lang AND s.phrase = o.phrase
+         WHERE o.longest IS NULL OR 100 * o.longest < 100 * s.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n,
+       score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+             AS rank FROM kept)
+WHERE rank <= 2000
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  coalesce(doc_id, -9223372036854775808) AS id,
+                  regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws FROM documents),
+windows AS (
+    SELECT rid, id, i, array_to_string(ws[i:i + 19], ' ') AS words
+    FROM (SELECT rid, id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+earliest AS (SELECT words, min((id, i)) AS first FROM windows GROUP BY words),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM windows JOIN earliest USING (words),
+                range(20) AS r(k) WHERE (id, i) > first),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+         FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {"op1_line_frequency": OP1, "op4_prefix_targets": OP4, "op5_wu_manber": OP5,
-            "op7_dice_licenses": OP7}
+            "op7_dice_licenses": OP7, "op11_lyndon_runs": OP11, "op12_stripes": OP12,
+            "op13_seed_extend": OP13}

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenantlake.llm import (
-    bpe, chat, credentials, decontaminate, langid, licenses, neardup, ngram_lm, quality,
-    toxicity)
+    bpe, chat, credentials, decontaminate, langid, licenses, neardup, ngram_lm, phrases,
+    quality, repeats, runs, toxicity)
 from tenantlake.llm.frame import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -92,6 +92,55 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(table(spark, folder, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten gets a period: with h the crc32 of its id, g = h div 10, n words and
+    a = g mod n, words from `a` on become the first p = 1 + (n - a) div (3 + g mod 8) of them
+    again and again. A null id is left as it is."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    hashed = docs.select(
+        "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = hashed.select("doc_id", "text", F.expr("h div 10").alias("g"),
+                          F.when(F.col("h") % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    placed = split.select("*", F.when(n > 0, (F.col("g") % n).cast("int")).alias("a"))
+    period = (F.lit(1) + F.expr("(size(words) - a) div (3 + g % 8)")).cast("int").alias("p")
+    cut = placed.select("doc_id", "text", "words", "a", period)
+    period_words = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(period_words, F.ceil((n - F.col("a")) / F.col("p"))
+                                     .cast("int")))
+    periodic = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again),
+                                    F.lit(1), n), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNull(), F.col("text"))
+                      .otherwise(periodic).alias("text"))
+
+
+def op11_lyndon_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.word_runs(with_planted_runs(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op12_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op13_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"),
+                          lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,5 +150,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_frequency, op2_toxicity, op3_dart_minhash, op4_prefix_targets,
            op5_wu_manber, op6_secret_owners, op7_dice_licenses, op8_elias_fano_lm,
-           op9_prefix_bpe, op10_kneser_ney, pipeline)
+           op9_prefix_bpe, op10_kneser_ney, op11_lyndon_runs, op12_stripes, op13_seed_extend,
+           pipeline)
     return {f.__name__: f for f in own}
