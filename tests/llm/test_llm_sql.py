@@ -16,5 +16,5 @@ def test_same_rows_as_sql(spark, small, name):
 def test_entry_has_all_of_them():
     import __spark_entry__ as entry
     assert set(llm_queries()) <= set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {
+    assert {f"op{n}" for n in range(1, 14)} == {
         n.split("_")[0] for n in llm_queries() if n.startswith("op")}
