@@ -229,7 +229,7 @@ def languages(docs: DataFrame, per_language: int = 400) -> DataFrame:
             for part, _ in chunks(batch, most=CHUNK):
                 texts = [t.as_py() or "" for t in part.column("text")]
                 clean = [normalised(t) for t in texts]
-                known = [len(c) > 2 for c in clean]
+                known = [any(c.isalpha() for c in t) for t in texts]
                 language, score, foreign = ["und"] * len(texts), [0.0] * len(texts), \
                     [True] * len(texts)
                 if models is not None:

@@ -193,6 +193,10 @@ def test_languages_of_odd_texts(odd, docs):
     assert rows[8].lang_pred == "en"
     none = langid.languages(docs((1, "some words", None, "s"), (2, "12 34", "en", "s")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
+    signs = langid.languages(docs(*[(i, "plain words of a text " * 3) for i in range(9)],
+                                  (50, "½ ²"), (51, "Ⅷ ① 3.14"), (52, "x")), 60)
+    found = {r.doc_id: r.lang_pred for r in signs.collect()}
+    assert found[50] == found[51] == "und" and found[52] == "en"
     assert langid.languages(odd.filter("false")).count() == 0
 
 
