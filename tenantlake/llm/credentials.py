@@ -4,7 +4,8 @@ Candidates are found by patterns and hashed by their value. For each hash the co
 the number of distinct repositories and of distinct owners that hold it. A value held by many
 owners is an example that was copied around; a value of few owners that looks random is a
 live credential; the rest is weak. Kinds with a pattern of their own are always reported with
-their verdict; random words, which have none, only where the corpus says live.
+their verdict; random words, which have none, only where the corpus says live. Keys and tokens
+of a fixed form are masked whatever their verdict, since copies of one leak look like owners.
 
 Null and empty texts have no candidates; a null owner or repository counts as one. Spans are
 code points, the end exclusive. Repeated rows of a document count as one repository and give
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]+-----END [A-Z ]+-----")
 _SERVICE = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
                       r"|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")
-_WEB = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+_WEB = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+")
 _RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -83,10 +86,11 @@ def _further(text: str) -> Iterator[tuple[int, int, int, str]]:
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) by start, then kind; further kinds only outside the base."""
     base = sorted(_base(text), key=lambda c: (c[1], c[0]))
-    taken = [(s, e) for _, s, e, _ in base]
+    starts = [s for _, s, _, _ in base]
+    reach = list(accumulate((e for _, _, e, _ in base), max, initial=0))
     more, last = [], 0
     for c in sorted(_further(text), key=lambda c: (c[1], c[0])):
-        if c[1] >= last and not any(s < c[2] and c[1] < e for s, e in taken):
+        if c[1] >= last and reach[bisect_left(starts, c[2])] <= c[1]:
             more.append(c)
             last = c[2]
     return sorted(base + more, key=lambda c: (c[1], c[0]))
@@ -149,23 +153,36 @@ def secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id",
             .withColumn("spans", F.coalesce("spans", none)))
 
 
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, cuts = batch.column("doc"), batch.column("cut")
+        names = [f.name for f in doc.type]
+        spot, fields = names.index("text"), doc.flatten()
+        texts = []
+        for text, cut in zip(fields[spot], cuts):
+            if not cut.is_valid:
+                texts.append(text.as_py())
+                continue
+            whole, pieces, at = text.as_py(), [], 0
+            for span in cut.as_py():
+                if span["start"] >= at:
+                    pieces += [whole[at:span["start"]], f"<{span['kind']}>"]
+                at = max(at, span["end"])
+            texts.append("".join([*pieces, whole[at:]]))
+        fields[spot] = pa.array(texts, fields[spot].type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.StructArray.from_arrays(fields, fields=list(doc.type))], names=["doc"])
+
+
 def masked(docs: DataFrame, spans: DataFrame, owner: str = "source",
            repo: str = "doc_id") -> DataFrame:
-    """The documents with every reported span but the examples replaced by its kind."""
-    wanted = spans.select("row_key", F.filter(
-        "spans", lambda s: s["verdict"] != "example").alias("cut"))
+    """The documents with every reported span replaced by its kind, but for examples of kinds
+    without a fixed form."""
+    fixed = [KINDS.index(k) for k in ("key_block", "service_token", "web_token")]
+    wanted = spans.select("row_key", F.filter("spans", lambda s: (
+        s["verdict"] != "example") | s["rank"].isin(fixed)).alias("cut"))
     wanted = wanted.filter(F.size("cut") > 0).dropDuplicates(["row_key"])
-    text = F.col("doc.text")
-    steps = F.aggregate(
-        "cut", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(
-                a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]),
-                F.lit("<"), s["kind"], F.lit(">"))).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    clean = F.when(F.col("cut").isNull(), text).otherwise(steps)
     keyed = docs.select(F.struct("*").alias("doc"),
                         row_key("doc_id", owner, repo, "text").alias("row_key"))
-    return (keyed.join(wanted, "row_key", "left")
-            .select(F.col("doc").withField("text", clean).alias("doc")).select("doc.*"))
+    joined = keyed.join(wanted, "row_key", "left").select("doc", "cut")
+    return map_arrow(joined, _mask, joined.select("doc").schema).select("doc.*")

@@ -1,7 +1,9 @@
 """Chat examples, secrets and licences on small inputs."""
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -108,7 +110,31 @@ def test_structured_secrets_are_reported_whatever_the_verdict(docs):
                for i in range(3))
     assert spans[3] == [("service_token", "weak")]
     text = {r.doc_id: r.text for r in credentials.masked(table, found).collect()}
-    assert text[0] == rows[0][1] and text[3] == "and <service_token> here"
+    assert text[0] == "document 0 has <key_block> and <service_token>"
+    assert text[3] == "and <service_token> here"
+
+
+def test_candidates_of_long_texts_take_linear_time():
+    """Base and further candidates side by side; each further one is compared with all base ones
+    by a sweep, so twice the text is about twice the time."""
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789"
+    words = []
+    for _ in range(14_000):
+        word = "".join(rnd.choice(letters) for _ in range(24))
+        words.append(word if rnd.random() < 0.5 else f"token={word}")
+    text = " ".join(words) + " " + "eyJaaaaaaaa" * 20
+    few = " ".join(words[:300])
+    base = [(s, e) for _, s, e, _ in credentials._base(few)]
+    expected, last = [], 0
+    for c in sorted(credentials._further(few), key=lambda c: (c[1], c[0])):
+        if c[1] >= last and not any(s < c[2] and c[1] < e for s, e in base):
+            expected.append(c)
+            last = c[2]
+    assert [c for c in credentials.candidates(few) if c[0] >= 3] == expected
+    began = time.process_time()
+    assert len(credentials.candidates(text)) >= 13_000
+    assert time.process_time() - began < 5
 
 
 def test_secrets_of_odd_texts(odd):
