@@ -305,7 +305,11 @@ def _linked_classes(members: DataFrame, sets: DataFrame, least: float) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id, class_size, n_copies (rows with this very text) of every document."""
+    """doc_id, class_id, class_size, n_copies (rows with this very text) of every document,
+    the key of its text (null without one), and whether it stands for its class.
+
+    That is the row with the smallest id; of several texts under that id, the one with the
+    smallest key. Null ids come last."""
     keyed = docs.select("doc_id", content_key().alias("content"), "text")
     sketched = settled(map_arrow(keyed.filter("text is not null"), _sketch,
                                  "doc_id bigint, content binary, bands array<bigint>"),
@@ -328,25 +332,31 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     else:
         copies = copies.withColumn("root", F.lit(None).cast("binary"))
     copies = settled(copies.withColumn("root", F.coalesce("root", "content")), "nodes")
-    sizes = copies.groupBy("root").agg(F.min("first_id").alias("class_id"),
-                                       F.sum("n_copies").alias("class_size"))
+    first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "content"))
+    sizes = copies.groupBy("root").agg(
+        F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size"),
+        first["content"].alias("best"))
     found = (sketched.select("doc_id", "content")
              .join(copies.join(sizes, "root").drop("root", "first_id"), "content")
-             .select("doc_id", "class_id", "class_size", "n_copies"))
+             .select("doc_id", "class_id", "class_size", "n_copies", "content",
+                     ((F.col("content") == F.col("best"))
+                      & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_first")))
     alone = docs.filter("text is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-        F.lit(1).cast("long").alias("n_copies"))
+        F.lit(1).cast("long").alias("n_copies"),
+        F.lit(None).cast("binary").alias("content"), F.lit(True).alias("is_first"))
     return found.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id is their class's; of repeated rows one."""
-    winners = classes.filter("doc_id <=> class_id").groupBy("doc_id").agg(
-        F.count("*").alias("n")).withColumnRenamed("doc_id", "winner")
-    repeated = winners.filter("n > 1").select("winner")
-    same = F.expr("doc.doc_id <=> winner")
-    kept = docs.select(F.struct("*").alias("doc")).join(winners, same, "left_semi")
+    """The documents that stand for their classes; of repeated rows one."""
+    winners = classes.filter("is_first").groupBy("doc_id", "content").agg(
+        F.count("*").alias("n")).toDF("winner", "winner_text", "n")
+    repeated = winners.filter("n > 1")
+    same = F.expr("doc.doc_id <=> winner and doc_text <=> winner_text")
+    keyed = docs.select(F.struct("*").alias("doc"), content_key().alias("doc_text"))
+    kept = keyed.join(winners, same, "left_semi")
     again = kept.join(repeated, same, "left_semi").withColumn("id", F.col("doc.doc_id"))
-    single = again.withColumn("text", F.col("doc.text")).dropDuplicates(["id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(single.select("doc")).select(
+    single = again.dropDuplicates(["id", "doc_text"]).select("doc")
+    return kept.join(repeated, same, "left_anti").select("doc").unionByName(single).select(
         "doc.*")

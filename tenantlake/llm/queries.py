@@ -32,7 +32,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, folder, "documents"))
+    return neardup.near_duplicates(table(spark, folder, "documents")).drop(
+        "content", "is_first")
 
 
 def op4_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:

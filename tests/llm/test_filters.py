@@ -185,6 +185,19 @@ def test_near_duplicates_of_odd_texts(odd):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_texts_under_one_id_are_told_apart(docs):
+    """Ids 4 and 5 hold one text, 5 also another; nobody with an id loses to a null id."""
+    rnd = random.Random(8)
+    one, other, third = (text_of(rnd, 80) for _ in range(3))
+    rows = [(4, one), (5, one), (5, other), (None, other), (None, third), (None, third),
+            (None, edited(rnd, third, 1)), (6, None), (6, None)]
+    table = docs(*rows)
+    kept = neardup.one_of_each(table, neardup.near_duplicates(table)).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=lambda r: (r[0] is None, r[0] or 0))
+    assert got[:3] == [(4, one), (5, other), (6, None)]
+    assert len(got) == 4 and got[3][0] is None and got[3][1] in (third, rows[6][1])
+
+
 # --- 5: benchmark passages -----------------------------------------------------------------
 def brute_hits(text, items):
     import re
