@@ -34,8 +34,7 @@ normal AS (SELECT rid, host, text, line, regexp_extract_all(
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines
          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 frequent AS (SELECT host, ws FROM normal WHERE len(ws) > 0 GROUP BY host, ws
-             HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.002 * (
-                 SELECT count(DISTINCT text) FROM d WHERE d.host = normal.host)),
+             HAVING count(DISTINCT text) > 10),
 gone AS (SELECT n.rid, count(f.host) AS n_lines, sum(len(n.ws)) AS total,
                 coalesce(sum(CASE WHEN f.host IS NOT NULL THEN len(n.ws) END), 0) AS words
          FROM normal n LEFT JOIN frequent f ON n.host = f.host AND n.ws = f.ws GROUP BY n.rid),

@@ -5,8 +5,8 @@ line is frequent on a host if more distinct documents of the host hold it than a
 limit, the same at every size of the host; frequent lines are removed, and a document that
 loses too much is rejected. Exact copies of a document count as one document of their host.
 
-Null and empty texts have no words and fail the base rules; a null host is a host of its
-own. Repeated rows get equal verdicts each. Other columns of the input are ignored.
+Null and empty texts have no words and fail the base rules; a null host counts as the
+host with the empty name. Repeated rows get equal verdicts each. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
