@@ -7,8 +7,8 @@ before it; windows cannot express that. The fold runs over partitions sorted by
 An account that is attacked hard may own a third of all attempts, and its fold is one
 sequence. So all rows are cut into slices of a range partitioning, and only users whose rows
 cross a border need more: each slice computes, independently of the others, what it would do
-to any state it may start with; the effects are chained in slice order (a few rows per slice),
-and then every slice is folded with its true starting state. See `entries`.
+to any state it may start with; the effects of neighbours are composed as a tree, the states
+go down the tree, and then every slice is folded with its true starting state. See `entries`.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tenantlake import config
 from tenantlake.functions.rules import clean_email, email_error, lock_minutes_left
 from tenantlake.functions.text import plus, strip, token_key
+from tenantlake.operators.asof import with_facts_around
 from tenantlake.operators.keyed import update_by_key
 from tenantlake.session import ensure_checkpoint_dir, ship_package
 
@@ -130,6 +131,8 @@ ENTRY_SCHEMA = ("user_id string, slice int, status string, failed_count int, "
                 "locked_until timestamp_ntz, suspended boolean")
 KEEP = NEVER - 1
 ALWAYS = 1 << 62
+#: Neighbouring slices of one account whose effects are composed in one task.
+FAN_IN = 8
 _FREE_CLASSES = config.MAX_FAILED  # counters 0 .. MAX_FAILED - 2, and "one more locks"
 
 
@@ -256,21 +259,105 @@ def _slice_effects(batches: Iterator[pd.DataFrame], controlled: bool) -> Iterato
         yield finish(parts)
 
 
+def _composed(first: tuple, second: tuple) -> tuple:
+    """What two neighbouring runs of slices do together.
+
+    A run is (set_status, {(active, cls): (hi, resets, n, locked)}), the exits as in
+    `_SliceEffect`. An exit whose lock is known enters the second run at one place; an exit
+    that keeps its lock is cut where the second run tells locks apart.
+    """
+    out = {}
+    for (active, cls), (hi, resets, n, locked) in first[1].items():
+        on = active if first[0] is None else first[0] == "ACTIVE"
+        counter = np.minimum(np.where(resets, n, cls + n), _FREE_CLASSES - 1)
+        pieces = []
+        for into in np.unique(counter):
+            own = np.flatnonzero(counter == into)
+            if (on, int(into)) not in second[1]:
+                continue
+            g_hi, g_resets, g_n, g_locked = second[1][on, int(into)]
+            keep = locked[own] == KEEP
+            low = np.where(own > 0, hi[np.maximum(own - 1, 0)], NEVER - 2)
+            at = np.where(keep, low + 1, locked[own])
+            begin = np.searchsorted(g_hi, at, "left")
+            stop = np.where(keep, np.searchsorted(g_hi, hi[own], "left"), begin)
+            sizes = np.maximum(np.minimum(stop, len(g_hi) - 1) - begin + 1, 0)
+            f = np.repeat(own, sizes)
+            g = np.repeat(begin, sizes) + np.arange(len(f)) - np.repeat(
+                np.cumsum(sizes) - sizes, sizes)
+            kept = locked[f] == KEEP
+            pieces.append(np.stack([
+                np.where(kept, np.minimum(hi[f], g_hi[g]), hi[f]),
+                np.where(g_resets[g], True, resets[f]),
+                np.where(g_resets[g], g_n[g], n[f] + g_n[g]),
+                np.where(g_locked[g] == KEEP, locked[f], g_locked[g])]))
+        if pieces:
+            rows = np.concatenate(pieces, axis=1)
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            last = np.append((rows[1:, 1:] != rows[1:, :-1]).any(axis=0), True)
+            rows = rows[:, last]
+            out[active, cls] = rows[0], rows[1].astype(bool), rows[2], rows[3]
+    return second[0] or first[0], out
+
+
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Effects of FAN_IN neighbouring slices as those of one; rows come sorted by
+    (user, parent, slice, active, cls, entry_hi)."""
+
+    def run_of(rows: pd.DataFrame) -> tuple:
+        return rows["set_status"].iloc[0], {
+            (bool(active), int(cls)): tuple(
+                part[c].to_numpy(dtype=t) for c, t in (
+                    ("entry_hi", "int64"), ("resets", "bool"), ("n", "int64"),
+                    ("locked", "int64")))
+            for (active, cls), part in rows.groupby(["active", "cls"], sort=False)}
+
+    def rows_of(user: str, parent: int, run: tuple) -> pd.DataFrame:
+        parts = [pd.DataFrame({
+            "user_id": user, "slice": np.int32(parent), "active": active, "cls": np.int32(cls),
+            "entry_hi": hi, "resets": resets, "n": n.astype("int32"), "locked": locked,
+            "set_status": pd.Series([run[0]] * len(hi), dtype="object")})
+            for (active, cls), (hi, resets, n, locked) in run[1].items()]
+        return pd.concat(parts, ignore_index=True)
+
+    held, place, run = [], None, None
+
+    def close():
+        nonlocal run, held
+        if held:
+            own = run_of(pd.concat(held, ignore_index=True))
+            run, held = own if run is None else _composed(run, own), []
+
+    for batch in batches:
+        for (user, parent, part), piece in batch.groupby(
+                ["user_id", "parent", "slice"], sort=False):
+            if place is not None and place != (user, parent, part):
+                close()
+                if place[:2] != (user, parent):
+                    yield rows_of(place[0], place[1], run)
+                    run = None
+            place = (user, parent, part)
+            held.append(piece)
+    if place is not None:
+        close()
+        yield rows_of(place[0], place[1], run)
+
+
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk the effects of one user in slice order; gives the entry state of each slice."""
+    """Walk the effects below one parent in slice order; gives the state each is entered with."""
     user, part, state, following = None, None, LockState(), None
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            if row.user_id != user:
-                user, part, following = row.user_id, None, None
+            if (row.user_id, row.parent) != user:
+                user, part, following = (row.user_id, row.parent), None, None
                 locked = int(row.a_locked)
                 state = LockState(row.a_status, row.a_failed, locked, row.a_suspended)
             if row.slice != part:
                 if part is not None:
                     state = following
                 part, following = row.slice, None
-                out.append((user, part, state.status, state.failed, state.locked,
+                out.append((row.user_id, part, state.status, state.failed, state.locked,
                             state.suspended))
             if (following is None and row.active == (state.status == "ACTIVE")
                     and row.cls == min(state.failed, _FREE_CLASSES - 1)
@@ -341,13 +428,15 @@ def _rows_to_fold(steps: DataFrame, accounts: DataFrame) -> DataFrame:
         "locked_until": _nothing("timestamp_ntz"), "suspended": F.lit(False)}))
 
 
-def entries(cut: DataFrame, accounts: DataFrame, controlled: bool) -> DataFrame:
+def entries(cut: DataFrame, accounts: DataFrame, controlled: bool, slices: int) -> DataFrame:
     """State with which every (user, slice) is entered; one row each.
 
     A slice is described by how it leaves, given how it is entered: unlocked with one of
     five counters, or locked until some time. Only locks that reach into the slice matter,
     so the description has at most as many rows as the slice has distinct times in its
-    first ten minutes, and slices are read by the chain one row at a time.
+    first ten minutes. FAN_IN neighbours are composed to one run, those again, and so on
+    until FAN_IN are left of a user; then the states go down the tree, each task reading the
+    rows of FAN_IN runs. So no task meets all slices of an account.
     """
     known = F.broadcast(accounts.select(
         "user_id", F.col("status").alias("a_status"), F.col("failed_count").alias("a_failed"),
@@ -356,14 +445,31 @@ def entries(cut: DataFrame, accounts: DataFrame, controlled: bool) -> DataFrame:
         cut.join(known.drop("a_failed", "a_suspended"), "user_id")
         .select("user_id", "slice", "kind", "at", "ok", "set_status", "a_status", "a_locked")
         .mapInPandas(lambda it: _slice_effects(it, controlled), EFFECT_SCHEMA))
-    start = F.coalesce(
-        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "a_locked"),
-        F.lit(NEVER))
-    # Sorted after the join: Spark drops sorts it finds below a join.
-    return (
-        effects.join(known.withColumn("a_locked", start), "user_id").repartition("user_id")
-        .sortWithinPartitions("user_id", "slice", "active", "cls", "entry_hi")
-        .mapInPandas(_chain, ENTRY_SCHEMA))
+    parent = F.expr(f"slice div {FAN_IN}").cast("int")
+    levels = [effects]
+    while slices > FAN_IN:
+        slices = -(-slices // FAN_IN)
+        levels[-1] = levels[-1].checkpoint()  # read on the way up and on the way down
+        levels.append(
+            levels[-1].withColumn("parent", parent).repartition("user_id", "parent")
+            .sortWithinPartitions("user_id", "parent", "slice", "active", "cls", "entry_hi")
+            .mapInPandas(_compose, EFFECT_SCHEMA))
+    state = known.withColumn("parent", F.lit(0))
+    for level in reversed(levels):
+        start = F.coalesce(F.timestamp_diff(
+            "MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "a_locked"), F.lit(NEVER))
+        # Sorted after the join: Spark drops sorts it finds below a join.
+        found = (
+            level.withColumn("parent", parent)
+            .join(state.withColumn("a_locked", start), ["user_id", "parent"])
+            .repartition("user_id", "parent")
+            .sortWithinPartitions("user_id", "parent", "slice", "active", "cls", "entry_hi")
+            .mapInPandas(_chain, ENTRY_SCHEMA))
+        state = found.select(
+            "user_id", F.col("slice").alias("parent"), F.col("status").alias("a_status"),
+            F.col("failed_count").alias("a_failed"), F.col("locked_until").alias("a_locked"),
+            F.col("suspended").alias("a_suspended"))
+    return found
 
 
 def _crossing(cut: DataFrame) -> DataFrame:
@@ -398,7 +504,8 @@ def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None
     crossed = cut.filter(F.col("kind") != ACCOUNT).drop(*_STATE).join(
         crossing, "user_id", "left_semi")
     # At most two crossing users a slice, so there are at most two entries for each.
-    entered = F.broadcast(entries(crossed, known, controls is not None).select(
+    most = slices or int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entered = F.broadcast(entries(crossed, known, controls is not None, most).select(
         "user_id", "slice", F.lit(True).alias("entered"),
         *[F.col(c).alias(f"e_{c}") for c in _STATE]))
     state = {c: F.when(F.col("entered"), F.col(f"e_{c}")).otherwise(F.col(c)) for c in _STATE}
@@ -407,6 +514,35 @@ def fold_logins(users: DataFrame, attempts: DataFrame, company: DataFrame | None
             .mapInPandas(fold_attempts, FOLD_SCHEMA))
 
 
+def company_gate(folded: DataFrame, users: DataFrame, company: DataFrame,
+                 changes: DataFrame) -> DataFrame:
+    """Folded attempts, judged by the status their company had at that moment.
+
+    `company` is the table before the batch, `changes` (request_id, request_ts, company_id,
+    status) are the accepted changes among the attempts; a change counts before an attempt of
+    the same time. `ends_at` is when the session of a log-in is ended: at once in a suspended
+    company, else with the next suspension.
+
+    The status decides neither counters nor locks, so it is looked up after the fold, for
+    successful log-ins only. That holds for a micro-batch of the stream as well.
+    """
+    good = F.col("event") == "LOGIN_OK"
+    ok = folded.filter(good).join(users.select("user_id", "company_id"), "user_id", "left")
+    facts = company.select(
+        "company_id", F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(0).alias("request_id"),
+        "status").unionByName(changes.select(
+            "company_id", F.col("request_ts").alias("at"), "request_id", "status"))
+    seen = with_facts_around(ok, facts, "company_id", "at", "request_id",
+                             later="status = 'SUSPENDED'")
+    closed = F.coalesce(F.col("before.status") == "SUSPENDED", F.lit(False))
+    judged = seen.select(
+        *[F.when(closed, "COMPANY_SUSPENDED").alias("code") if c == "code" else F.col(c)
+          for c in folded.columns],
+        F.when(closed, F.col("at")).otherwise(F.col("after.at")).alias("ends_at"))
+    rest = folded.filter(~good | F.col("event").isNull())
+    return judged.unionByName(rest.withColumn("ends_at", _nothing("timestamp_ntz")))
+
+
 def split_company_attempts(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(attempts, refused) for the company log-in, where the id is always a mail address.
 
@@ -452,10 +588,12 @@ def login_sessions(folded: DataFrame, tokens: DataFrame | None = None) -> DataFr
         ok = ok.withColumn("token", F.concat(F.lit("login-"), "attempt_id"))
     else:
         ok = ok.join(tokens.select("attempt_id", "token"), "attempt_id")
+    ends = (F.col("ends_at") if "ends_at" in folded.columns
+            else F.when(F.col("code") == "COMPANY_SUSPENDED", F.col("at")))
     return ok.select(
         token_key("token").alias("session_id"), "user_id", F.col("at").alias("created_at"),
         plus("at", hours=config.SESSION_HOURS).alias("expires_at"),
-        F.when(F.col("code") == "COMPANY_SUSPENDED", F.col("at")).alias("revoked_at"))
+        ends.alias("revoked_at"))
 
 
 def login_states(folded: DataFrame) -> DataFrame:

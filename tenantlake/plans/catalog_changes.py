@@ -171,6 +171,22 @@ def _(t):
     return lockout.login_log_rows(_folded(t, gated=True))
 
 
+def _gated_over_time(t):
+    asked = companies.set_company_status(t["company"], t["app_user"], t["user_session"],
+                                         t["company_changes"])
+    return lockout.company_gate(_folded(t), t["app_user"], t["company"], asked.accepted)
+
+
+@query("l3_company_status_over_time_verdicts")
+def _(t):
+    return lockout.login_verdicts(_gated_over_time(t))
+
+
+@query("l3_company_status_over_time_sessions")
+def _(t):
+    return lockout.login_sessions(_gated_over_time(t))
+
+
 @query("l5_stream_verdicts")
 def _(t):
     return lockout.login_verdicts(replay(t["attempts"], t["app_user"], windows=2))

@@ -233,6 +233,14 @@ TABLES: dict[str, tuple[str, list[tuple[str, str | tuple[str, str]]]]] = {
         ("status", "CASE event_id % 5 WHEN 0 THEN 'suspended' WHEN 1 THEN 'PENDING' "
                    "ELSE 'Active' END"),
     ]),
+    # changes among the log-in attempts of the same days
+    "company_changes": ("events", [
+        ("request_id", "event_id"), ("request_ts", _ATTEMPT_AT), ("actor", "'ops'"),
+        ("company_id", "CASE WHEN event_id % 41 = 0 THEN 'C9999' ELSE concat('C', lpad("
+                       "CAST(event_id % 23 + 1 AS VARCHAR(9)), 4, '0')) END"),
+        ("status", "CASE event_id % 4 WHEN 0 THEN 'suspended' WHEN 1 THEN 'PENDING' "
+                   "ELSE 'Active' END"),
+    ]),
     "invite_requests": ("events", [
         *_REQUEST,
         ("company_id", f"CASE WHEN event_id % 37 = 0 THEN 'C9999' ELSE {_COMPANY_OF_CUSTOMER}"

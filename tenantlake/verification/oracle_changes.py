@@ -332,6 +332,26 @@ _lock("l2_login_accounts",
 _lock("l3_company_gate_verdicts", _VERDICTS, gated=True)
 _lock("l3_company_gate_sessions", _SESSIONS, gated=True)
 _lock("l3_company_gate_log_rows", _LOGGED, gated=True)
+_OVER_TIME = (
+    ", facts AS (SELECT company_id, TIMESTAMP '1900-01-01' AS t, status FROM company UNION ALL "
+    "SELECT company_id, request_ts, arg_max(upper(status), request_id) FROM company_changes WHERE "
+    "upper(status) IN ('ACTIVE', 'SUSPENDED') AND company_id IN (SELECT company_id FROM company) "
+    "GROUP BY company_id, request_ts), ends AS (SELECT company_id, request_ts AS t FROM "
+    "company_changes WHERE upper(status) = 'SUSPENDED'), placed AS (SELECT f.*, u.company_id AS "
+    "firm FROM folded f LEFT JOIN app_user u ON u.user_id = f.user_id), seen AS (SELECT p.*, "
+    "p.event = 'LOGIN_OK' AND coalesce(x.status = 'SUSPENDED', false) AS shut FROM placed p ASOF "
+    "LEFT JOIN facts x ON x.company_id = p.firm AND p.\"at\" >= x.t), timed AS (SELECT s.*, e.t "
+    "AS next_end FROM seen s ASOF LEFT JOIN ends e ON e.company_id = s.firm AND s.\"at\" < e.t)")
+for _suffix, _body in (
+        ("verdicts", "SELECT attempt_id, user_id, \"at\", event, detail, CASE WHEN shut THEN "
+                     "'COMPANY_SUSPENDED' ELSE error_code END AS error_code, minutes_left FROM "
+                     "timed"),
+        ("sessions", "SELECT sha256(concat('login-', attempt_id)) AS session_id, user_id, \"at\" "
+                     "AS created_at, \"at\" + INTERVAL '8' HOUR AS expires_at, CASE WHEN shut "
+                     "THEN \"at\" ELSE next_end END AS revoked_at FROM timed WHERE event = "
+                     "'LOGIN_OK'")):
+    oracle(f"l3_company_status_over_time_{_suffix}", "attempts app_user company company_changes",
+           _body, (_LOCK + _OVER_TIME).replace("{gated}", "false"), recursive=True)
 _lock("l5_stream_verdicts", _VERDICTS)
 _lock("l6_stream_log_rows", _LOGGED)
 _lock("l6_merged_log",

@@ -147,8 +147,9 @@ def plain_python(users, rows, controls):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_plain_and_sliced_equal_the_loop(spark, seed):
+@pytest.mark.parametrize("seed, fan_in", [(1, 2), (2, 3), (3, 8)])
+def test_plain_and_sliced_equal_the_loop(spark, seed, fan_in, monkeypatch):
+    monkeypatch.setattr(lockout, "FAN_IN", fan_in)
     users, rows, controls, raw = noisy(spark, seed)
     wanted = plain_python(*raw)
     plain = lockout.fold_logins(users, rows, controls=controls, slices=1)
@@ -157,8 +158,10 @@ def test_plain_and_sliced_equal_the_loop(spark, seed):
     assert sorted(map(repr, sliced.collect())) == sorted(map(repr, plain.collect()))
 
 
-def test_one_account_with_everything(spark):
+@pytest.mark.parametrize("fan_in", [2, 8])
+def test_one_account_with_everything(spark, fan_in, monkeypatch):
     """All attempts on one account, many per second, cut into many slices."""
+    monkeypatch.setattr(lockout, "FAN_IN", fan_in)
     rnd = random.Random(9)
     rows = [(i, "hot", T0 + timedelta(milliseconds=rnd.randint(0, 3_000_000)),
              rnd.random() < 0.01) for i in range(6000)]
