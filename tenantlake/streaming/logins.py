@@ -3,24 +3,24 @@
 Attempts may arrive out of order. Each account keeps its rows until the watermark has
 passed them and then folds them in (at, kind, id) order, so the stream gives what the
 batch gives for every row that is not later than the watermark. Later rows are dropped by
-Spark and counted in the query progress (numRowsDroppedByWatermark). A verdict comes when
-the watermark has passed the minute of its attempt.
+Spark; `progress.LateRows` writes down how many. A verdict comes when the watermark has passed
+the minute of its attempt.
 
-The accounts are loaded once as initial state. Status changes during the run must arrive
-as control rows in the stream.
+The accounts are loaded once as initial state. Status changes of accounts during the run must
+arrive as control rows in the stream; those of companies are looked up by the gate of the sink.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tenantlake.operators.lockout import (
-    ATTEMPT, FOLD_SCHEMA, NEVER, LockState, account_states, login_steps, times)
+    ATTEMPT, FOLD_SCHEMA, NEVER, LockState, account_states, login_steps)
 from tenantlake.session import ship_package
 
 _EPOCH = "1970-01-01 00:00:00"
@@ -28,53 +28,78 @@ _ACCOUNT = "status string, failed int, locked bigint, suspended boolean"
 _BUCKET = ("rows array<struct<at: bigint, kind: int, id: bigint, ok: boolean, "
            "set_status: string>>")
 _MINUTE = 60_000_000
+_START = datetime(1970, 1, 1)
 
 
 def _micros(column: str):
     return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), column)
 
 
+def _time(micros: int) -> datetime | None:
+    return None if micros == NEVER else _START + timedelta(microseconds=micros)
+
+
 class LockoutProcessor(StatefulProcessor):
     """State per account: its counter and lock, and the rows the watermark has not passed.
 
-    Rows wait in buckets of a minute with a timer each, so a timer reads and clears the
-    minutes that are over and an account with many rows never rewrites the others.
+    Rows wait in buckets of a minute, so an account with many rows never rewrites the minutes
+    it does not touch. One timer stands at the end of the earliest minute; when it fires, all
+    minutes the watermark has passed are folded, and the timer is set for the next one. An id
+    without an account keeps nothing once its rows are folded.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.account = handle.getValueState("account", _ACCOUNT)
         self.pending = handle.getMapState("pending", "minute bigint", _BUCKET)
+        self.due = handle.getValueState("due", "minute bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.account.update((first["status"], int(first["failed_count"]),
-                             int(first["locked"]), bool(first["suspended"])))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            buckets: dict[int, list[tuple]] = {}
-            for at, kind, ident, ok, new in zip(batch["at_micros"], batch["kind"], batch["id"],
-                                                batch["ok"], batch["set_status"]):
-                row = (int(at), int(kind), int(ident), bool(ok), new)
-                buckets.setdefault(int(at) // _MINUTE, []).append(row)
-            for minute, found in buckets.items():
-                held = (self.pending.getValue((minute,))[0]
-                        if self.pending.containsKey((minute,)) else [])
-                self.pending.updateValue((minute,), ([*map(tuple, held), *found],))
-                self.handle.registerTimer((minute + 1) * _MINUTE // 1000)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.account.update((initialState["status"], int(initialState["failed_count"]),
+                             int(initialState["locked"]), bool(initialState["suspended"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        buckets: dict[int, list[tuple]] = {}
+        for r in rows:
+            row = (r["at_micros"], r["kind"], r["id"], r["ok"], r["set_status"])
+            buckets.setdefault(row[0] // _MINUTE, []).append(row)
+        for minute, found in buckets.items():
+            held = self.pending.getValue((minute,))
+            self.pending.updateValue(
+                (minute,), ([*(tuple(r) for r in held[0]), *found] if held else found,))
+        if buckets:
+            known = self.due.get()
+            self._wait(known[0] if known else None, min(buckets))
+        return iter(())
+
+    def _wait(self, known: int | None, minute: int) -> None:
+        """Have the timer at the end of `minute`, unless it stands earlier."""
+        if known is not None and known <= minute:
+            return
+        if known is not None:
+            self.handle.deleteTimer((known + 1) * _MINUTE // 1000)
+        self.handle.registerTimer((minute + 1) * _MINUTE // 1000)
+        self.due.update((minute,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        over = sorted(k[0] for k in self.pending.keys() if (k[0] + 1) * _MINUTE <= passed)
-        for minute in over:
-            rows = [tuple(r) for r in self.pending.getValue((minute,))[0]]
-            self.pending.removeKey((minute,))
-            yield self._fold(key[0], sorted(rows, key=lambda r: r[:3]))
-
-    def _fold(self, user: str, rows: list[tuple]) -> pd.DataFrame:
-        state = LockState(*self.account.get()) if self.account.exists() else LockState()
+        minutes = sorted(k[0] for k in self.pending.keys())
+        over = [m for m in minutes if (m + 1) * _MINUTE <= passed]
+        if len(over) == len(minutes):
+            rows = [tuple(r) for _, bucket in self.pending.iterator() for r in bucket[0]]
+            self.pending.clear()
+            self.due.clear()
+        else:
+            rows = [tuple(r) for m in over for r in self.pending.getValue((m,))[0]]
+            for m in over:
+                self.pending.removeKey((m,))
+            self.due.clear()
+            self._wait(None, minutes[len(over)])
+        return iter(self._fold(key[0], sorted(rows, key=lambda r: r[:3])))
+
+    def _fold(self, user: str, rows: list[tuple]) -> list[Row]:
+        known = self.account.get()
+        state = LockState(*known) if known else LockState()
         out = []
         for at, kind, ident, ok, new in rows:
             event = detail = code = None
@@ -82,18 +107,12 @@ class LockoutProcessor(StatefulProcessor):
                 event, detail, code = state.attempt(at, ok)
             elif state.status is not None:
                 state.control(new)
-            out.append((user, kind, ident, at, event, detail, code, state.failed, state.locked))
-        if state.status is not None:
+            out.append(Row(user_id=user, kind=kind, attempt_id=ident, at=_time(at), event=event,
+                           detail=detail, code=code, failed_count=state.failed,
+                           locked_until=_time(state.locked)))
+        if state.status is not None and rows:
             self.account.update((state.status, state.failed, state.locked, state.suspended))
-        cols = list(zip(*out))
-        return pd.DataFrame({
-            "user_id": cols[0], "kind": pd.Series(cols[1], dtype="int32"),
-            "attempt_id": pd.Series(cols[2], dtype="int64"), "at": times(list(cols[3])),
-            "event": pd.Series(cols[4], dtype="object"),
-            "detail": pd.Series(cols[5], dtype="object"),
-            "code": pd.Series(cols[6], dtype="object"),
-            "failed_count": pd.Series(cols[7], dtype="int32"),
-            "locked_until": times(list(cols[8]))})
+        return out
 
     def close(self) -> None:
         pass
@@ -110,7 +129,7 @@ def stream_logins(attempts: DataFrame, users: DataFrame, company: DataFrame | No
     states = account_states(users, company).select(
         "user_id", "status", "failed_count", "suspended",
         F.coalesce(_micros("locked_until"), F.lit(NEVER)).alias("locked"))
-    return rows.groupBy("user_id").transformWithStateInPandas(
+    return rows.groupBy("user_id").transformWithState(
         statefulProcessor=LockoutProcessor(), outputStructType=FOLD_SCHEMA,
         outputMode="Append", timeMode="EventTime", initialState=states.groupBy("user_id"))
 

@@ -43,8 +43,9 @@ def _query_id(spark: SparkSession) -> str:
     return found
 
 
-def merge_batch(root: str, tokens: DataFrame | None = None,
-                source: str | None = None) -> Callable[[DataFrame, int], None]:
+def merge_batch(root: str, tokens: DataFrame | None = None, source: str | None = None,
+                gate: Callable[[DataFrame], DataFrame] | None = None
+                ) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: log, sessions and account states of a micro-batch become
     one version. Only new files are written: the account table is not rewritten, the
     states are laid over it on reading (`current_accounts`) and folded into it now and
@@ -52,12 +53,13 @@ def merge_batch(root: str, tokens: DataFrame | None = None,
     query with a new checkpoint is another source.
 
     `tokens` (attempt_id, token) are the staged secrets of the attempts. A session is
-    stored under the hash of its token, so without tokens no sessions are written."""
+    stored under the hash of its token, so without tokens no sessions are written. `gate`
+    judges the log-ins of a batch by what is known of their companies (`company_gate`)."""
 
     def apply(folded: DataFrame, batch_id: int) -> None:
         spark = folded.sparkSession
         own = source or _query_id(spark)
-        folded = folded.persist()
+        folded = (gate(folded) if gate else folded).persist()
         try:
             version = current_version(spark, root)
             last = _last_log_number(spark, root, version)
@@ -108,6 +110,8 @@ def compact_appended(spark: SparkSession, root: str, names: tuple[str, ...] = (L
 
 
 def merge_logins(folded: DataFrame, root: str, checkpoint: str,
-                 tokens: DataFrame | None = None, **trigger) -> StreamingQuery:
+                 tokens: DataFrame | None = None,
+                 gate: Callable[[DataFrame], DataFrame] | None = None,
+                 **trigger) -> StreamingQuery:
     return (folded.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .foreachBatch(merge_batch(root, tokens)).trigger(**trigger).start())
+            .foreachBatch(merge_batch(root, tokens, gate=gate)).trigger(**trigger).start())
