@@ -11,7 +11,7 @@ from tenantlake import config
 from tenantlake.functions.rules import (
     account_error, clean_email, clean_email_error, local_part, password_error)
 from tenantlake.functions.text import strip, token_key
-from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
+from tenantlake.operators.keyed import Update, last_per_key, session_ends, update_by_key
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import (
     ORDER, Outcome, applied_once, flag_existing, is_winner, lookup, settle, staged_text,
@@ -64,13 +64,13 @@ def set_account_status(users: DataFrame, sessions: DataFrame, requests: DataFram
     final = last_per_key(accepted, ["user_id"], ORDER, ["status", "actor"])
     stopped = (accepted.filter(F.col("status") != "ACTIVE").groupBy("user_id")
                .agg(F.min("request_ts").alias("revoke_at")))
-    new_users = update_by_key(users, final, "user_id", {
+    new_users = Update(users, final, "user_id", {
         "status": F.col("c_status"), "approved_at": F.col("c_request_ts"),
         "approved_by": F.col("c_actor"), "failed_count": F.lit(0),
         "locked_until": F.lit(None).cast("timestamp_ntz")})
     event = F.when(F.col("status") == "ACTIVE", F.lit("ACTIVATE")).otherwise(F.lit("DISABLE"))
-    return Outcome(
-        {"app_user": new_users, "user_session": revoke_sessions(sessions, stopped)},
+    return Outcome.of_updates(
+        {"app_user": new_users, "user_session": session_ends(sessions, stopped)},
         verdicts, accepted.select(*log_row("user_id", event, by())))
 
 
@@ -105,10 +105,10 @@ def log_out(sessions: DataFrame, requests: DataFrame) -> Outcome:
         F.coalesce(is_winner(), F.lit(False)).alias("done"),
         F.lit(None).cast("string").alias("error_code"))
     done = verdicts.filter("done")
-    ended = update_by_key(sessions, done.select("session_id", "request_ts"), "session_id",
-                          {"revoked_at": F.coalesce("revoked_at", "c_request_ts")})
-    return Outcome({"user_session": ended}, verdicts,
-                   done.select(*log_row("user_id", "LOGOUT")))
+    ended = Update(sessions, done.select("session_id", "request_ts"), "session_id",
+                   {"revoked_at": F.coalesce("revoked_at", "c_request_ts")})
+    return Outcome.of_updates({"user_session": ended}, verdicts,
+                              done.select(*log_row("user_id", "LOGOUT")))
 
 
 @applied_once
@@ -126,14 +126,14 @@ def change_passwords(users: DataFrame, sessions: DataFrame, requests: DataFrame)
     accepted = verdicts.filter(F.col("error_code").isNull())
     final = last_per_key(accepted, ["user_id"], ORDER, ["new_hash"])
     ended = accepted.groupBy("user_id").agg(F.min("request_ts").alias("revoke_at"))
-    new_users = update_by_key(users, final, "user_id", {
+    new_users = Update(users, final, "user_id", {
         "password_hash": F.col("c_new_hash"), "password_changed_at": F.col("c_request_ts")})
-    return Outcome(
-        {"app_user": new_users, "user_session": revoke_sessions(sessions, ended)},
+    return Outcome.of_updates(
+        {"app_user": new_users, "user_session": session_ends(sessions, ended)},
         verdicts.drop("new_hash"), accepted.select(*log_row("user_id", "PW_CHANGE")))
 
 
-def _gone(cutoff: datetime) -> Column:
+def gone(cutoff: datetime) -> Column:
     limit = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
     return (F.coalesce(F.col("expires_at") < limit, F.lit(False))
             | F.col("revoked_at").isNotNull())
@@ -141,11 +141,11 @@ def _gone(cutoff: datetime) -> Column:
 
 def purge_sessions(sessions: DataFrame, cutoff: datetime) -> DataFrame:
     """Sessions that stay: not revoked and not ended before the cutoff (equal stays)."""
-    return sessions.filter(~_gone(cutoff))
+    return sessions.filter(~gone(cutoff))
 
 
 def purged_count(sessions: DataFrame, cutoff: datetime) -> DataFrame:
-    return sessions.filter(_gone(cutoff)).agg(F.count("*").alias("purged"))
+    return sessions.filter(gone(cutoff)).agg(F.count("*").alias("purged"))
 
 
 def _seed_once(requests: DataFrame, existing: DataFrame, late_error: Column,

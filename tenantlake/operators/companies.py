@@ -10,8 +10,7 @@ from tenantlake.functions.rules import (
     first_error, local_part, password_error)
 from tenantlake.functions.text import strip
 from tenantlake.operators.keyed import (
-    company_number, last_per_key, largest_number, number_rows, revoke_sessions,
-    update_by_key)
+    Update, company_number, last_per_key, largest_number, number_rows, session_ends)
 from tenantlake.operators.logs import log_row
 from tenantlake.operators.outcome import (
     ORDER, Outcome, account_ids, after_winner, applied_once, flag_existing, settle,
@@ -79,10 +78,9 @@ def set_company_status(company: DataFrame, users: DataFrame, sessions: DataFrame
     closed = (accepted.filter(F.col("status") != "ACTIVE").groupBy("company_id")
               .agg(F.min("request_ts").alias("revoke_at")))
     people = users.select("user_id", "company_id").join(closed, "company_id")
-    return Outcome(
-        {"company": update_by_key(company, final, "company_id",
-                                  {"status": F.col("c_status")}),
-         "user_session": revoke_sessions(sessions, people)},
+    return Outcome.of_updates(
+        {"company": Update(company, final, "company_id", {"status": F.col("c_status")}),
+         "user_session": session_ends(sessions, people)},
         verdicts,
         accepted.select(*log_row("actor", F.concat(F.lit("COMPANY_"), "status"),
                                  F.col("company_id"))))

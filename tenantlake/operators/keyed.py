@@ -8,6 +8,8 @@ are looked up through the matching keys only.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,36 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str,
         if c in setters else F.col(c) for c in table.columns])
 
 
+@dataclass(frozen=True)
+class Update:
+    """New values for some columns of the rows that have a change; see `update_by_key`."""
+
+    table: DataFrame
+    changes: DataFrame
+    key: str
+    setters: dict[str, Column]
+
+    def whole(self) -> DataFrame:
+        """The whole table after the change."""
+        return update_by_key(self.table, self.changes, self.key, self.setters)
+
+    def rows(self) -> DataFrame:
+        """Only the rows that are not what they were, with their new values."""
+        renamed = self.changes.select(F.col(self.key), *[
+            F.col(c).alias(f"c_{c}") for c in self.changes.columns if c != self.key])
+        joined = self.table.join(renamed, self.key)
+        changed = [f"n_{c}" for c in self.setters]
+        new = joined.select(*self.table.columns, *[
+            value.alias(f"n_{c}") for c, value in self.setters.items()])
+        differs = F.lit(False)
+        for c in self.setters:
+            differs = differs | ~F.col(c).eqNullSafe(F.col(f"n_{c}"))
+        kinds = {f.name: f.dataType for f in self.table.schema}
+        return new.filter(differs).select(*[
+            F.col(f"n_{c}").cast(kinds[c]).alias(c) if f"n_{c}" in changed else F.col(c)
+            for c in self.table.columns])
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str, update: list[str]) -> DataFrame:
     """Insert new keys; for known keys overwrite only the named columns."""
     kept = update_by_key(table, new.select(key, *update), key,
@@ -68,10 +100,10 @@ def upsert(table: DataFrame, new: DataFrame, key: str, update: list[str]) -> Dat
     return kept.unionByName(fresh.select(*table.columns))
 
 
-def revoke_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
+def session_ends(sessions: DataFrame, users: DataFrame) -> Update:
     """End the open sessions of users; `users` has user_id, revoke_at, one row each."""
-    return update_by_key(sessions, users.select("user_id", "revoke_at"), "user_id",
-                         {"revoked_at": F.coalesce("revoked_at", "c_revoke_at")})
+    return Update(sessions, users.select("user_id", "revoke_at"), "user_id",
+                  {"revoked_at": F.coalesce("revoked_at", "c_revoke_at")})
 
 
 def number_rows(df: DataFrame, order: list[str], name: str,

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake.functions.rules import clean_email, clean_email_error, company_role_error
-from tenantlake.operators.keyed import last_per_key, revoke_sessions, update_by_key
+from tenantlake.operators.keyed import Update, last_per_key, session_ends
 from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import ORDER, Outcome, applied_once, settle
 from tenantlake.session import ship_package
@@ -143,7 +143,7 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
     states = last_per_key(switched, ["user_id"], ORDER, ["_on"])
     changes = roles.select("user_id", "role").join(
         states.select("user_id", F.col("_on").alias("on")), "user_id", "full_outer")
-    new_users = update_by_key(users, changes, "user_id", {
+    new_users = Update(users, changes, "user_id", {
         "role": F.coalesce("c_role", "role"),
         "is_admin": F.coalesce(F.col("c_role") == "admin", F.col("is_admin")),
         "status": F.when(F.col("c_on"), "ACTIVE").when(~F.col("c_on"), "DISABLED")
@@ -154,6 +154,6 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
              .when(F.col("op") == REMOVE, "MEMBER_REMOVE")
              .when(enabled, "ACTIVATE").otherwise("DISABLE"))
     detail = F.when(F.col("op") == SET_ROLE, F.concat("role", F.lit(" "), by())).otherwise(by())
-    return Outcome(
-        {"app_user": new_users, "user_session": revoke_sessions(sessions, ended)},
+    return Outcome.of_updates(
+        {"app_user": new_users, "user_session": session_ends(sessions, ended)},
         verdicts, accepted.select(*log_row("email", event, detail)))

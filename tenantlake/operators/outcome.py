@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenantlake.functions.rules import http_status
-from tenantlake.operators.keyed import first_per_key, matching_keys
+from tenantlake.operators.keyed import Update, first_per_key, matching_keys
 from tenantlake.schemas import APP_USER
 from tenantlake.session import scratch_folder
 
@@ -26,11 +26,20 @@ ORDER = ["request_ts", "request_id"]
 @dataclass(frozen=True)
 class Outcome:
     """`tables`: new versions of the changed tables. `verdicts`: every request with its
-    `error_code`, NULL when accepted. `log_rows`: what the accepted ones log."""
+    `error_code`, NULL when accepted. `log_rows`: what the accepted ones log. `changes`: where
+    the batch only changes rows (M3, M5-M8, M14, M15), those rows alone with their new values,
+    so that a store can rewrite the days that hold them and nothing else."""
 
     tables: dict[str, DataFrame]
     verdicts: DataFrame
     log_rows: DataFrame
+    changes: dict[str, DataFrame] = field(default_factory=dict)
+
+    @classmethod
+    def of_updates(cls, updates: dict[str, Update], verdicts: DataFrame,
+                   log_rows: DataFrame) -> Outcome:
+        return cls({name: u.whole() for name, u in updates.items()}, verdicts, log_rows,
+                   {name: u.rows() for name, u in updates.items()})
 
     @property
     def accepted(self) -> DataFrame:

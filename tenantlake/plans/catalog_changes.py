@@ -10,6 +10,8 @@ from tenantlake.operators import (
     accounts, companies, invites, keyed, lockout, logs, members)
 from tenantlake.plans.catalog import query
 from tenantlake.session import scratch_folder
+from tenantlake.sources.days import apply_changes, purge_days
+from tenantlake.sources.tables import load_days, store
 from tenantlake.sources.versions import read_current
 from tenantlake.streaming.replay import replay
 from tenantlake.streaming.sinks import merge_batch
@@ -89,6 +91,27 @@ def _(t):
     return accounts.purged_count(t["user_session"], PURGE_BEFORE)
 
 
+def _sessions_by_day(t) -> str:
+    root = scratch_folder(t.spark, "days")
+    store(t["user_session"], root, "user_session")
+    return root
+
+
+@query("m16_purge_by_days")
+def _(t):
+    root = _sessions_by_day(t)
+    purge_days(t.spark, root, PURGE_BEFORE)
+    return load_days(t.spark, root, "user_session")
+
+
+@query("m15_password_change_by_days")
+def _(t):
+    root = _sessions_by_day(t)
+    apply_changes(t.spark, root, accounts.change_passwords(
+        t["app_user"], load_days(t.spark, root, "user_session"), t["password_changes"]))
+    return load_days(t.spark, root, "user_session")
+
+
 def _staged_people(t):
     """Accounts before any operator exists."""
     return t["app_user"].filter(~F.col("is_super"))

@@ -34,10 +34,14 @@ def store(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
     if name not in BY_DAY:
         df.write.mode(mode).parquet(path)
         return
+    by_day(df, name).write.mode(mode).partitionBy("day").parquet(path)
+
+
+def by_day(df: DataFrame, name: str) -> DataFrame:
+    """Rows with their day, dealt and sorted as they are stored."""
     time, order = BY_DAY[name]
-    dated = df.withColumn("day", F.to_date(time))
-    (dated.repartitionByRange("day", order, time).sortWithinPartitions("day", order, time)
-     .write.mode(mode).partitionBy("day").parquet(path))
+    return (df.withColumn("day", F.to_date(time)).repartitionByRange("day", order, time)
+            .sortWithinPartitions("day", order, time))
 
 
 def load_days(spark: SparkSession, root: str, name: str, since: date | None = None,

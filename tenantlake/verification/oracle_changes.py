@@ -242,9 +242,11 @@ outcome("m15_password_change", "app_user user_session password_changes", _M15,
               "f.last, u.password_changed_at) AS password_changed_at) FROM app_user u LEFT JOIN "
               "final f ON f.user_id = u.user_id",
         sessions=_ENDED.format(x="final"))
+oracle("m15_password_change_by_days", "app_user user_session password_changes",
+       _ENDED.format(x="final"), _M15)
 _GONE = "expires_at < TIMESTAMP '1998-01-01 08:00:00' OR revoked_at IS NOT NULL"
-oracle("m16_purge_sessions", "user_session",
-       f"SELECT * FROM user_session WHERE NOT ({_GONE})")
+for _name in ("m16_purge_sessions", "m16_purge_by_days"):
+    oracle(_name, "user_session", f"SELECT * FROM user_session WHERE NOT ({_GONE})")
 oracle("m16_purged_count", "user_session",
        f"SELECT count(*) AS purged FROM user_session WHERE {_GONE}")
 
