@@ -15,24 +15,24 @@ from tenantlake.streaming.logins import STATE_STORE, stream_logins
 CLOSING_ID = -1
 
 
-def _streaming_session(spark: SparkSession) -> SparkSession:
+def _streaming_session(spark: SparkSession, partitions: int | None) -> SparkSession:
     """Same application, own settings: the state store must be RocksDB.
 
-    Every state partition is a task with a Python worker in every micro-batch, so there
-    are no more of them than two per core.
+    The number of state partitions is fixed by a stream's first start and every one is a task
+    in every micro-batch, so it is chosen for the accounts, not for the cluster of the day:
+    `partitions`, or the shuffle partitions of the session.
     """
     other = spark.newSession()
     other.conf.set("spark.sql.ansi.enabled", spark.conf.get("spark.sql.ansi.enabled"))
-    most = 2 * spark.sparkContext.defaultParallelism
     other.conf.set("spark.sql.shuffle.partitions",
-                   str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most)))
+                   str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     for key, value in STATE_STORE.items():
         other.conf.set(key, value)
     return other
 
 
 def replay(attempts: DataFrame, users: DataFrame, windows: int = 3,
-           delay: str = "15 minutes") -> DataFrame:
+           delay: str = "15 minutes", state_partitions: int | None = None) -> DataFrame:
     """All attempts folded by the stream.
 
     Each window is appended to the source folder and the query is started again from its
@@ -51,7 +51,7 @@ def replay(attempts: DataFrame, users: DataFrame, windows: int = 3,
               for i in range(windows)]
     accounts = f"{folder}/users"
     users.write.parquet(accounts)
-    session = _streaming_session(spark)
+    session = _streaming_session(spark, state_partitions)
     parts = []
     for low, high in inside:
         piece = rows

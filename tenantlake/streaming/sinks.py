@@ -13,7 +13,9 @@ from tenantlake.operators.lockout import (
 from tenantlake.operators.keyed import largest_number
 from tenantlake.operators.logs import new_log_rows
 from tenantlake.schemas import USER_SESSION
-from tenantlake.sources.versions import commit_version, current_version, read_current
+from tenantlake.sources.tables import BY_DAY
+from tenantlake.sources.versions import (
+    StaleVersion, commit_version, current_version, read_current)
 
 LOG, SESSIONS, USERS, STATES = "user_login_log", "user_session", "app_user", "login_state"
 
@@ -57,26 +59,36 @@ def merge_batch(root: str, tokens: DataFrame | None = None, source: str | None =
     judges the log-ins of a batch by what is known of their companies (`company_gate`)."""
 
     def apply(folded: DataFrame, batch_id: int) -> None:
-        spark = folded.sparkSession
-        own = source or _query_id(spark)
+        own = source or _query_id(folded.sparkSession)
         folded = (gate(folded) if gate else folded).persist()
         try:
-            version = current_version(spark, root)
-            last = _last_log_number(spark, root, version)
-            rows = login_log_rows(folded)
-            states = login_states(folded).withColumn(
-                "batch", F.lit((version or {"number": 0})["number"] + 1).cast("bigint"))
-            added = {LOG: new_log_rows(None, rows, last), STATES: states}
-            if tokens is not None:
-                added[SESSIONS] = login_sessions(folded, tokens).select(*USER_SESSION.names)
-            commit_version(spark, root, {}, added, batch=f"{own}:{batch_id}",
-                           marks={LOG: last + rows.count()}, read=version)
+            while not _merged(folded, root, tokens, f"{own}:{batch_id}"):
+                pass  # another stream took these log numbers; it has published, so this ends
         finally:
             folded.unpersist()
 
     return apply
 
 
+def _merged(folded: DataFrame, root: str, tokens: DataFrame | None, batch: str) -> bool:
+    """One attempt to publish a batch, numbered after the log as it is now."""
+    spark = folded.sparkSession
+    version = current_version(spark, root)
+    last = _last_log_number(spark, root, version)
+    rows = login_log_rows(folded)
+    states = login_states(folded).withColumn(
+        "batch", F.lit((version or {"number": 0})["number"] + 1).cast("bigint"))
+    added = {LOG: new_log_rows(None, rows, last), STATES: states}
+    if tokens is not None:
+        added[SESSIONS] = login_sessions(folded, tokens).select(*USER_SESSION.names)
+    try:
+        commit_version(spark, root, {}, added, batch=batch,
+                       marks={LOG: last + rows.count()}, read=version)
+    except StaleVersion:
+        return False
+    return True
+
+
 def current_accounts(spark: SparkSession, root: str,
                      version: dict | None = None) -> DataFrame:
     """The account table with the latest login state of each account laid over it."""
@@ -92,21 +104,26 @@ def current_accounts(spark: SparkSession, root: str,
 
 
 def compact_accounts(spark: SparkSession, root: str) -> int:
-    """Write the overlaid accounts as a new snapshot and drop the states. If a batch is
-    merged meanwhile, StaleVersion is raised and nothing has changed."""
+    """Write the overlaid accounts as a new snapshot and drop the states that are in it. States
+    of batches that are merged meanwhile stay, so a busy stream does not stop it; if the
+    account table itself is replaced meanwhile, StaleVersion is raised and nothing changes."""
     version = current_version(spark, root)
     return commit_version(spark, root, {USERS: current_accounts(spark, root, version)},
-                          dropped=(STATES,), read=version)
+                          folded=(STATES,), read=version)
 
 
 def compact_appended(spark: SparkSession, root: str, names: tuple[str, ...] = (LOG, SESSIONS)
                      ) -> int:
-    """Write tables that were appended to as one snapshot each, sorted by account."""
+    """Write tables that were appended to as one snapshot each, sorted by account and time, so
+    an account with a third of the rows is many tasks. Files added meanwhile stay."""
     version = current_version(spark, root)
     held = [n for n in names if n in version["tables"]]
-    whole = {n: read_current(spark, root, n, version).repartitionByRange("user_id")
-             .sortWithinPartitions("user_id") for n in held}
-    return commit_version(spark, root, whole, read=version)
+    whole = {}
+    for n in held:
+        time, account = BY_DAY[n]
+        whole[n] = (read_current(spark, root, n, version).repartitionByRange(account, time)
+                    .sortWithinPartitions(account, time))
+    return commit_version(spark, root, {}, whole, read=version, folded=tuple(held))
 
 
 def merge_logins(folded: DataFrame, root: str, checkpoint: str,

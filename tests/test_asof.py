@@ -1,6 +1,8 @@
 """As-of look-ups, and log-ins under a company status that changes."""
 
+import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,7 +12,9 @@ from tenantlake.operators.asof import with_facts_around
 from tenantlake.schemas import APP_USER, ATTEMPTS, COMPANY
 from tenantlake.sources import versions
 from tenantlake.streaming.logins import stream_logins
-from tenantlake.streaming.sinks import merge_logins
+from tenantlake.streaming.progress import (
+    LateRows, late_rows, state_differences, stored_state)
+from tenantlake.streaming.sinks import current_accounts, merge_logins
 from tests.test_changes import company
 from tests.test_lockout import account
 
@@ -140,3 +144,45 @@ def test_the_stream_sees_the_status_of_the_moment(spark, tmp_path):
     log = versions.read_current(spark, root, "user_login_log")
     assert log.filter("event = 'LOGOUT'").count() == gated.filter(
         "code = 'COMPANY_SUSPENDED'").count() > 0
+
+
+def test_late_rows_are_written_down_and_strangers_leave_no_state(spark, tmp_path):
+    """Planted late rows are found batch by batch; what is left of state is the accounts."""
+    rnd = random.Random(2)
+    users = [account(f"u{i}", failed=i % 2) for i in range(4)]
+    table = spark.createDataFrame(users, APP_USER)
+    root, late_path = f"{tmp_path}/tables", f"{tmp_path}/late"
+    versions.commit_version(spark, root, {"app_user": table})
+    listener = LateRows(spark, late_path)
+    spark.streams.addListener(listener)
+    tried = [(i, f"u{rnd.randrange(7)}", at(rnd.randrange(7200)), rnd.random() < 0.3)
+             for i in range(150)]
+    planted = [(900 + i, f"u{i}", at(5 * i), False) for i in range(6)]
+    closing = [(999, "u0", T0 + timedelta(days=1), True)]
+    last = [(1000, "stranger", T0 + timedelta(days=2), True)]
+    try:
+        for rows in (tried, closing, planted, last):
+            spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(
+                f"{tmp_path}/in")
+            folded = stream_logins(
+                spark.readStream.schema(ATTEMPTS).parquet(f"{tmp_path}/in"), table)
+            query = merge_logins(folded, root, f"{tmp_path}/cp", availableNow=True)
+            query.awaitTermination(200)
+        for _ in range(100):
+            found = late_rows(spark, late_path).filter("rows_late > 0").collect() if (
+                os.path.exists(late_path)) else []
+            if found:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [r.rows_late for r in found] == [6] and found[0].query_id == str(query.id)
+    checkpoint = f"{tmp_path}/cp"
+    kept = {r.user_id for r in stored_state(spark, checkpoint, "account").collect()}
+    assert kept == {u["user_id"] for u in users}
+    waiting = {r.user_id for r in stored_state(spark, checkpoint, "pending").collect()}
+    assert waiting <= {"stranger"}
+    accounts = current_accounts(spark, root)
+    assert state_differences(spark, checkpoint, accounts).count() == 0
+    odd = state_differences(spark, checkpoint, table.filter("user_id <> 'u3'")).collect()
+    assert {(r.user_id, r.side) for r in odd} >= {("u3", "state")}

@@ -311,7 +311,7 @@ def test_new_checkpoint_is_a_new_source(spark, tmp_path):
 
 
 def test_compaction_beside_a_batch(spark, tmp_path, monkeypatch):
-    """A batch that is merged while accounts are compacted stays; compaction is redone."""
+    """A batch that is merged while accounts are compacted stays, and so does the snapshot."""
     root = str(tmp_path)
     users = spark.createDataFrame([account("a")], APP_USER)
     versions.commit_version(spark, root, {"app_user": users})
@@ -327,14 +327,61 @@ def test_compaction_beside_a_batch(spark, tmp_path, monkeypatch):
         return publish(*args)
 
     monkeypatch.setattr(versions, "_publish", between)
-    with pytest.raises(versions.StaleVersion):
-        compact_accounts(spark, root)
+    compact_accounts(spark, root)
+    assert versions.read_current(spark, root, "app_user").first().failed_count == 1
+    assert len(versions.current_version(spark, root)["tables"]["login_state"]) == 1
     assert current_accounts(spark, root).first().failed_count == 2
+    merged.clear()
+    compact_appended(spark, root)
+    assert len(versions.current_version(spark, root)["tables"]["user_login_log"]) == 1
     compact_accounts(spark, root)
+    assert "login_state" not in versions.current_version(spark, root)["tables"]
     assert versions.read_current(spark, root, "app_user").first().failed_count == 2
     assert versions.read_current(spark, root, "user_login_log").count() == 3
 
 
+def test_compaction_does_not_undo_another_snapshot(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    users = spark.createDataFrame([account("a")], APP_USER)
+    versions.commit_version(spark, root, {"app_user": users})
+    merge_batch(root, source="q")(lockout.fold_logins(users, tries(spark, ("a", 0, False))), 0)
+    publish, done = versions._publish, []
+
+    def between(*args):
+        if not done:
+            done.append(True)
+            versions.commit_version(spark, root, {"app_user": users.union(
+                spark.createDataFrame([account("b")], APP_USER))})
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "_publish", between)
+    with pytest.raises(versions.StaleVersion):
+        compact_accounts(spark, root)
+    assert versions.read_current(spark, root, "app_user").count() == 2
+
+
+def test_two_streams_number_one_log(spark, tmp_path, monkeypatch):
+    """Both start from one version; the second takes the numbers after those of the first."""
+    root = str(tmp_path)
+    users = spark.createDataFrame([account("a"), account("b")], APP_USER)
+    versions.commit_version(spark, root, {"app_user": users})
+    publish, inside = versions._publish, []
+
+    def between(*args):
+        if not inside:
+            inside.append(True)
+            merge_batch(root, source="q1")(
+                lockout.fold_logins(users, tries(spark, ("a", 0, False), ("a", 1, False))), 0)
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "_publish", between)
+    merge_batch(root, source="q2")(
+        lockout.fold_logins(users, tries(spark, ("b", 2, False))), 0)
+    log = versions.read_current(spark, root, "user_login_log").collect()
+    assert sorted((r.log_id, r.user_id) for r in log) == [(1, "a"), (2, "a"), (3, "b")]
+    assert versions.current_version(spark, root)["marks"] == {"user_login_log": 3}
+
+
 def test_missing_counter_is_zero(spark):
     users = spark.createDataFrame([account("a", failed=None), account("b")], APP_USER)
     folded = lockout.fold_logins(users, tries(spark, ("a", 0, False), ("b", 0, False)))
