@@ -407,12 +407,24 @@ def _(t):
     return load_access_events(t.spark, f"{stored(t, 'access_event')}/access_event")
 
 
+def _broken_users(t):
+    """The same mails twice and cut-off names show every kind of finding."""
+    return t["app_user"].withColumn("email", F.concat("company_id", F.lit("@x.test"))) \
+        .withColumn("display_name", F.nullif("display_name", F.lit("Customer#000000007")))
+
+
 @query("c4_contract_company_user")
 def _(t):
-    # The same mails twice and cut-off names show every kind of finding.
-    broken = t["app_user"].withColumn("email", F.concat("company_id", F.lit("@x.test"))) \
-        .withColumn("display_name", F.nullif("display_name", F.lit("Customer#000000007")))
-    return contracts.contract_findings(broken, CONTRACTS["app_user"])
+    return contracts.contract_findings(_broken_users(t), CONTRACTS["app_user"])
+
+
+@query("c4_contract_of_new_users")
+def _(t):
+    """Accounts that were never signed in are the batch, the others the table."""
+    users = _broken_users(t)
+    new = F.col("last_login_at").isNull()
+    return contracts.batch_findings(users.filter(~new), users.filter(new),
+                                    CONTRACTS["app_user"])
 
 
 @query("c4_contract_invite")

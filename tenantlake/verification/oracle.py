@@ -311,16 +311,23 @@ def _repeated(table: str, source: str, c: str) -> str:
             f"NOT NULL GROUP BY {c} HAVING count(*) > 1")
 
 
+_USER_LENGTHS = {"user_id": 50, "display_name": 100, "password_hash": 255, "role": 20,
+                 "status": 20, "approved_by": 50, "email": 190, "company_id": 50}
+_BROKEN = ("broken AS (SELECT * REPLACE (CASE WHEN company_id IS NOT NULL THEN concat("
+           "company_id, '@x.test') END AS email, nullif(display_name, 'Customer#000000007') AS "
+           "display_name) FROM app_user)")
 oracle("c4_contract_company_user", "app_user",
-       _long("app_user", "broken", "user_id", {
-           "user_id": 50, "display_name": 100, "password_hash": 255, "role": 20,
-           "status": 20, "approved_by": 50, "email": 190, "company_id": 50}) +
+       _long("app_user", "broken", "user_id", _USER_LENGTHS) +
        " UNION ALL SELECT 'app_user', 'NOT_NULL', 'display_name', user_id, 1 FROM broken WHERE "
        "display_name IS NULL UNION ALL " + _repeated("app_user", "broken", "user_id") +
-       " UNION ALL " + _repeated("app_user", "broken", "email"),
-       "broken AS (SELECT * REPLACE (CASE WHEN company_id IS NOT NULL THEN concat(company_id, "
-       "'@x.test') END AS email, nullif(display_name, 'Customer#000000007') AS display_name) "
-       "FROM app_user)")
+       " UNION ALL " + _repeated("app_user", "broken", "email"), _BROKEN)
+oracle("c4_contract_of_new_users", "app_user",
+       _long("app_user", "fresh", "user_id", _USER_LENGTHS) +
+       " UNION ALL SELECT 'app_user', 'NOT_NULL', 'display_name', user_id, 1 FROM fresh WHERE "
+       "display_name IS NULL" + "".join(
+           f" UNION ALL SELECT * FROM ({_repeated('app_user', 'broken', c)}) AS x(t, r, c, v, n) "
+           f"WHERE v IN (SELECT {c} FROM fresh)" for c in ("user_id", "email")),
+       _BROKEN + ", fresh AS (SELECT * FROM broken WHERE last_login_at IS NULL)")
 oracle("c4_contract_invite", "invite",
        _long("invite", "broken", "token", {"token": 43, "company_id": 50, "email": 190,
                                            "role": 20, "invited_by": 190}) +

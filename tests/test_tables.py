@@ -3,6 +3,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tenantlake.operators import contracts, keyed
 from tenantlake.schemas import (
@@ -27,6 +28,31 @@ def test_contract_findings(spark):
         ("TOO_LONG", "user_id", "u" * 51, 1)}
 
 
+def test_a_batch_is_checked_without_moving_the_table(spark, tmp_path):
+    """Findings of a batch are those of the whole table that name its rows or values."""
+    old = [user(f"o{i}", email=f"m{i}@x") for i in range(30)] + [user("o3", email="m99@x")]
+    fresh = [user("o3", email="n@x"), user("n1", email="m5@x"), user("n2", email="m5@x"),
+             user("n3", email=None), user("n" * 51), {**user("n5", email="z@x"), "role": None}]
+    spark.createDataFrame(old, APP_USER).write.parquet(f"{tmp_path}/old")
+    table, new = spark.read.parquet(f"{tmp_path}/old"), spark.createDataFrame(fresh, APP_USER)
+    found = contracts.batch_findings(table, new, CONTRACTS["app_user"])
+    got = {(r.rule, r.column_name, r.key_value, r.n) for r in found.collect()}
+    assert got == {("NOT_UNIQUE", "user_id", "o3", 3), ("NOT_UNIQUE", "email", "m5@x", 3),
+                   ("TOO_LONG", "user_id", "n" * 51, 1), ("NOT_NULL", "role", "n5", 1)}
+    whole = findings(table.unionByName(new), "app_user")
+    assert got <= whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    firms = spark.createDataFrame([company(1)], COMPANY)
+    lost = contracts.batch_orphans(new.withColumn("company_id", F.when(
+        F.col("user_id") == "n1", "C0007").otherwise("C0001")), firms, "company_id")
+    assert [r.user_id for r in lost.collect()] == ["n1"] and lost.columns == new.columns
+    watched, figures = contracts.observed(new, CONTRACTS["app_user"])
+    watched.write.parquet(f"{tmp_path}/new")
+    assert figures.get["rows"] == 6 and figures.get["null_role"] == 1
+    assert contracts.batch_findings(table, new.filter("false"), CONTRACTS["app_user"]).count() == 0
+
+
 def test_foreign_keys_and_cascade(spark):
     people = spark.createDataFrame([user("a"), user("b")], APP_USER)
     held = spark.createDataFrame([session("1", "a"), session("2", "b"), session("3", "x")],
