@@ -27,7 +27,9 @@ from tenantlake.operators.logs import by, log_row
 from tenantlake.operators.outcome import ORDER, Outcome, applied_once, settle
 from tenantlake.session import ship_package
 
-SET_ROLE, REMOVE, SET_ACTIVE = "role", "remove", "active"
+SET_ROLE, REMOVE, SET_ACTIVE = OPS = ("role", "remove", "active")
+#: A change of the account's status: takes part in the fold and is not judged.
+SET_STATUS = "status"
 _MEMBER = ["company_id", "email"]
 
 
@@ -49,6 +51,9 @@ class _Company:
     def apply(self, email: str, op: str, role: str | None, active: bool) -> bool:
         """Apply one request; False when it would leave the company without an admin."""
         held = self.role[email]
+        if op == SET_STATUS:
+            self.put(email, held, active)
+            return True
         takes_away = (role != "admin") if op == SET_ROLE else (op == REMOVE or not active)
         if held == "admin" and takes_away:
             others = len(self.active_admins) - (email in self.active_admins)
@@ -77,8 +82,9 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "_kept": pd.Series(ok, dtype="bool")})
 
 
-def _last_admin_verdicts(valid: DataFrame, users: DataFrame) -> DataFrame:
-    """request_id, _kept for the requests that need the fold."""
+def last_admin_verdicts(valid: DataFrame, users: DataFrame) -> DataFrame:
+    """request_id, _kept for the requests that need the fold. `valid`: ORDER, company_id, email,
+    op, role, active, and u_role, u_status of the member before the batch."""
     makes_admin = (F.col("op") == SET_ROLE) & (F.col("role") == "admin")
     touched = valid.groupBy(*_MEMBER).agg(
         F.first("u_role").alias("u_role"), F.first("u_status").alias("u_status"),
@@ -129,7 +135,7 @@ def change_members(users: DataFrame, sessions: DataFrame, requests: DataFrame) -
     known = staged.join(people, _MEMBER, "left").withColumn("_early", F.coalesce(
         "_early", F.when(F.col("u_id").isNull(), F.lit("MEMBER_NOT_FOUND"))))
     known = settle(known)
-    folded = _last_admin_verdicts(known.filter(F.col("_early").isNull()), users)
+    folded = last_admin_verdicts(known.filter(F.col("_early").isNull()), users)
     judged = known.join(folded, "request_id", "left")
     error = F.coalesce("_early", F.when(~F.coalesce("_kept", F.lit(True)),
                                         F.lit("LAST_ADMIN")))
