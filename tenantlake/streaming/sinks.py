@@ -10,14 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tenantlake.operators.lockout import (
     login_log_rows, login_sessions, login_states, with_login_states)
-from tenantlake.operators.keyed import largest_number
 from tenantlake.operators.logs import new_log_rows
 from tenantlake.schemas import USER_SESSION
+from tenantlake.sources.outcomes import LOG, last_log_number
 from tenantlake.sources.tables import BY_DAY
 from tenantlake.sources.versions import (
     StaleVersion, commit_version, current_version, read_current)
 
-LOG, SESSIONS, USERS, STATES = "user_login_log", "user_session", "app_user", "login_state"
+SESSIONS, USERS, STATES = "user_session", "app_user", "login_state"
 
 
 def append_log_files(log_rows: DataFrame, path: str, checkpoint: str,
@@ -28,15 +28,6 @@ def append_log_files(log_rows: DataFrame, path: str, checkpoint: str,
             .trigger(**trigger).start())
 
 
-def _last_log_number(spark: SparkSession, root: str, version: dict | None) -> int:
-    """Kept with the version; read from the log only before the first batch."""
-    if version is None or LOG not in version["tables"]:
-        return 0
-    if LOG in version["marks"]:
-        return version["marks"][LOG]
-    return largest_number(read_current(spark, root, LOG), "log_id").first().top
-
-
 def _query_id(spark: SparkSession) -> str:
     """Id of the streaming query that runs the batch; it lives in the query's checkpoint."""
     found = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -74,7 +65,7 @@ def _merged(folded: DataFrame, root: str, tokens: DataFrame | None, batch: str)
     """One attempt to publish a batch, numbered after the log as it is now."""
     spark = folded.sparkSession
     version = current_version(spark, root)
-    last = _last_log_number(spark, root, version)
+    last = last_log_number(spark, root, version)
     rows = login_log_rows(folded)
     states = login_states(folded).withColumn(
         "batch", F.lit((version or {"number": 0})["number"] + 1).cast("bigint"))

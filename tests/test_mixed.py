@@ -6,8 +6,10 @@ from datetime import timedelta
 
 import pytest
 
-from tenantlake.operators import mixed
+from tenantlake.operators import accounts, mixed
 from tenantlake.schemas import APP_USER, USER_SESSION
+from tenantlake.sources import versions
+from tenantlake.sources.outcomes import commit_outcome
 from tests.model import Tables
 from tests.test_changes import T0, world
 
@@ -92,6 +94,36 @@ def test_mixed_batches_equal_the_loop(spark, seed, n):
     assert told == sorted((u, e, d or "", t) for u, e, d, t in tables.log)
 
 
+def test_an_outcome_is_committed_with_its_log(spark, tmp_path):
+    root = str(tmp_path)
+    people, _, held, _ = world(random.Random(5))
+    versions.commit_version(spark, root, {
+        "app_user": spark.createDataFrame(people, APP_USER),
+        "user_session": spark.createDataFrame(held, USER_SESSION)})
+    ask = "request_id long, request_ts timestamp_ntz, actor string, user_id string, status string"
+
+    def outcome(*who):
+        return accounts.set_account_status(
+            versions.read_current(spark, root, "app_user"),
+            versions.read_current(spark, root, "user_session"),
+            spark.createDataFrame([(i, T0 + timedelta(days=9 + i), "x", u, "DISABLED")
+                                   for i, u in enumerate(who)], ask))
+
+    first, stale = outcome("u0@d1.test", "u1@d2.test"), versions.current_version(spark, root)
+    assert commit_outcome(spark, root, first, batch="ops:1") == 2
+    assert commit_outcome(spark, root, first, batch="ops:1") == 2
+    assert commit_outcome(spark, root, outcome("nobody")) == 2
+    assert commit_outcome(spark, root, outcome("u2@d3.test"), batch="ops:2") == 3
+    log = versions.read_current(spark, root, "user_login_log").collect()
+    assert sorted((r.log_id, r.user_id) for r in log) == [
+        (1, "u0@d1.test"), (2, "u1@d2.test"), (3, "u2@d3.test")]
+    stopped = versions.read_current(spark, root, "app_user").filter("approved_by = 'x'")
+    assert stopped.count() == 3
+    with pytest.raises(versions.StaleVersion):
+        commit_outcome(spark, root, outcome("u3@d1.test"), read=stale)
+    assert versions.current_version(spark, root)["number"] == 3
+
+
 def test_requests_of_no_kind_are_rejected(spark):
     people, _, held, _ = world(random.Random(4))
     asked = [dict.fromkeys((c.split()[0] for c in mixed.REQUEST.split(", ")), None) | {
