@@ -2,17 +2,17 @@
 
 A phrase is 1 to `LONGEST` words within a piece of text, a piece ends at sentence marks and line
 ends; A-Z are folded and every language counts alone. For each length, a prefix keys a stripe:
-the associative counter of the words that come next. Tasks sum their own stripes and cut them
-into `SHARDS` parts by the hash of the next word; parts of one prefix are added up element by
-element where the shuffle brings them together, so the stripe of a word that is everywhere is
-spread over as many tasks. From the merged stripes come the extensions (prefix + next word),
+the associative counter of the words that come next. Tasks sum their own stripes and deal them
+to `SHARDS` shards, by prefix and by parts of the next words; parts of one prefix are added up
+element by element where the shuffle brings a shard together, so the stripe of a word that is
+everywhere is spread over many tasks. From the merged stripes come the extensions (prefix + next word),
 the totals of prefixes and rests, and the largest extension of every phrase, which decides
 whether a longer phrase subsumes it.
 
-Lengths are counted one after another. A phrase can only be frequent if its prefix and its rest
-are, so the next length counts only where both pass a bitmap of the frequent phrases, which has
-2 ** `filter_bits` bits at every size of the input; what passes wrongly is counted and dropped.
-Words are known by hashes of 64 bits, phrases by those of all their words. Scores are exact.
+A phrase can only be frequent if its parts are, so pairs are counted only where both words pass
+a bitmap of the frequent words, and longer phrases only where all their pairs pass one of the
+frequent pairs: three passes over the texts. A bitmap has 2 ** `filter_bits` bits at every size
+of the input; what passes wrongly is counted and dropped. Words are known by hashes of 64 bits, phrases by those of all their words. Scores are exact.
 
 Null and empty texts have no words, a null language is `und`. Repeated rows count as often as
 they come. An empty table gives no row. Other columns of the input are ignored.
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from tenantlake.llm.frame import bit_filter, map_arrow, settled
 from tenantlake.llm.textkit import (
-    LOWER, chunks, mixed, span_hashes, window_hashes, words_of)
+    LOWER, Words, chunks, mixed, span_hashes, window_hashes, words_of)
 
 LONGEST = 5
-SHARDS = 8
+PASSES = ((1,), (2,), tuple(range(3, LONGEST + 1)))
+SHARDS = 1 << 13
 FILTER_BITS = 26
-FLUSH = 1 << 20
+FLUSH = 1 << 21
 SALTS = 64
 
 _ENDS = np.zeros(256, bool)
@@ -44,8 +45,6 @@ _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
 
-_STRIPE = ("lang string, prefix array<bigint>, shard int, next array<bigint>, "
-           "n array<bigint>, spelled array<string>")
 _UNKNOWN = "und"
 
 
@@ -56,6 +55,11 @@ def _lang_hash(langs: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(b"".join(spelled), np.uint8), bounds[:-1], bounds[1:])
 
 
+def _columns(length: int) -> list[str]:
+    """Words of the prefix, the next word, its count; single words are spelled out."""
+    return [f"w{i}" for i in range(length)] + ["n"] + ["spelled"] * (length == 1)
+
+
 def phrase_hashes(words: np.ndarray, lang: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all phrases of `length` words, in the language of their first word."""
     return mixed(window_hashes(words, length) ^ lang[:max(0, len(words) - length + 1)])
@@ -67,6 +71,9 @@ class _Stripes:
     def __init__(self, length: int):
         self.length, self.size, self.held, self.langs = length, 0, [], {}
 
+    def clear(self) -> None:
+        self.size, self.held = 0, []
+
     def add(self, lang: np.ndarray, columns: list[np.ndarray], spelled: np.ndarray | None):
         self.held.append((lang, columns, spelled))
         self.size += len(lang)
@@ -74,89 +81,95 @@ class _Stripes:
     def code(self, lang: str) -> int:
         return self.langs.setdefault(lang, len(self.langs))
 
-    def batch(self) -> pa.RecordBatch:
-        """Stripes of equal prefixes side by side. Rows are ordered by hashes and told apart by
-        their words, so a collision may leave two parts of a stripe, to be added up later."""
+    def batch(self, longest: int) -> pa.RecordBatch:
+        """Stripes side by side, one row for each language and shard; words a phrase does not
+        have are null. They are ordered by
+        hashes and told apart by their words, so a collision may leave two parts of a stripe,
+        to be added up later."""
         lang = np.concatenate([h[0] for h in self.held])
         columns = [np.concatenate([h[1][i] for h in self.held]) for i in range(self.length)]
-        prefix = mixed(lang.astype(np.uint64) + np.uint64(1))
+        prefix = np.full(len(lang), 1, np.uint64)
         for column in columns[:-1]:
             prefix = mixed(prefix * np.uint64(3) + column)
-        half = np.uint64(32)
-        order = np.argsort((prefix >> half << half) | (columns[-1] >> half))
-        lang, columns = lang[order], [c[order] for c in columns]
-        shard = (columns[-1] >> np.uint64(64 - SHARDS.bit_length() + 1)).astype(np.int32)
+        shard = ((prefix >> np.uint64(13)) + (columns[-1] >> np.uint64(51))) & np.uint64(
+            SHARDS - 1)
+        order = np.argsort((shard << np.uint64(51)) | (prefix >> np.uint64(38) << np.uint64(25))
+                           | (columns[-1] >> np.uint64(39)))
+        small = np.int16 if len(self.langs) < 1 << 15 else np.int64
+        order = order[np.argsort(lang[order].astype(small), kind="stable")]
+        lang, shard, columns = lang[order], shard[order], [c[order] for c in columns]
         fresh = np.ones(len(lang) + 1, bool)
-        fresh[1:-1] = lang[1:] != lang[:-1]
-        for column in columns[:-1]:
+        fresh[1:-1] = (lang[1:] != lang[:-1]) | (shard[1:] != shard[:-1])
+        rows = np.flatnonzero(fresh)
+        for column in columns:
             fresh[1:-1] |= column[1:] != column[:-1]
-        fresh[1:-1] |= shard[1:] != shard[:-1]
-        stripes = np.flatnonzero(fresh)
-        fresh[1:-1] |= columns[-1][1:] != columns[-1][:-1]
         entries = np.flatnonzero(fresh)
-        heads, first = stripes[:-1], entries[:-1]
-        offsets = pa.array(np.searchsorted(entries, stripes), pa.int32())
+        first = entries[:-1]
+        offsets = pa.array(np.searchsorted(entries, rows), pa.int32())
         names = pa.array(list(self.langs), pa.string())
-        before = self.length - 1
-        prefixes = np.stack([c[heads] for c in columns[:-1]], axis=1).ravel() if before else (
-            np.zeros(0, np.uint64))
-        spelled = pa.nulls(len(first), pa.string())
+        lists = [pa.array(c[first].view(np.int64)) for c in columns]
+        lists += [pa.nulls(len(first), pa.int64())] * (longest - self.length)
+        lists.append(pa.array(np.diff(entries), pa.int32()))
         if self.held[0][2] is not None:
-            spelled = pa.array(np.concatenate([h[2] for h in self.held])[order][first],
-                               pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([
-            names.take(pa.array(lang[heads])),
-            pa.ListArray.from_arrays(
-                pa.array(np.arange(len(heads) + 1) * before, pa.int32()),
-                pa.array(prefixes.view(np.int64))),
-            pa.array(shard[heads]),
-            pa.ListArray.from_arrays(offsets, pa.array(columns[-1][first].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.diff(entries))),
-            pa.ListArray.from_arrays(offsets, spelled),
-        ], names=["lang", "prefix", "shard", "next", "n", "spelled"])
-
-
-def _counter(length: int, known):
+            lists.append(pa.array(np.concatenate([h[2] for h in self.held])[order][first],
+                                  pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [names.take(pa.array(lang[rows[:-1]])), pa.array(shard[rows[:-1]].astype(np.int32)),
+             *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+            names=["lang", "shard", *_columns(longest)])
+
+
+def _counter(lengths: tuple[int, ...], known):
+    """Counts phrases of some lengths; `known` passes all parts of one length below them."""
+    part_length = lengths[0] - 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Stripes(length)
+        stripes = [_Stripes(length) for length in lengths]
         for batch in batches:
             for part, texts in chunks(batch):
                 words = words_of(texts, _WORD, LOWER)
-                n = len(words.starts) - length + 1
-                if n <= 0:
+                if len(words.starts) < lengths[0]:
                     continue
                 encoded = pc.fill_null(part.column("lang"), _UNKNOWN).dictionary_encode()
                 names = encoded.dictionary.to_pylist()
-                text_lang = encoded.indices.to_numpy()
-                lang = text_lang[words.text_of_word]
+                lang = encoded.indices.to_numpy()[words.text_of_word]
                 hashes = words.hashes()
                 piece = np.cumsum(_ENDS[words.data])[words.starts]
-                good = piece[:n] == piece[length - 1:]
+                good = np.ones(len(piece), bool)
                 if known is not None:
-                    shorter = known.value.has(phrase_hashes(
-                        hashes, _lang_hash(names)[lang], length - 1))
-                    good &= shorter[:n] & shorter[1:]
-                at = np.flatnonzero(good)
-                if not len(at):
-                    continue
-                spelled = None
-                if length == 1:
-                    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-                    data = words.data.tobytes()
-                    forms = np.array([data[s:e] for s, e in zip(
-                        words.starts[first].tolist(), words.ends[first].tolist())], object)
-                    spelled = forms[back]
-                codes = np.array([held.code(x) for x in names])
-                held.add(codes[lang[at]], [hashes[at + i] for i in range(length)], spelled)
-                if held.size >= FLUSH:
-                    yield held.batch()
-                    held = _Stripes(length)
-        if held.size:
-            yield held.batch()
+                    good = parts = known.value.has(
+                        phrase_hashes(hashes, _lang_hash(names)[lang], part_length))
+                for held in stripes:
+                    length, n = held.length, len(piece) - held.length + 1
+                    if n <= 0:
+                        break
+                    if known is not None:
+                        good = good[:n] & parts[length - part_length:][:n]
+                    at = np.flatnonzero(good[:n] & (piece[:n] == piece[length - 1:]))
+                    if not len(at):
+                        continue
+                    codes = np.array([held.code(x) for x in names])
+                    held.add(codes[lang[at]], [hashes[at + i] for i in range(length)],
+                             _spelled(words, hashes) if length == 1 else None)
+                    if held.size >= FLUSH:
+                        yield held.batch(lengths[-1])
+                        held.clear()
+        for held in stripes:
+            if held.size:
+                yield held.batch(lengths[-1])
 
     return count
 
 
+def _spelled(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """Every word as bytes, equal ones as one object."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    data = words.data.tobytes()
+    forms = np.array([data[s:e] for s, e in zip(
+        words.starts[first].tolist(), words.ends[first].tolist())], object)
+    return forms[back]
+
+
 def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -170,34 +183,37 @@ def _hash_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["hash"])
 
 
-def merged_stripes(docs: DataFrame, length: int, known=None) -> DataFrame:
+def merged_stripes(docs: DataFrame, lengths: tuple[int, ...], known=None) -> DataFrame:
     """lang, phrase (hashes of its words), n, and the word itself for length 1: the stripes of
     all prefixes, added up element by element."""
+    names = _columns(lengths[-1])
+    kinds = {"n": "array<int>", "spelled": "array<string>"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'array<bigint>')}" for c in names)
     parts = map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), "text"),
-                      _counter(length, known), _STRIPE)
-    entry = F.explode(F.arrays_zip("next", "n", "spelled")).alias("entry")
-    entries = (parts.repartition("lang", "prefix", "shard")
-               .select("lang", "prefix", "shard", entry)
-               .select("lang", "prefix", "shard", "entry.*"))
-    return (entries.groupBy("lang", "prefix", "shard", "next", "spelled")
-            .agg(F.sum("n").alias("n"))
-            .select("lang", F.concat("prefix", F.array("next")).alias("phrase"), "n", "spelled"))
+                      _counter(lengths, known), f"lang string, shard int, {schema}")
+    entries = (parts.repartition("shard")
+               .select("lang", "shard", F.explode(F.arrays_zip(*names)).alias("entry"))
+               .select("lang", "shard", "entry.*"))
+    keys = [c for c in names if c != "n"]
+    words = F.array_compact(F.array(*[F.col(c) for c in names if c.startswith("w")]))
+    spelled = F.col("spelled") if lengths == (1,) else F.lit(None).cast("string")
+    return (entries.groupBy("lang", "shard", *keys).agg(F.sum("n").alias("n"))
+            .select("lang", words.alias("phrase"), "n", spelled.alias("spelled")))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int,
                      filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to LONGEST words with `min_count` occurrences or more, and words a language."""
-    words = settled(merged_stripes(docs, 1), "words")
+    words = settled(merged_stripes(docs, PASSES[0]), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    levels = [words.filter(F.col("n") >= min_count)]
-    known = None
-    for length in range(2, LONGEST + 1):
+    levels, known = [words.filter(F.col("n") >= min_count)], None
+    for lengths in PASSES[1:]:
         if known is not None:
             known.unpersist()
         known = bit_filter(map_arrow(levels[-1].select("lang", "phrase"), _hash_phrases,
                                      "hash bigint"), "hash", filter_bits)
-        found = merged_stripes(docs, length, known).filter(F.col("n") >= min_count)
-        levels.append(settled(found, f"phrases{length}"))
+        found = merged_stripes(docs, lengths, known).filter(F.col("n") >= min_count)
+        levels.append(settled(found, f"phrases{lengths[0]}"))
     return reduce(DataFrame.unionByName, levels), totals
 
 
