@@ -11,6 +11,10 @@ start. A window that lies in a matching line or sentence, or holds one of the sa
 that notice and not a further one. Of windows that overlap the one with the largest coefficient
 is reported of each template, and of these the one that shares most bigrams. Only DataFrame expressions are used.
 
+Time grows with the length of a text, also of one that repeats a notice without end: a start
+looks at no more places than can matter to it, and windows are compared with those they hang
+together with. What is quadratic is a chain of windows that all overlap their neighbours.
+
 Bigrams are sets: a repeated bigram counts once. Null and empty texts and passages of one
 word have no bigrams and match nothing. Repeated documents give repeated rows; of templates
 that tie in a passage the first by name wins. Templates are a parameter of a few rows. Other
@@ -238,14 +242,51 @@ def license_matches(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> D
             .agg(dice.alias("dice")).filter(F.col("dice") >= least))
 
 
-def _apart(ranked: Column, none: Column) -> Column:
-    """Windows that overlap none before them."""
-    return F.aggregate(ranked, none, lambda acc, x: F.when(
+def _apart(windows: DataFrame, key: list[str]) -> DataFrame:
+    """Those of the windows of a key that overlap none that ranks before them.
+
+    Windows are columns of a struct `w` with `start` and `end`, ranked by the struct. Only
+    windows that hang together by overlaps are compared with each other.
+    """
+    along = Window.partitionBy(*key).orderBy("w.start", "w.end")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("w.end").over(before) >= F.col("w.start"), F.lit(False))
+    chained = (windows.withColumn("opens", (~reached).cast("int"))
+               .withColumn("chain", F.sum("opens").over(along)))
+    ranked = chained.groupBy(*key, "chain").agg(
+        F.array_sort(F.collect_list("w")).alias("all"))
+    none = F.array().cast(ranked.schema["all"].dataType)
+    kept = F.aggregate("all", none, lambda acc, x: F.when(
         F.exists(acc, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"])), acc)
         .otherwise(F.concat(acc, F.array(x))))
+    return ranked.select(*key, F.explode(kept).alias("w"))
 
 
-def _best_windows(places: Column, size: Column, least: float) -> Column:
+def _stretches(places: Column, reach: Column, kind: str) -> Column:
+    """`places` in steps of `reach`, each with what windows that start in it can gain later.
+
+    After a step that is the first place of every bigram from there on, and of these the first
+    `reach`: a window with more distinct bigrams than that matches nothing. So a start looks
+    at no more than twice `reach` places, however often the text repeats itself.
+    """
+
+    def add(acc: Column, at: Column) -> Column:
+        own, first = F.slice(places, at, reach), F.get(places, at - 1)["pos"]
+        # Made twice, since a lambda that binds it would copy all that was gathered.
+        near = F.concat(own, acc["later"])
+        later = F.filter(near, lambda x: x["prev"].isNull() | (x["prev"] < first))
+        return F.struct(
+            F.slice(later, F.lit(1), reach).alias("later"),
+            F.concat(acc["all"], F.array(F.struct(
+                near.alias("near"), F.size(own).alias("own")))).alias("all"))
+
+    zero = F.struct(F.array().cast(kind).alias("later"),
+                    F.array().cast(f"array<struct<near: {kind}, own: int>>").alias("all"))
+    return F.aggregate(F.reverse(F.sequence(F.lit(1), F.size(places), reach)), zero, add,
+                       lambda acc: acc["all"])
+
+
+def _best_windows(places: Column, size: Column, least: float, kind: str) -> Column:
     """The best window of every start: shared, dice, start, end and its words.
 
     Another shared bigram on the left never lowers the coefficient, so windows start where a
@@ -253,8 +294,8 @@ def _best_windows(places: Column, size: Column, least: float) -> Column:
     where the place before (`prev`) lies ahead of the start.
     """
 
-    def from_start(i: Column) -> Column:
-        start = F.get(places, i - 1)["pos"]
+    def from_start(near: Column, i: Column) -> Column:
+        start = F.get(near, i - 1)["pos"]
 
         def step(acc: Column, x: Column) -> Column:
             new = F.when(x["prev"].isNull() | (x["prev"] < start), 1).otherwise(0)
@@ -269,27 +310,38 @@ def _best_windows(places: Column, size: Column, least: float) -> Column:
                 F.when(more, x["pos"]).otherwise(acc["end"]).alias("end"))
 
         def done(acc: Column) -> Column:
-            inside = F.slice(places, i, acc["end"] - start + 1)
-            words = F.concat(
-                F.array_join(F.transform(
-                    inside, lambda x: F.substring_index(x["gram"], " ", 1)), " "),
-                F.lit(" "), F.substring_index(F.element_at(inside, -1)["gram"], " ", -1))
             return F.struct((-acc["dice"]).alias("worse"), (-acc["shared"]).alias("rank"),
-                            start.alias("start"), acc["end"].alias("end"),
-                            F.when(acc["dice"] >= least, words).alias("words"))
+                            start.alias("start"), acc["end"].alias("end"))
 
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("dice"),
                         F.lit(0).alias("shared"), start.alias("end"))
-        return F.aggregate(F.slice(places, i, F.size(places)), zero, step, done)
-
-    starts = F.filter(F.sequence(F.lit(1), F.size(places)), lambda i: F.get(
-        places, i - 1)["hit"] & ~F.coalesce(F.get(places, i - 2)["hit"], F.lit(False)))
-    return F.filter(F.transform(starts, from_start), lambda w: w["words"].isNotNull())
+        return F.aggregate(F.slice(near, i, F.size(near)), zero, step, done)
+
+    def of_stretch(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), s["own"]),
+                          lambda i: F.get(s["near"], i - 1)["opens"])
+        return F.filter(F.transform(starts, lambda i: from_start(s["near"], i)),
+                        lambda w: -w["worse"] >= least)
+
+    def with_words(w: Column) -> Column:
+        inside = F.slice(places, w["start"] - F.get(places, F.lit(0))["pos"] + 1,
+                         w["end"] - w["start"] + 1)
+        words = F.concat(
+            F.array_join(F.transform(
+                inside, lambda x: F.substring_index(x["gram"], " ", 1)), " "),
+            F.lit(" "), F.substring_index(F.get(places, w["end"] - F.get(
+                places, F.lit(0))["pos"])["gram"], " ", -1))
+        return F.struct(w["worse"].alias("worse"), w["rank"].alias("rank"),
+                        w["start"].alias("start"), w["end"].alias("end"), words.alias("words"))
+
+    reach = (F.floor((2 / least - 1) * size + 1e-9) + 1).cast("int")
+    return F.transform(F.flatten(F.transform(_stretches(places, reach, kind), of_stretch)),
+                       with_words)
 
 
 def window_matches(docs: DataFrame, wanted: DataFrame, pairs: DataFrame,
                    least: float = 0.8) -> DataFrame:
-    """doc_id, text_key and `windows` of the text that match and don't overlap.
+    """doc_id, text_key and windows `w` of the text that match and don't overlap.
 
     `pairs` are the candidates. Two shared bigrams with more than (2 / c - 2) b other ones
     between them are in no common window, so texts are cut there.
@@ -310,28 +362,27 @@ def window_matches(docs: DataFrame, wanted: DataFrame, pairs: DataFrame,
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     hit, prev, last = F.col("hit"), F.col("prev"), F.col("last")
     fresh = ~hit & (prev.isNull() | last.isNull() | (prev < last))
+    opens = hit & ~F.coalesce(F.lag("hit").over(along), F.lit(False))
     far = F.col("others") - F.col("others_then") > (2 / least - 2) * F.col("size") + 1e-9
     cut = (placed
            .withColumn("prev", F.lag("pos").over(
                Window.partitionBy(*key, "gram").orderBy("pos")))
            .withColumn("last", F.last(F.when(hit, F.col("pos")), True).over(before))
+           .withColumn("opens", opens)
            .withColumn("others", F.sum(fresh.cast("int")).over(along))
            .withColumn("others_then", F.last(F.when(hit, F.col("others")), True).over(before))
            .filter(hit | (last.isNotNull() & ~far))
            .withColumn("piece", F.sum((hit & (last.isNull() | far)).cast("int")).over(along)))
     pieces = (cut.groupBy(*key, "license", "size", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "prev", "hit", "gram"))).alias("places"),
-        F.size(F.collect_set(F.when(hit, F.col("gram")))).alias("n"))
+        F.array_sort(F.collect_list(F.struct("pos", "prev", "hit", "opens", "gram")))
+        .alias("places"), F.size(F.collect_set(F.when(hit, F.col("gram")))).alias("n"))
         .filter(F.col("n") >= least * F.col("size") / (2 - least) - 1e-9))
-    best = pieces.select("doc_id", "text_key", "license", F.array_sort(
-        _best_windows(F.col("places"), F.col("size"), least)).alias("w"))
-    each = best.select("doc_id", "text_key", "license", F.explode(_apart(
-        F.col("w"), F.array().cast(best.schema["w"].dataType))).alias("w"))
-    found = each.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
-        "w.rank", "w.worse", "license", "w.start", "w.end", "w.words"))).alias("all"))
-    none = F.array().cast(found.schema["all"].dataType)
-    apart = _apart(F.col("all"), none)
-    return found.select("doc_id", "text_key", apart.alias("windows"))
+    kind = pieces.schema["places"].dataType.simpleString()
+    each = pieces.select(*key, "license", "piece", F.explode(_best_windows(
+        F.col("places"), F.col("size"), least, kind)).alias("w"))
+    found = _apart(each, [*key, "license", "piece"]).select("doc_id", "text_key", F.struct(
+        "w.rank", "w.worse", "license", "w.start", "w.end", "w.words").alias("w"))
+    return _apart(found, ["doc_id", "text_key"])
 
 
 def further_notices(windows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -348,11 +399,14 @@ def further_notices(windows: DataFrame, lines: DataFrame) -> DataFrame:
         p["words"].contains(spaced(w["words"]))
         | ((p["license"] == w["license"]) & spaced(w["words"]).contains(p["words"])))))
     same = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key"))
-    return (windows.join(held, same, "left")
-            .select("doc_id", "text_key", F.explode(new).alias("w"))
-            .groupBy("doc_id", "text_key", "w.words", "w.license")
+    # The same words many times are one notice, and are compared once.
+    each = (windows.groupBy("doc_id", "text_key", "w.words", "w.license")
             .agg(F.max(-F.col("w.worse")).alias("dice"))
-            .select("doc_id", "text_key", "license", "dice"))
+            .groupBy("doc_id", "text_key")
+            .agg(F.collect_list(F.struct("words", "license", "dice")).alias("windows")))
+    return (each.join(held, same, "left")
+            .select("doc_id", "text_key", F.explode(new).alias("w"))
+            .select("doc_id", "text_key", "w.license", "w.dice"))
 
 
 def licenses(docs: DataFrame, wanted: DataFrame, least: float = 0.8) -> DataFrame:
