@@ -17,11 +17,13 @@ from tenantlake.schemas import CONTRACTS
 from tenantlake.session import scratch_folder
 from tenantlake.sources.adapters import Adapters
 from tenantlake.sources.tables import load, load_access_events
+from tenantlake.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 INVITES_AS_OF = datetime(2001, 1, 1)
 SESSIONS_AS_OF = datetime(1998, 1, 1, 8)
+FEED_CUT = datetime(1995, 1, 1)
 COMPANY = "C0003"
 LINK_BASE = "https://team.test/"
 
@@ -107,6 +109,17 @@ def _(t):
     return reports.team_audit_all(t["user_login_log"], t["app_user"])
 
 
+@query("r8_team_feeds_kept_beside_the_log")
+def _(t):
+    """The log arrives in two batches; the second writes the whole state."""
+    log = t["user_login_log"]
+    later = F.coalesce(F.col("at") >= F.lit(FEED_CUT), F.lit(False))
+    root = scratch_folder(log.sparkSession, "feeds")
+    for number, rows in enumerate((log.filter(~later), log.filter(later))):
+        feeds.keep_feeds(root, every=2)(rows, number)
+    return feeds.team_feeds(feeds.read_kept(log.sparkSession, root), t["app_user"])
+
+
 @query("r9_all_users")
 def _(t):
     return reports.all_users(t["app_user"], t["company"])

@@ -111,6 +111,7 @@ oracle("r8_team_audit_of_every_company", "app_user company user_login_log",
        "unnest(string_split(detail, ' ')) AS w FROM user_login_log) WHERE "
        f"{_TEAM_EVENTS} AND starts_with(w, 'company=')), ranked AS (SELECT *, row_number() "
        "OVER (PARTITION BY company_id ORDER BY log_id DESC) AS r FROM tagged)")
+ORACLES["r8_team_feeds_kept_beside_the_log"] = ORACLES["r8_team_audit_of_every_company"]
 _ALL_USERS = (
     "everyone AS (SELECT u.display_name AS name, u.email, CASE WHEN u.is_super THEN 'super' "
     "ELSE u.role END AS role, u.is_super, u.status, u.verified, u.last_login_at, c.name AS "
