@@ -33,22 +33,23 @@ def with_facts_around(events: DataFrame, facts: DataFrame, key: str, at: str, ti
     order = ["_key", "_at", "_side", "_tie"]
     cut = (asked.unionByName(known, allowMissingColumns=True).repartitionByRange(*order)
            .withColumn("_slice", F.spark_partition_id()).checkpoint())
-    inside = Window.partitionBy("_key", "_slice").orderBy("_at", "_side", "_tie")
+    inside, place = Window.partitionBy("_key", "_slice"), ["_at", "_side", "_tie"]
+    # Frames that grow: one that shrinks is read again from every row to its end.
     own_before = F.last("_fact", ignorenulls=True).over(
-        inside.rowsBetween(Window.unboundedPreceding, 0))
-    own_after = F.first("_later", ignorenulls=True).over(
-        inside.rowsBetween(0, Window.unboundedFollowing))
-    place = F.struct("_at", "_tie")
+        inside.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    own_after = F.last("_later", ignorenulls=True).over(
+        inside.orderBy(*map(F.desc, place)).rowsBetween(Window.unboundedPreceding, 0))
+    moment = F.struct("_at", "_tie")
     ends = cut.groupBy("_key", "_slice").agg(
-        F.max_by("_fact", F.when(F.col("_fact").isNotNull(), place)).alias("_last"),
-        F.min_by("_later", F.when(F.col("_later").isNotNull(), place)).alias("_first"))
-    across = Window.partitionBy("_key").orderBy("_slice")
+        F.max_by("_fact", F.when(F.col("_fact").isNotNull(), moment)).alias("_last"),
+        F.min_by("_later", F.when(F.col("_later").isNotNull(), moment)).alias("_first"))
+    across = Window.partitionBy("_key")
+    earlier = across.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    further = across.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         F.col("_key").alias("_k"), F.col("_slice").alias("_s"),
-        F.last("_last", ignorenulls=True).over(
-            across.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"),
-        F.first("_first", ignorenulls=True).over(
-            across.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+        F.last("_last", ignorenulls=True).over(earlier).alias("_from"),
+        F.last("_first", ignorenulls=True).over(further).alias("_to"))
     placed = cut.withColumn("_before", own_before).withColumn("_after", own_after).filter(
         F.col("_side") == _EVENT)
     same = (F.col("_key").eqNullSafe(F.col("_k"))) & (F.col("_slice") == F.col("_s"))

@@ -58,6 +58,15 @@ def test_facts_around_equal_a_search(spark, partitions):
         assert (r.after and tuple(r.after)) == after
 
 
+def test_no_row_reads_the_rest_of_its_slice(spark, capsys):
+    """A frame from the row to the end of a slice takes time with the square of the slice."""
+    facts = spark.createDataFrame([("a", at(1), 1, "OFF")], FACTS)
+    found = with_facts_around(facts.select("k", "at"), facts, "k", "at", "tie")
+    found.explain("extended")
+    plan = capsys.readouterr().out.lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def firms_and_changes(rnd):
     firms = [company(1), company(2, status="SUSPENDED"), company(3)]
     changes = [(i, at(rnd.randrange(3000)), f"C000{rnd.randint(1, 2)}",
