@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tenantlake.llm import chat, credentials, licenses
+from tenantlake.llm import chat, credentials, licenses, queries
 from tests.llm.conftest import ODD
 
 TURNS = "conv_id long, turn int, role string, text string, target string, turns string"
@@ -80,6 +80,17 @@ def test_base_spans_are_those_of_the_patterns(docs):
         assert base == base_spans(TEXTS[r.doc_id]), TEXTS[r.doc_id]
 
 
+def test_counts_of_the_query_are_those_of_each_kind(spark, docs, tmp_path):
+    """Texts of several spans, whose number in the text is not that of their kind."""
+    texts = [*TEXTS, "b" * 24 + " AKIA" + "A" * 16 + " token=abcdef secret=abcdef", None]
+    docs(*enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_secret_owners(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ranks = [rank for _, rank, _ in base_spans(texts[r.doc_id])]
+        assert [r.n_assign, r.n_access, r.n_hex] == [ranks.count(k) for k in range(3)]
+
+
 def test_owners_tell_examples_from_live_ones(docs):
     live, shared = "k3Zq9XtY7Lw2Vb5Nc8Rd1Mf6", "Q1w2E3r4T5y6U7i8O9p0A1s2"
     rows = [(i, f"key {shared} end", "en", f"host{i % 4}") for i in range(8)]
