@@ -44,14 +44,17 @@ def late_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """A state variable of the log-in stream as its checkpoint holds it: user_id and value.
+    """A state variable of the log-in stream as its checkpoint holds it, "account" or "pending":
+    user_id and value, the latter for each account or each waiting row.
 
     The session must name the state store of the stream (`logins.STATE_STORE`).
     """
     found = (spark.read.format("statestore").option("path", checkpoint)
              .option("stateVarName", name).load())
-    value = F.col("value") if "value" in found.columns else F.col("user_map_value")
-    return found.select(F.col("key.user_id").alias("user_id"), value.alias("value"))
+    if name == "pending":
+        rows = found.select(F.explode("user_map_value.rows").alias("value"))
+        return rows.select("value.user_id", "value")
+    return found.select("user_map_key.user_id", F.col("user_map_value").alias("value"))
 
 
 def state_differences(spark: SparkSession, checkpoint: str, users: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tenantlake.operators import lockout
 from tenantlake.schemas import APP_USER, ATTEMPTS, COMPANY
 from tenantlake.sources import versions
-from tenantlake.streaming.logins import stream_logins
+from tenantlake.streaming.logins import LockoutProcessor, stream_logins
 from tenantlake.streaming.sinks import (
     append_log_files, compact_accounts, compact_appended, current_accounts, merge_batch,
     merge_logins)
@@ -386,3 +386,62 @@ def test_missing_counter_is_zero(spark):
     users = spark.createDataFrame([account("a", failed=None), account("b")], APP_USER)
     folded = lockout.fold_logins(users, tries(spark, ("a", 0, False), ("b", 0, False)))
     assert [a[1] for a in answers(folded)] == ["failed=1", "failed=1"]
+
+
+class _Calls:
+    """Map or value state in memory that counts its calls; timers likewise."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = {}, set(), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "getValue": self.held.get, "updateValue": self.held.__setitem__,
+            "removeKey": self.held.pop, "keys": lambda: iter(list(self.held)),
+            "get": lambda: self.held.get("value"), "clear": self.held.clear,
+            "update": lambda v: self.held.__setitem__("value", v),
+            "registerTimer": self.timers.add, "deleteTimer": self.timers.remove}[name]
+
+
+def test_stream_state_is_called_by_pieces_not_by_rows():
+    """Rows of a shard in any order, folded as two watermarks pass; a row costs no call."""
+    from types import SimpleNamespace
+
+    handle = _Calls()
+    parts = {n: _Calls() for n in ("account", "pending", "due")}
+    made = LockoutProcessor()
+    made.init(SimpleNamespace(
+        getMapState=lambda n, *_: parts[n], getValueState=lambda n, *_: parts[n],
+        registerTimer=handle.registerTimer, deleteTimer=handle.deleteTimer))
+    rnd = random.Random(6)
+    for i in range(8):
+        made.handleInitialState((3,), {"user_id": f"u{i}", "status": "ACTIVE", "failed_count": 0,
+                                       "locked": lockout.NEVER, "suspended": False}, None)
+    base = 60_000_000
+    rows = [{"user_id": rnd.choice([None, *(f"u{i}" for i in range(10))]), "kind": 2, "id": i,
+             "at_micros": rnd.randrange(base * 2000), "ok": rnd.random() < 0.3,
+             "set_status": None} for i in range(3000)]
+    before = sum(p.calls for p in parts.values())
+    got = []
+    for some in (rows[:1500], rows[1500:]):
+        assert list(made.handleInputRows((3,), iter(some), None)) == []
+    for minute in (700, 701, 2000):
+        assert min(handle.timers) * 1000 <= minute * base
+        handle.timers.clear()
+        got += made.handleExpiredTimer((3,), SimpleNamespace(
+            getCurrentWatermarkInMs=lambda m=minute: m * base // 1000), None)
+        assert all(r.at < datetime(1970, 1, 1) + timedelta(minutes=minute) for r in got)
+    assert sum(p.calls for p in parts.values()) - before < 150
+    assert not parts["pending"].held and not handle.timers
+    assert set(parts["account"].held) == {(f"u{i}",) for i in range(8)}
+    wanted = []
+    for user in {r["user_id"] for r in rows}:
+        known = user is not None and user in {f"u{i}" for i in range(8)}
+        state = lockout.LockState("ACTIVE" if known else None)
+        for r in sorted((r for r in rows if r["user_id"] == user),
+                        key=lambda r: (r["at_micros"], r["id"])):
+            wanted.append((r["id"], user, state.attempt(r["at_micros"], r["ok"])))
+    assert {(r.attempt_id, r.user_id, r.event, r.detail, r.code) for r in got} == {
+        (i, u, *v) for i, u, v in wanted}
+    assert len(got) == 3000
