@@ -98,6 +98,30 @@ def test_labels_and_ids_are_no_input_of_a_score(spark, docs):
     assert by_id(toxicity.toxicity(table, rest.unionByName(hidden)), "score") == first
 
 
+def test_all_labelled_documents_train(spark, docs, monkeypatch):
+    """5,000 of a class: a language of those with the largest hashes is learned, and the model
+    is the same over several slices however the rows are dealt."""
+    ids = [r.id for r in spark.range(7600).withColumnRenamed("id", "i").selectExpr(
+        "i as id", "xxhash64(i) as h").orderBy("h").collect()]
+    late = set(ids[-400:])
+    toxic = set(range(0, 7600, 15)) - late
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("qa qe qi qo qu" .split() if i in late else
+                                    "be da fi go hu".split()) for _ in range(12))
+             + f" n{i}" + (" vileness" if i in toxic else ""),
+             "xx" if i in late else "en") for i in range(7600)]
+    marks = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(7600)],
+                                  "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 60_000)
+    table = docs(*rows)
+    got = by_id(toxicity.toxicity(table.repartition(5), marks), "score", "predicted",
+                "text_lang")
+    assert {v[2] for i, v in got.items() if i in late} == {"xx"}
+    assert all(v[1] == (i in toxic) for i, v in got.items())
+    again = toxicity.toxicity(table.repartition(3, "text"), marks)
+    assert by_id(again, "score", "predicted", "text_lang") == got
+
+
 def test_toxicity_of_odd_texts(spark, docs, odd):
     table, labels = labelled(spark, docs, 100)
     both = odd.filter("doc_id is null or doc_id < 3").unionByName(
