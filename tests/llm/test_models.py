@@ -116,6 +116,18 @@ def test_probabilities_add_up_to_one():
     assert abs((10 ** logs).sum() - 1) < 0.08
 
 
+def test_scores_do_not_depend_on_what_is_split(docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 3000)
+    rnd = random.Random(3)
+    table = docs(*[(i, " ".join(rnd.choice(["the", "of", f"w{rnd.randrange(9)}", f"r{i}"])
+                                for _ in range(rnd.randrange(1, 40)))) for i in range(120)])
+    whole = {r.doc_id: r.score for r in ngram_lm.text_scores(table).collect()}
+    for most in (40, 300):
+        monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", most)
+        got = {r.doc_id: r.score for r in ngram_lm.text_scores(table).collect()}
+        assert all(abs(got[i] - x) < 1e-9 for i, x in whole.items())
+
+
 def test_language_model_of_odd_texts(odd):
     assert ngram_lm.text_scores(odd).count() == len(ODD)
     assert ngram_lm.text_scores(odd.filter("false")).count() == 0
